@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.llm import sums as sums_of
 from skyloom.llm.textops import LETTER, slices, words
 
 BITS = 14
@@ -84,24 +85,14 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
                     sums[lang] = np.zeros(CELLS + len(SCRIPTS))
                 sums[lang][:CELLS] += np.bincount(cells[np.repeat(mine, np.diff(first))], minlength=CELLS)
                 sums[lang][CELLS:] += np.bincount(scripts[mine], minlength=len(SCRIPTS))
-        names = sorted(sums)
-        blocks = [(x, k, sums[x][k : k + 1024]) for x in names for k in range(0, CELLS + len(SCRIPTS), 1024)]
-        yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blocks], pa.string()), pa.array([b[1] for b in blocks], pa.int32()), pa.array([b[2].tolist() for b in blocks], pa.list_(pa.float64()))], ["lang", "k", "sums"])
-
-    def add(batches):
-        total: dict[tuple, np.ndarray] = {}
-        for b in batches:
-            for lang, k, sums in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                total[lang, k] = total.get((lang, k), 0) + np.array(sums)
-        keys = sorted(total)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k].tolist() for k in keys], pa.list_(pa.float64()))], ["lang", "k", "sums"])
-
-    schema = "lang string, k int, sums array<double>"
-    parts = known.mapInArrow(count, schema).repartition(F.col("lang"), F.col("k")).mapInArrow(add, schema).collect()
-    languages = sorted({r["lang"] for r in parts})
+        yield sums_of.batch({f"{x}/{k}": sums[x][k : k + 1024] for x in sums for k in range(0, CELLS + len(SCRIPTS), 1024)})
+
+    parts = sums_of.add_up(known.mapInArrow(count, sums_of.SCHEMA))
+    languages = sorted({key.rpartition("/")[0] for key in parts})
     raw = np.zeros((CELLS + len(SCRIPTS), len(languages)))
-    for r in parts:
-        raw[r["k"] : r["k"] + len(r["sums"]), languages.index(r["lang"])] += r["sums"]
+    for key, part in parts.items():
+        lang, _, k = key.rpartition("/")
+        raw[int(k) : int(k) + len(part), languages.index(lang)] += part
     grams, scripts = raw[:CELLS], raw[CELLS:]
     weights = np.log((grams + 0.1) / (grams + 0.1).sum(0)).astype(np.float32)
     share = scripts / np.maximum(scripts.sum(1, keepdims=True), 1)

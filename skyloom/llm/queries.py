@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import chat, langid, rules
+from skyloom.llm import chat, langid, licenses, quality, rules
 from skyloom.llm.scratch import written
 
 
@@ -19,6 +19,12 @@ def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = written(rules.statistics(table(spark, sf_dir, "documents")), "stats")
+    model = quality.fit(stats.filter(~quality.held_out()), table(spark, sf_dir, "labels"))
+    return quality.score(stats, model).withColumn("held_out", quality.held_out()).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.filter(remainder(5) != 0))
@@ -26,6 +32,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(rules.statistics(table(spark, sf_dir, "documents")), "stats")
     out = rules.quality_rules(stats, table(spark, sf_dir, "labels"))
@@ -40,7 +50,9 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_language_id": op3_language_id,
+    "op5_license_scan": op5_license_scan,
     "op7_quality_rules": op7_quality_rules,
     "op9_chat_formatting": op9_chat_formatting,
 }
