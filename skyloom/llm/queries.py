@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import chat, langid, licenses, quality, rules
+from skyloom.llm import chat, langid, licenses, neardup, quality, rules
 from skyloom.llm.scratch import written
 
 
@@ -19,6 +19,10 @@ def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(rules.statistics(table(spark, sf_dir, "documents")), "stats")
     model = quality.fit(stats.filter(~quality.held_out()), table(spark, sf_dir, "labels"))
@@ -50,6 +54,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_language_id": op3_language_id,
     "op5_license_scan": op5_license_scan,
@@ -57,5 +62,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": neardup.COMPONENTS_SQL,
     "op9_chat_formatting": chat.DIGEST_SQL,
 }
