@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import chat, langid, licenses, neardup, quality, rules
+from skyloom.llm import chat, langid, licenses, neardup, quality, rules, substrings
 from skyloom.llm.scratch import written
 
 
@@ -40,6 +40,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.repeated_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(rules.statistics(table(spark, sf_dir, "documents")), "stats")
     out = rules.quality_rules(stats, table(spark, sf_dir, "labels"))
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_language_id": op3_language_id,
     "op5_license_scan": op5_license_scan,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_chat_formatting": op9_chat_formatting,
 }
