@@ -18,7 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     Loops, repeated links and nulls are ignored; no links give no rows.
     """
     clean = lambda x: x.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = written(clean(links), "edges")
+    edges = clean(links)
     labels = None
     while not edges.isEmpty():
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))

@@ -9,10 +9,10 @@ threshold of 0.8 that differ in more are still found if any one chunk is close;
 the chance that none is, is about 2e-5.)
 
 Pairs that share a key are not written out. Equal sets are one node. In each
-key's group every member is linked to one representative, if confirmed; the
-links' components then leave few groups with several components, and there
-only pairs across components are compared, in blocks. This loses no link that
-matters for the components, and a group never meets in one task.
+key's group every member is linked to the first, if confirmed; in groups that
+then hold several components, members of others to one drawn by hash. Where
+several are still left, pairs across components are compared, in packs. This loses no
+link that matters for the components, and a group never meets in one task.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ PACKED = [f"s{i}" for i in range(SYMBOLS // 4)]
 FAR = 20
 #: Up to so many ids are sent to every task; beyond, the join shuffles.
 FEW_IDS = 500_000
-#: Members of one key's group that are compared with the whole group in one task.
-BLOCK = 256
+#: Members of one key's group in one pack; packs are compared two at a time.
+BLOCK = 512
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * U(2) + U(1)
 _ADD = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
 
 
 def key_rows(nodes: DataFrame) -> DataFrame:
-    """(key, node) for each chunk of a signature and each symbol left out of it."""
+    """(node, slot, key) for each chunk of a signature and each symbol left out of it; slots count these from 0."""
 
     def run(batches):
         for b in batches:
@@ -111,7 +111,7 @@ def key_rows(nodes: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(keys), dtype=np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["node", "keys"])
 
-    return nodes.select("node", *PACKED).mapInArrow(run, "node long, keys array<long>").select(F.explode("keys").alias("key"), "node")
+    return nodes.select("node", *PACKED).mapInArrow(run, "node long, keys array<long>").select("node", F.posexplode("keys").alias("slot", "key"))
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,6 +143,97 @@ def near_enough(left: str, right: str, percent: int) -> Column:
     return (100 * small >= percent * large) & (differing(left, right) <= FAR)
 
 
+def _symbols(packed: np.ndarray) -> np.ndarray:
+    """[rows, SYMBOLS] of [rows, PACKED]."""
+    return np.ascontiguousarray(packed.astype("<i8")).view("<u2")
+
+
+def near_members(packs: DataFrame, percent: int) -> DataFrame:
+    """(key, part, other, node, component): members of two packs (left, right) with a partner in another component.
+
+    A partner is near enough by size and signature, and this key is the first
+    that the two share, so that a pair counts in one group only.
+    """
+
+    def unpack(column):
+        off = column.offsets.to_numpy()
+        f = column.values.flatten()
+        node, component, n = (x.to_numpy() for x in f[:3])
+        return off, (node, component, n, _symbols(np.stack([x.to_numpy() for x in f[3:]], axis=1)))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lo, left = unpack(batch.column(0))
+            ro, right = unpack(batch.column(1))
+            keys, part, other, slots = (batch.column(i).to_numpy() for i in range(2, 6))
+            found: list[tuple] = []
+            for r in range(batch.num_rows):
+                nodes, comps, sizes, sigs = (x[ro[r] : ro[r + 1]] for x in right)
+                hit: dict[int, int] = {}
+                for at in range(lo[r], lo[r + 1], 128):
+                    node, comp, size, sig = (x[at : min(at + 128, lo[r + 1])] for x in left)
+                    small, large = np.minimum(size[:, None], sizes), np.maximum(size[:, None], sizes)
+                    i, j = np.nonzero((comp[:, None] != comps) & (100 * small >= percent * large))
+                    for k in range(0, len(i), 1 << 16):
+                        x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                        differ = (sig[x] != sigs[y]).reshape(-1, CHUNKS, WIDTH)
+                        errors = differ.sum(2)
+                        first = (errors <= ERRORS).argmax(1)
+                        spot = differ[np.arange(len(x)), first].argmax(1)
+                        near = (errors.sum(1) <= FAR) & (first * WIDTH + spot == slots[r])
+                        x, y = x[near], y[near]
+                        hit |= dict(zip(node[x].tolist(), comp[x].tolist(), strict=True)) | dict(zip(nodes[y].tolist(), comps[y].tolist(), strict=True))
+                found += [(keys[r], part[r], other[r], n, c) for n, c in hit.items()]
+            cols = list(zip(*found, strict=True)) if found else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "part", "other", "node", "component"])
+
+    return packs.select("left", "right", "key", "part", "other", "slot").mapInArrow(run, "key long, part long, other long, node long, component long")
+
+
+def similar_pairs(groups: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components within each group (column members: node, component, set), by exact intersections.
+
+    Shingles that two or more members have are columns of a 0/1 matrix, a few
+    thousand at a time; its product with itself counts all intersections.
+    """
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(0)
+            off = column.offsets.to_numpy()
+            fields = column.values.flatten()
+            node, comp = fields[0].to_numpy(), fields[1].to_numpy()
+            set_off, shingles = fields[2].offsets.to_numpy(), fields[2].values.to_numpy()
+            out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for r in range(batch.num_rows):
+                a, b = off[r], off[r + 1]
+                size = np.diff(set_off[a : b + 1]).astype(np.int64)
+                values, member = shingles[set_off[a] : set_off[b]], np.repeat(np.arange(b - a), size)
+                order = np.argsort(values, kind="stable")
+                values, member = values[order], member[order]
+                same = np.zeros(len(values) + 1, bool)
+                same[1:-1] = values[1:] == values[:-1]
+                twice = same[1:] | same[:-1]
+                values, member = values[twice], member[twice]
+                column_of = np.cumsum(np.diff(values, prepend=values[:1]) != 0) if len(values) else values
+                shared = np.zeros((b - a, b - a), np.float32)
+                last = int(column_of[-1]) + 1 if len(column_of) else 0
+                for k in range(0, last, 4096):
+                    x, y = np.searchsorted(column_of, (k, k + 4096))
+                    grid = np.zeros((b - a, min(4096, last - k)), np.float32)
+                    grid[member[x:y], column_of[x:y] - k] = 1
+                    shared += grid @ grid.T
+                linked = 100 * shared.astype(np.int64) >= percent * (size[:, None] + size - shared.astype(np.int64))
+                i, j = np.nonzero(linked & (comp[a:b][:, None] != comp[a:b]) & (node[a:b][:, None] < node[a:b]))
+                out_a.append(node[a:b][i])
+                out_b.append(node[a:b][j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+    return groups.select("members").mapInArrow(run, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough."""
     one = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
@@ -165,37 +256,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     sigs = written(signatures(docs.withColumn(id_col, F.col(id_col).cast("long")), shingle, id_col, text_col), "signatures")
     nodes = sigs.filter(f"n_shingles > 0 and `{id_col}` is not null").groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min(id_col).alias("node"), *(F.first(s).alias(s) for s in PACKED))
     nodes = written(nodes, "nodes")
-    groups = key_rows(nodes).groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    groups = key_rows(nodes).groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("low")).filter("size > 1")
     groups = written(groups, "groups")
     members = written(key_rows(nodes).join(groups, "key"), "members")
     ids = written(members.select("node").distinct(), "ids")
     sets = written(shingle_sets(docs, ids, shingle, id_col, text_col), "sets")
     signed = written(nodes.join(ids, "node", "left_semi").select("node", "n", *PACKED), "signed")
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        close = pairs.filter("a <> b").distinct().join(signed.select(F.col("node").alias("b"), F.struct("n", *PACKED).alias("y")), "b").join(signed.select(F.col("node").alias("a"), F.struct("n", *PACKED).alias("x")), "a")
-        return written(confirmed(written(close.filter(near_enough("x", "y", percent)).select("a", "b"), f"close_{name}"), sets, percent), f"links_{name}")
-
-    links = linked(members.select(F.col("low").alias("a"), F.col("node").alias("b")), "low")
-    for name in ("high", "rest"):
-        labels = components(links)
-        placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = written(placed.select("key", "node", "component", "size", "high"), "placed")
-        mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("key")
-        open_ = written(placed.join(mixed, "key", "left_semi"), "open")
-        if open_.isEmpty():
-            break
-        if name == "high":
-            more = linked(open_.select(F.col("high").alias("a"), F.col("node").alias("b")), name)
-        else:
-            parts = F.ceil(F.col("size") / BLOCK).cast("int")
-            row = open_.join(signed, "node").select("key", "node", "component", F.col("node").alias("id"), F.struct("n", *PACKED).alias("sig"), parts.alias("parts"))
-            left = row.select("key", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int").alias("part"), F.col("component").alias("c_a"), F.col("id").alias("a"), F.col("sig").alias("x"))
-            right = row.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("component").alias("c_b"), F.col("id").alias("b"), F.col("sig").alias("y"))
-            pairs = left.join(right, ["key", "part"]).filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near_enough("x", "y", percent)).select("a", "b").distinct()
-            more = written(confirmed(written(pairs, "close_rest"), sets, percent), "links_rest")
-        links = links.union(more)
+    def linked(pairs: DataFrame) -> DataFrame:
+        two = pairs.distinct().join(signed.select(F.col("node").alias("b"), F.struct("n", *PACKED).alias("y")), "b")
+        close = two.join(signed.select(F.col("node").alias("a"), F.struct("n", *PACKED).alias("x")), "a").filter(near_enough("x", "y", percent))
+        return written(confirmed(close.select("a", "b"), sets, percent), "links")
+
+    def across_components(labels: DataFrame) -> DataFrame:
+        placed = written(members.join(labels, "node", "left").select("key", "slot", "node", F.coalesce("component", "node").alias("component"), "size"), "placed")
+        mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min(F.struct(F.xxhash64("node", "key").alias("draw"), "node", "component")).alias("rep")).filter("c1 < c2")
+        return written(placed.join(mixed.select("key", F.col("rep.node").alias("rep"), F.col("rep.component").alias("rep_component")), "key"), "open")
+
+    links = linked(members.select(F.col("low").alias("a"), F.col("node").alias("b")).filter("a <> b"))
+    open_ = across_components(components(links))
+    links = links.union(linked(open_.filter("component <> rep_component").select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b"))))
     labels = components(links)
+    open_ = across_components(labels)
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    pack = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).alias("part")
+    packs = open_.join(signed, "node").withColumn("parts", parts).groupBy("key", "slot", "parts", pack).agg(F.collect_list(F.struct("node", "component", "n", *PACKED)).alias("left"))
+    packs = written(packs.withColumn("slot", F.col("slot").cast("long")), "packs")
+    large = packs.filter("parts > 1")
+    others = large.select("key", F.col("part").alias("other"), F.col("left").alias("right"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).filter("part < other")
+    both = packs.select("left", F.col("left").alias("right"), "key", "part", F.col("part").alias("other"), "slot").union(large.join(others, ["key", "part"]).select("left", "right", "key", "part", "other", "slot"))
+    close = written(near_members(both, percent), "close")
+    groups = close.join(sets, "node").groupBy("key", "part", "other").agg(F.collect_list(F.struct("node", "component", "set")).alias("members"))
+    more = written(similar_pairs(groups, percent), "links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     found = written(nodes.join(labels, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component_id")), "found")
     out = sigs.select(id_col, "n_shingles", "h1", "h2").join(found.withColumnRenamed("n", "n_shingles"), ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col(id_col).isNotNull(), F.coalesce("component_id", id_col))
