@@ -35,7 +35,7 @@ CROWD = 1000
 #: Up to so many row keys are sent to every task; beyond, the join shuffles.
 FEW_IDS = 500_000
 #: Bytes of segments sorted at a time, unless one group has more.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
 _PIECE = 1 << 23
 _LOW = U((1 << 24) - 1)
 
@@ -103,7 +103,7 @@ def marks(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame
     field = docs.schema[id_col]
 
     def run(batches):
-        for rows, data, off in slices(batches, "_text"):
+        for rows, data, off in slices(batches, "_text", 1 << 20):
             n = rows.num_rows
             doc, anchor, segment, lo, hi, place = _segments(data, off, length)
             sums = prefix(data, False)
@@ -280,9 +280,11 @@ def halves(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.mapInArrow(run, PIECES)
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that join ``ids`` on row_key; a few ids go to every task."""
-    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "row_key")
+def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` joined with ``rows`` on row_key. If few, the keys alone go to every task first, so that fewer texts are shuffled."""
+    if rows.count() <= FEW_IDS:
+        docs = docs.join(F.broadcast(rows.select("row_key")), "row_key", "left_semi")
+    return docs.join(rows.hint("merge"), "row_key")
 
 
 def repeated_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,7 +317,8 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "do
         F.lit(0).alias("first"), (F.col("c.hi") - F.col("c.lo")).alias("last"), (F.col("c.place") - F.col("c.lo")).alias("place"),
         F.lit(0).alias("d0"), F.lit(length - GRAM + 1).alias("d1"), F.substring(F.col("raw"), F.col("c.lo") + 1, F.col("c.hi") - F.col("c.lo") + length).alias("bytes"),
     )
-    if not rows.groupBy("row_key").count().filter("count > 1").isEmpty():
+    once = rows.groupBy("row_key").count().filter("count > 1").isEmpty()
+    if not once:
         pieces = pieces.dropDuplicates(["row_key", "base"])
     pieces = written(pieces, "pieces")
     width = length - GRAM + 1
@@ -337,9 +340,11 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "do
     all_spans = spans[0]
     for s in spans[1:]:
         all_spans = all_spans.union(s)
-    runs = written(all_spans.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs")), "runs")
+    runs = (all_spans.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs")))
     repeats = texts.filter("copies > 1").select("row_key")
-    removed = written(_removed(_only(keyed, runs.join(repeats, "row_key", "left_anti")).dropDuplicates(["row_key"])), "removed")
+    partly = written(runs.join(repeats, "row_key", "left_anti"), "partly")
+    cut = _only(keyed, partly)
+    removed = written(_removed(cut if once else cut.dropDuplicates(["row_key"])), "removed")
     known = rows.drop("segments").join(texts.select("h1", "h2", "copies", F.col("row_key").alias("node")), ["h1", "h2"], "left").join(removed.withColumnRenamed("row_key", "node"), "node", "left")
     full = F.coalesce(F.col("copies") > 1, F.lit(False))
     nothing = F.array().cast("array<struct<start:long,stop:long>>")
