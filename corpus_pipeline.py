@@ -27,9 +27,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Drops documents that the quality classifier, fitted to ``labels``, scores below 0.7."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(rules.statistics(docs.filter(~quality.held_out())), labels)
-    rest = [c for c in docs.columns if c != "doc_id"]
-    scored = quality.score(rules.statistics(docs, keep=rest), model, keep=rest)
-    return scored.filter("predicted = 1").select(docs.columns) if model is not None else docs
+    if model is None:
+        return docs
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    scored = quality.score(rules.statistics(whole, keep=["_row"]), model, keep=["_row"])
+    return scored.filter("predicted = 1").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
