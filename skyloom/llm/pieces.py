@@ -27,7 +27,7 @@ from skyloom.llm.textops import U, mix, prefix, slices, spans_hash
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 SPACE_BYTES = SPACE.encode()
-SLICE = 4 << 20
+SLICE = 1 << 20
 NONE = np.int32(1 << 30)
 _CACHE_BITS = 20
 
@@ -287,12 +287,22 @@ def _encode_slice(v: Vocabulary, pairs: _Pairs, data: np.ndarray, off: np.ndarra
     return every, total[np.searchsorted(start, bounds)]
 
 
-def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def _decode_slice(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+    """Text of each list of ids; ids lie within the model."""
+    size = v.out_off[ids + 1] - v.out_off[ids]
+    total = np.concatenate([[0], np.cumsum(size)])
+    raw = v.out_blob[np.arange(total[-1]) - np.repeat(total[:-1] - v.out_off[ids], size)].tobytes()
+    ends = total[bounds]
+    return [raw[a + (raw[a : a + 1] == b" ") : b].decode("utf-8", "replace") if b > a else "" for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """id, kept columns and ``ids`` (array of int) per row, as the model's own library encodes the text.
 
-    The driver reads the model; tasks get its tables. Null and empty texts have
-    no ids. U+2581 in a text counts as a space. Repeated rows are encoded
-    alike; columns not named are dropped.
+    With ``decoded`` the ids are decoded at once, into ``decoded``. The driver
+    reads the model; tasks get its tables. Null and empty texts have no ids.
+    U+2581 in a text counts as a space. Repeated rows are encoded alike;
+    columns not named are dropped.
     """
     v = vocabulary(model_path)
     names = [id_col, *(keep or [])]
@@ -303,9 +313,10 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id"
         for rows, data, off in slices(batches, "_text", SLICE):
             ids, bounds = _encode_slice(v, pairs, data, off)
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(x)) for x in names), lists], [*names, "ids"])
+            back = [pa.array(_decode_slice(v, ids.astype(np.int64), bounds), pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(x)) for x in names), lists, *back], [*names, "ids", *(["decoded"] if decoded else [])])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ids array<int>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ids array<int>", *(["decoded string"] if decoded else [])])
     return docs.select(*names, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
@@ -317,20 +328,15 @@ def decode(encoded: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_
     v = vocabulary(model_path)
     names = [id_col, *(keep or [])]
     fields = [encoded.schema[x] for x in names]
-    blob, starts = v.out_blob, v.out_off
 
     def run(batches):
-        for b in batches:
-            column = b.column(b.schema.get_field_index("ids"))
-            texts = []
-            for x in column:
-                ids = x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int64)
-                ids = ids[(ids >= 0) & (ids < len(starts) - 1)].astype(np.int64)
-                size = starts[ids + 1] - starts[ids]
-                total = np.concatenate([[0], np.cumsum(size)])
-                raw = blob[np.arange(total[-1]) - np.repeat(total[:-1] - starts[ids], size)].tobytes()
-                texts.append((raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(x)) for x in names), pa.array(texts, pa.string())], [*names, "text"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                lists = [x.values.to_numpy(zero_copy_only=False).astype(np.int64) if x.is_valid else np.zeros(0, np.int64) for x in b.column(b.schema.get_field_index("ids"))]
+                lists = [x[(x >= 0) & (x < v.size)] for x in lists]
+                texts = _decode_slice(v, np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])]))
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(x)) for x in names), pa.array(texts, pa.string())], [*names, "text"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "text string"])
     return encoded.select(*names, "ids").mapInArrow(run, schema)
@@ -342,13 +348,12 @@ def round_trip(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc
     ``ids_sha256``: ids in decimal, joined by commas. A null text counts as empty.
     """
     low, high = int(vocabulary(model_path).byte_ids.min()), int(vocabulary(model_path).byte_ids.max())
-    encoded = encode(docs.select(id_col, F.col(text_col).alias("_source")), model_path, id_col, "_source", ["_source"])
-    decoded = decode(encoded, model_path, id_col, ["_source", "ids"])
-    return decoded.select(
+    encoded = encode(docs.select(id_col, F.col(text_col).alias("_source")), model_path, id_col, "_source", ["_source"], decoded=True)
+    return encoded.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
         F.size(F.filter("ids", lambda i: i.between(low, high))).cast("long").alias("n_byte_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
-        (F.col("text") == F.coalesce("_source", F.lit(""))).alias("round_trip"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("_source", F.lit(""))).alias("round_trip"),
     )
