@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalar_queries", "join_queries")
+MODULES = ("scalar_queries", "join_queries", "aggregate_queries", "quality_queries", "file_queries")
 
 
 def load() -> tuple[dict, dict]:
