@@ -126,7 +126,7 @@ def footprint_extent(t):
     return s.agg(r(F.first("ra0")).alias("ra0"), r(F.first("dec0")).alias("dec0"), r(1.05 * F.max(F.greatest(F.abs(F.col("ra") - F.col("ra0")), F.abs(F.col("dec") - F.col("dec0"))))).alias("half"))
 
 
-@query("detector_footprint", "SELECT sca, k, round((xcen - (cx - crpix) / plate_scale) * plate_scale * pixel_scale / 3600, 6) AS fx, round((ycen + (cy - crpix) / plate_scale) * plate_scale * pixel_scale / 3600, 6) AS fy FROM {calibration}, (VALUES (0, 0.5, 0.5), (1, 4088.5, 0.5), (2, 4088.5, 4088.5), (3, 0.5, 4088.5), (4, 2044.5, 2044.5)) v(k, cx, cy) WHERE ord = '1'")
+@query("detector_footprint", "SELECT sca, k, round((xcen - (kx - crpix) / plate_scale) * plate_scale * pixel_scale / 3600, 6) AS fx, round((ycen + (ky - crpix) / plate_scale) * plate_scale * pixel_scale / 3600, 6) AS fy FROM {calibration}, (VALUES (0, 0.5, 0.5), (1, 4088.5, 0.5), (2, 4088.5, 4088.5), (3, 0.5, 4088.5), (4, 2044.5, 2044.5)) v(k, kx, ky) WHERE ord = '1'")
 def detector_footprint(t):
     pts = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(x).alias("px"), F.lit(y).alias("py")) for k, (x, y) in enumerate(((0.5, 0.5), (4088.5, 0.5), (4088.5, 4088.5), (0.5, 4088.5), (2044.5, 2044.5)))))
     df = t("calibration").filter("ord = '1'").withColumn("p", F.explode(pts)).select("*", "p.*")
