@@ -86,7 +86,7 @@ def on_sca(t):
 
 def frame(name, fn, a, b, sql_x, sql_y, n=6):
     def build(t):
-        x, y = fn(a, b)
+        x, y = fn(F.expr(a), F.expr(b))
         return on_sca(t).select("catalog_index", r(x, n).alias("x"), r(y, n).alias("y"))
 
     query(name, f"SELECT catalog_index, round({sql_x}, {n}) AS x, round({sql_y}, {n}) AS y {ON_SCA}")(build)
@@ -95,11 +95,11 @@ def frame(name, fn, a, b, sql_x, sql_y, n=6):
 MM_X, MM_Y = "(xcen - (xsca - crpix) / plate_scale)", "(ycen + (ysca - crpix) / plate_scale)"
 K = "(plate_scale * pixel_scale / 3600)"
 frame("sca_mpa", S.sca_mpa, "xsca", "ysca", MM_X, MM_Y)
-frame("mpa_sca", S.mpa_sca, F.col("xsca") / 40, F.col("ysca") / 40, "crpix - (xsca / 40 - xcen) * plate_scale", "crpix + (ysca / 40 - ycen) * plate_scale", 4)
-frame("mpa_fpa", S.mpa_fpa, F.col("xsca") / 40, F.col("ysca") / 40, f"xsca / 40 * {K}", f"ysca / 40 * {K}")
-frame("fpa_mpa", S.fpa_mpa, F.col("xsca") / 9000, F.col("ysca") / 9000, f"xsca / 9000 / {K}", f"ysca / 9000 / {K}")
+frame("mpa_sca", S.mpa_sca, "xsca / 40", "ysca / 40", "crpix - (xsca / 40 - xcen) * plate_scale", "crpix + (ysca / 40 - ycen) * plate_scale", 4)
+frame("mpa_fpa", S.mpa_fpa, "xsca / 40", "ysca / 40", f"xsca / 40 * {K}", f"ysca / 40 * {K}")
+frame("fpa_mpa", S.fpa_mpa, "xsca / 9000", "ysca / 9000", f"xsca / 9000 / {K}", f"ysca / 9000 / {K}")
 frame("sca_fpa", S.sca_fpa, "xsca", "ysca", f"{MM_X} * {K}", f"{MM_Y} * {K}")
-frame("fpa_sca", S.fpa_sca, F.col("xsca") / 9000, F.col("ysca") / 9000, f"crpix - (xsca / 9000 / {K} - xcen) * plate_scale", f"crpix + (ysca / 9000 / {K} - ycen) * plate_scale", 4)
+frame("fpa_sca", S.fpa_sca, "xsca / 9000", "ysca / 9000", f"crpix - (xsca / 9000 / {K} - xcen) * plate_scale", f"crpix + (ysca / 9000 / {K} - ycen) * plate_scale", 4)
 
 
 @query("wl_transform", f"SELECT catalog_index, round(w, 6) AS w, round(CASE kind WHEN 'log' THEN wl_ref * pow(10, w) ELSE w + wl_ref END, 6) AS back FROM (SELECT *, CASE kind WHEN 'log' THEN log10((0.9 + mag / 28) / wl_ref) ELSE 0.9 + mag / 28 - wl_ref END AS w {ON_SCA})")
