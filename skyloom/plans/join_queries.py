@@ -40,7 +40,7 @@ def bright_stars(t):
     return t("sources").filter((F.col("type") == "PSF") & (S.flux_to_mag("flux_scale") <= 18.002 + 1e-4)).select("catalog_index", "mag")
 
 
-@query("trim_wavelengths", "SELECT vec_id, count(*) AS n_bins, min(wavelength) AS lo, max(wavelength) AS hi, round(sum(abs(f)), 4) AS total, 200.0::DOUBLE AS step FROM (SELECT vec_id, 9000.0 + 200 * (unnest(range(1, 65)) - 1) AS wavelength, unnest(embedding)::DOUBLE AS f FROM {spectra}) WHERE wavelength BETWEEN 10000 AND 19300 GROUP BY vec_id")
+@query("trim_wavelengths", "SELECT vec_id, count(*) AS n_bins, min(wavelength) AS lo, max(wavelength) AS hi, round(sum(abs(f)), 4) AS total, 200.0::DOUBLE AS step FROM (SELECT vec_id, 9000.0::DOUBLE + 200 * (unnest(range(1, 65)) - 1) AS wavelength, unnest(embedding)::DOUBLE AS f FROM {spectra}) WHERE wavelength BETWEEN 10000 AND 19300 GROUP BY vec_id")
 def trim_wavelengths(t):
     """Spectrum restricted to a band, as arrays, with the spacing of what is left."""
     grid = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: 9000.0 + 200 * i)
