@@ -26,12 +26,8 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier, fitted to ``labels``, scores below 0.7."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.fit(rules.statistics(docs.filter(~quality.held_out())), labels)
-    if model is None:
-        return docs
-    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    scored = quality.score(rules.statistics(whole, keep=["_row"]), model, keep=["_row"])
-    return scored.filter("predicted = 1").select("_row.*")
+    model = quality.fit(written(rules.statistics(docs.filter(~quality.held_out())), "stats"), labels)
+    return docs if model is None else quality.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import sums as sums_of
-from skyloom.llm.textops import STATS
+from skyloom.llm.textops import STATS, doc_stats, slices
 
 FEATURES = 256
 GAMMA = 0.04
@@ -139,6 +139,19 @@ def score(stats: DataFrame, model: Model | None, threshold: float = 0.7, keep: l
     return stats.select(*names, *STATS).mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, unchanged, whose score reaches the threshold; texts pass through the tasks once."""
+
+    def run(batches):
+        for rows, data, off in slices(batches, text_col):
+            stats = doc_stats(data, off)
+            raw = _lift(describe(pa.RecordBatch.from_arrays([pa.array(stats[:, i]) for i in range(len(STATS))], list(STATS))), model) @ model.weights
+            p = 0.999 * np.interp(raw, model.curve_x, model.curve_y) + 0.001 * np.clip(raw, 0, 1)
+            yield rows.filter(pa.array(p >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows whose labels are never learned from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
