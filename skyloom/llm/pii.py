@@ -207,7 +207,8 @@ def spans_text(spans: Column) -> Column:
 
 def find(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.9) -> DataFrame:
     """Adds ``spans`` (kind, start, end; kinds count from 0 in KINDS) to each row. Null and empty texts have none; repeated rows have equal spans."""
-    return docs.withColumn("spans", accepted(model, proposals(F.col(text_col)), threshold))
+    proposed = docs.withColumn("_proposed", proposals(F.col(text_col)))  # a column of its own, so that it is made once
+    return proposed.withColumn("spans", accepted(model, F.col("_proposed"), threshold)).drop("_proposed")
 
 
 def redacted(text: Column, spans: Column) -> Column:
