@@ -42,8 +42,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind; ``n_chars`` follows where the text changed."""
-    model = pii.fit(docs.select(pii.proposals(F.col("text")).alias("proposed")))
-    found = pii.find(docs, model)
+    proposed = written(docs.withColumn("_proposed", pii.proposals(F.col("text"))), "proposed")
+    model = pii.fit(proposed, "_proposed")
+    found = proposed.withColumn("spans", pii.accepted(model, F.col("_proposed")))
     text = pii.redacted(F.col("text"), F.col("spans"))
     found = found.withColumn("text", text).withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(docs.columns)
