@@ -5,7 +5,7 @@ Model: for each language, log probabilities of hashed byte trigrams of words
 sums over the training rows, made per task and added up by Spark; what reaches
 the driver has a fixed size (languages x ``CELLS``), whatever the corpus.
 
-Labelling: a word's candidates are the languages seen in its script; over the
+Labelling: a word's candidates are all languages seen in its script, however rarely; over the
 candidates' scores Viterbi finds the best sequence, each change of language
 costing ``SWITCH`` nats. Runs of one language are the spans of a text.
 """
@@ -25,8 +25,6 @@ from skyloom.llm.textops import LETTER, slices, words
 BITS = 14
 CELLS = 1 << BITS
 SWITCH = 12.0
-#: A language needs this share of a script's words to be a candidate there.
-SCRIPT_SHARE = 0.001
 #: UTF-8 lead bytes of script ranges, in order; the highest in a word decides. Fixed values of Unicode's block layout.
 SCRIPTS = {"latin": [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCB)], "greek": [0xCE, 0xCF], "cyrillic": [*range(0xD0, 0xD4)], "armenian_hebrew": [*range(0xD4, 0xD8)], "arabic": [*range(0xD8, 0xDC)], "indic": [0xE0], "kana": [0xE3], "han": [*range(0xE4, 0xEA)], "hangul": [*range(0xEA, 0xEE)], "other": [0xE1, 0xE2, *range(0xF0, 0xF5)]}
 _SCRIPT = np.zeros(256, np.uint8)
@@ -95,8 +93,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
         raw[int(k) : int(k) + len(part), languages.index(lang)] += part
     grams, scripts = raw[:CELLS], raw[CELLS:]
     weights = np.log((grams + 0.1) / (grams + 0.1).sum(0)).astype(np.float32)
-    share = scripts / np.maximum(scripts.sum(1, keepdims=True), 1)
-    allowed = share >= SCRIPT_SHARE
+    allowed = scripts > 0
     allowed[~allowed.any(1)] = True
     return Model(languages, weights, allowed)
 
@@ -111,14 +108,15 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> n
     order = np.argsort(-size, kind="stable")
     first, size = bounds[:-1][order], size[order]
     n_labels = scores.shape[1]
-    choice = np.zeros(scores.shape, np.uint8)
-    out = np.zeros(len(scores), np.uint8)
+    kind = np.uint8 if n_labels <= 256 else np.int32
+    choice = np.zeros(scores.shape, kind)
+    out = np.zeros(len(scores), kind)
     if not len(scores):
         return out
     best = np.zeros((len(first), n_labels), scores.dtype)
     longest = int(size[0])
     alive = np.searchsorted(-size, -np.arange(longest), "left")
-    labels = np.arange(n_labels, dtype=np.uint8)
+    labels = np.arange(n_labels, dtype=kind)
     for t in range(longest):
         a = alive[t]
         at = first[:a] + t

@@ -56,3 +56,21 @@ def test_no_training_rows(spark):
     model = langid.fit(training(spark).filter(F.lit(False)))
     assert [r["lang_pred"] for r in langid.identify(documents(spark, [EN, None]), model).collect()] == ["und", "und"]
     assert langid.identify(documents(spark, []), model).count() == 0
+
+
+def test_rare_language_is_found(spark):
+    """One word in ten thousand is of the third language, in the script of the first."""
+    fi = "hyvää huomenta kaikille ystäville jotka asuvat pienessä kylässä järven rannalla talvella"
+    common = spark.range(240).select("id", F.lit(f"{EN} " * 300).alias("text"), F.lit("en").alias("lang"))
+    other = spark.createDataFrame([(900, f"{fi} " * 11, "fi"), (901, RU, "ru")], "id long, text string, lang string")
+    model = langid.fit(common.union(other))
+    n = {"en": 240 * 300 * len(EN.split()), "fi": 11 * len(fi.split())}
+    assert n["fi"] / n["en"] <= 1.0e-4
+    got = langid.identify(documents(spark, [fi, EN, RU]), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got] == ["fi", "en", "ru"]
+
+
+def test_more_than_256_languages():
+    want = np.array([0, 299, 299, 256, 7])
+    scores = np.where(np.arange(300) == want[:, None], 9.0, 0.0)
+    assert langid.viterbi(scores, np.array([0, 3, 5]), 0.5).tolist() == want.tolist()
