@@ -1,12 +1,19 @@
 """Conversations as training windows under a token budget, in DataFrame functions only.
 
-Prefix sums of turn tokens choose spans that begin and end with a turn: a turn
-belongs to window ``floor(tokens before it / stride)``. The stride is half of
-what the budget leaves beside the repeated turns, so a window stays within the
-budget whenever none of its turns is longer than the stride; a longer turn is
-never cut. Every window repeats the leading system turn and the last
-``history`` turns before it; repeated turns are outside the loss mask, so each
-assistant text is a target exactly once.
+Prefix sums of turn tokens choose spans that begin and end with a turn: turns
+with equal ``floor(tokens before it / stride)`` share a window, and a turn that
+might not fit beside them begins one of its own. The stride is half of the
+room, which is what the budget leaves beside the repeated turns: ``reserve``
+tokens, or the leading system turn where that is longer. A window repeats the
+system turn, then the last ``history`` turns before it, newest first, each as
+far as it fits in what the window's own turns leave of the budget.
+
+So no window exceeds the budget, but for one whose only turn of its own is
+longer than the budget: a turn is never cut, and beside such a one repeated
+turns take ``reserve`` tokens at most. A system turn longer than the budget
+less ``reserve`` is alone in its window and repeated only where it fits.
+Repeated turns are outside the loss mask, so each assistant text is a target
+exactly once.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Inside roles and
 texts a backslash is doubled and ``<|`` becomes ``<\\|``; in roles a line feed
@@ -52,32 +59,49 @@ def format_windows(conversations: DataFrame, budget: int = 2048, history: int =
     ``loss_spans`` are code-point ranges of ``text``, end exclusive: the texts
     of assistant turns that are not repeated. The first ``n_repeated`` turns of
     ``text`` occur in an earlier window as well. ``reserve`` tokens of the
-    budget are for repeated turns.
+    budget are for repeated turns. Windows count from 0. Sizes are those that
+    ``tokens`` gives for a turn's text.
 
     Turns are ordered by turn, nulls first; equal turns by role, then text, and
     repeated rows stay repeated turns. A null role or text is empty. Null
     conv_ids form one conversation. No rows give no windows. Extra columns are
     dropped.
     """
-    stride = max(1, (budget - reserve) // 2)
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
+    led = F.coalesce(F.col("system.size"), F.lit(0).cast("long"))
+    room = budget - F.when(led > budget - reserve, F.lit(reserve)).otherwise(F.greatest(F.lit(reserve), led))
+    stride = F.greatest(F.lit(1), F.floor(room / 2))
+    follows = F.lag("leads").over(order) & (led > budget - reserve)
+    begins = (F.col("span") != F.lag("span").over(order)) | (F.col("size") > room - stride) | follows
     placed = (
         turns.withColumn("n", F.row_number().over(order))
         .withColumn("leads", (F.col("n") == 1) & (F.col("role") == "system"))
-        .withColumn("system", F.first(F.when(F.col("leads"), F.struct("role", "text"))).over(so_far))
-        .withColumn("size", F.when(F.col("leads"), F.lit(0)).otherwise(tokens(F.col("text"))).cast("long"))
-        .withColumn("window", F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / stride).cast("long"))
+        .withColumn("size", tokens(F.col("text")).cast("long"))
+        .withColumn("system", F.first(F.when(F.col("leads"), F.struct("role", "text", "size"))).over(so_far))
+        .withColumn("span", F.floor(F.coalesce(F.sum(F.when(F.col("leads"), 0).otherwise(F.col("size"))).over(before), F.lit(0)) / stride).cast("long"))
+        .withColumn("begins", F.when((F.col("n") > 1) & begins, 1).otherwise(0))
+        .withColumn("window", F.sum("begins").over(so_far))
         .withColumn("later", F.array_distinct(F.array(*(F.coalesce(F.lead("window", k).over(order), F.col("window")) for k in range(1, history + 1)), F.col("window"))))
     )
     shown = F.when(F.col("leads"), F.array("window")).otherwise(F.col("later"))
     rows = placed.withColumn("own", F.col("window")).withColumn("window", F.explode(shown))
-    item = F.struct("n", (F.col("own") == F.col("window")).alias("fresh"), "role", "text")
+    item = F.struct("n", (F.col("own") == F.col("window")).alias("fresh"), "role", "text", "size")
     gathered = rows.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(item)).alias("items"), F.first("system").alias("system"))
-    again = F.array(F.struct(F.lit(0).alias("n"), F.lit(False).alias("fresh"), F.col("system.role").alias("role"), F.col("system.text").alias("text")))
-    items = F.when(F.col("system").isNotNull() & (F.col("window") > 0), F.concat(again, F.col("items"))).otherwise(F.col("items"))
+    again = F.array(F.struct(F.lit(0).alias("n"), F.lit(False).alias("fresh"), F.col("system.role").alias("role"), F.col("system.text").alias("text"), F.col("system.size").alias("size")))
+    gathered = gathered.withColumn("items", F.when(F.col("system").isNotNull() & (F.col("window") > 0), F.concat(again, F.col("items"))).otherwise(F.col("items")))
+    own = F.aggregate(F.filter("items", lambda x: x["fresh"]), F.lit(0).cast("long"), lambda total, x: total + x["size"])
+    left = F.when(own <= budget, budget - own).otherwise(F.lit(reserve)).cast("long")
+    repeated = F.filter("items", lambda x: ~x["fresh"])
+    newest_first = F.concat(F.filter(repeated, lambda x: x["n"] == 0), F.reverse(F.filter(repeated, lambda x: x["n"] > 0)))
+    take = lambda at, x: F.struct(
+        F.when(x["size"] <= at["left"], at["left"] - x["size"]).otherwise(at["left"]).alias("left"),
+        F.when(x["size"] <= at["left"], F.concat(at["kept"], F.array(x["n"]))).otherwise(at["kept"]).alias("kept"),
+    )
+    gathered = gathered.withColumn("kept", F.aggregate(newest_first, F.struct(left.alias("left"), F.array().cast("array<int>").alias("kept")), take)["kept"])
+    items = F.filter("items", lambda x: x["fresh"] | F.array_contains("kept", x["n"]))
     head = lambda x: F.concat(F.lit(START), escape_role(x["role"]), F.lit("\n"))
     pieces = F.transform(F.col("items"), lambda x: F.struct(x["fresh"].alias("fresh"), (x["role"] == "assistant").alias("target"), head(x).alias("head"), escape(x["text"]).alias("body")))
     tail = END + "\n"
