@@ -74,6 +74,22 @@ def test_redaction_and_reliability(spark):
     assert model.reliability[1, 0, 2] > model.reliability[0, 0, 2]
 
 
+def test_long_secrets_are_found_whole(spark):
+    key = lambda n, i=0: "".join("aZ3_b9-Q"[(k * k + k // 7 + i) % 8] for k in range(n - 1)) + "7"
+    alone = [key(20), key(128), key(129), key(300), key(20000), "x" * 150 + "1", "1" * 150 + "x", "-" * 150 + "a1", key(19)[:19], "x" * 300, "_1" * 3 + "-" * 300, "é" + key(129) + "é"]
+    docs = documents(spark, [f"key = {t} end" for t in alone]).select("doc_id", F.filter(pii.proposals(F.col("text")), lambda s: s["kind"] == 4).alias("s"))
+    got = [[(s["start"], s["end"]) for s in r["s"]] for r in docs.orderBy("doc_id").collect()]
+    want = [[(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9_-]{20,}", f"key = {t} end") if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group())] for t in alone]
+    assert got == want and [bool(w) for w in want] == [True] * 8 + [False] * 3 + [True]
+
+    signature = lambda i: (hashlib.sha512(str(i).encode()).hexdigest() * 20)[: (40, 129, 300, 2000)[i % 4]]
+    texts = [f"{prose(i, 20)} write to user{i}@mail.example.com or token = \"{signature(i)}\" {prose(i + 99, 9)}" for i in range(40)]
+    docs = documents(spark, texts)
+    model = pii.fit(docs.select(pii.proposals(F.col("text")).alias("proposed")))
+    out = pii.find(docs, model).withColumn("text", pii.redacted(F.col("text"), F.col("spans"))).orderBy("doc_id").collect()
+    assert [r["text"] for r in out] == [f"{prose(i, 20)} write to <email> or token = \"<secret>\" {prose(i + 99, 9)}" for i in range(40)]
+
+
 def test_empty(spark):
     docs = documents(spark, []).withColumn("proposed", pii.proposals(F.col("text")))
     assert pii.digest(docs, pii.fit(docs)).count() == 0
