@@ -11,6 +11,10 @@ from skyloom.sources import readers
 from skyloom.streaming.ingest import incremental_ingest
 
 
+#: Header and timing pairs in a log file; times in a benchmark document, as a power of two.
+LINES, TIMES_BITS = 100_000, 13
+
+
 def text_of(df, *cols):
     return df.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in cols)).alias("value"))
 
@@ -35,10 +39,10 @@ def read_star_table(t):
 
 @query("template_lines", "SELECT (row_number() OVER (ORDER BY p_partkey) - 1)::INT AS idx, p_name AS name FROM {part} QUALIFY p_partkey % 7 <> 0")
 def template_lines(t):
-    """A list with every seventh slot marked as garbage; one file, since its lines are numbered."""
+    """A list with every seventh slot marked as garbage; its files follow one another in order of name."""
     df = t("part").orderBy("p_partkey").select(F.when(F.col("p_partkey") % 7 == 0, "garbage").otherwise(F.col("p_name")).alias("value"))
     path = readers.shared_folder(df.sparkSession)
-    df.coalesce(1).write.text(path)
+    df.write.text(path)
     return readers.template_lines(df.sparkSession, path)
 
 
@@ -57,22 +61,23 @@ LOGS = "(SELECT (user_id % 5)::VARCHAR AS run, event_id % 18 + 1 AS sca, round(v
 
 @query("read_run_logs", f"SELECT sca::INT AS sca, 'sed' AS step, round(sum(v), 2) AS s FROM {LOGS} GROUP BY sca")
 def read_run_logs(t):
-    """Worker logs: a header line per detector, then a timing line."""
+    """Worker logs, as many as the events fill: a header line per detector, then a timing line."""
     e = t("events")
     path = readers.shared_folder(e.sparkSession)
     pair = F.concat(F.lit("start SCA "), (F.col("event_id") % 18 + 1).cast("string"), F.lit("\n  sed: "), F.format_string("%.2f", F.round("value", 2)), F.lit(" s"))
-    e.select((F.col("user_id") % 5).alias("run"), pair.alias("value")).repartition("run").drop("run").write.text(path)
+    e.select(pair.alias("value")).write.option("maxRecordsPerFile", LINES).text(path)
     out = readers.read_run_logs(e.sparkSession, path)
     return out.groupBy("sca", "step").agg(F.round(F.sum("s"), 2).alias("s"))
 
 
 @query("read_bench_json", "SELECT ord, variant, count(*) AS n, round(avg(ms), 3) AS mean FROM {bench} GROUP BY ord, variant")
 def read_bench_json(t):
+    """Documents of at most 2**TIMES_BITS times, from rows that follow one another in a partition."""
     b = t("bench")
     path = readers.shared_folder(b.sparkSession)
-    rows = b.groupBy(F.month("run").alias("m"), "ord", "variant").agg(F.collect_list("ms").alias("ms_per_gal"))
+    rows = b.withColumn("m", F.shiftright(F.monotonically_increasing_id(), TIMES_BITS)).groupBy("m", "ord", "variant").agg(F.collect_list("ms").alias("ms_per_gal"))
     docs = rows.groupBy("m").agg(F.collect_list(F.struct(F.col("ord").alias("order"), "variant", "ms_per_gal")).alias("results")).select(F.struct(F.lit("gpu").alias("gpu")).alias("meta"), "results")
-    docs.repartition("results").write.option("maxRecordsPerFile", 1).json(path)
+    docs.write.option("maxRecordsPerFile", 1).json(path)
     out = readers.read_bench_json(b.sparkSession, path)
     return out.groupBy(F.col("order").alias("ord"), "variant").agg(F.count("*").alias("n"), r(F.avg("ms"), 3).alias("mean"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -145,8 +148,24 @@ def status_summary(t):
 
 @query("file_list_hash", "SELECT src_group, substr(sha256(string_agg('file_' || catalog_index, chr(10) ORDER BY 'file_' || catalog_index)), 1, 12) AS hash FROM {sources} GROUP BY src_group")
 def file_list_hash(t):
+    """Sorted names run through the hash batch by batch, so a group's list never stands in one row."""
     name = F.concat(F.lit("file_"), F.col("catalog_index").cast("string"))
-    return t("sources").groupBy("src_group").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(name)), "\n"), 256), 1, 12).alias("hash"))
+
+    def run(batches):
+        last, sha = None, None
+        for b in batches:
+            for group, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if sha is None or group != last:
+                    if sha is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([sha.hexdigest()[:12]])], ["src_group", "hash"])
+                    last, sha = group, hashlib.sha256(n.encode())
+                else:
+                    sha.update(b"\n" + n.encode())
+        if sha is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([sha.hexdigest()[:12]])], ["src_group", "hash"])
+
+    names = t("sources").select("src_group", name.alias("name")).repartition("src_group").sortWithinPartitions("src_group", "name")
+    return names.mapInArrow(run, "src_group int, hash string")
 
 
 @query("row_in_cell", "SELECT catalog_index, row_number() OVER (PARTITION BY pix // 1024 ORDER BY catalog_index) - 1 AS hp_row FROM {cells}")

@@ -65,10 +65,20 @@ def _fields(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
     return lines.filter(~F.col("line").rlike("^(#.*)?$")).select(F.split("line", r"\s+").alias("w"))
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file, piece, line, value): lines in order of line within a piece of a file, pieces by where they start. Written once, so that all readers see the same pieces."""
+    read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("line"), "value")
+    kept = shared_folder(spark)
+    read.write.parquet(kept)
+    return spark.read.parquet(kept).withColumn("file", F.element_at(F.split("path", "/"), -1))
+
+
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, value): lines with their number in the file. Each file is one row for a moment, so files are lists and logs, not tables."""
-    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("at", "value"))
+    """(at, value): lines with their number from 0 over all files in order of name. Numbers within pieces plus the lines of the pieces before; only one row a piece goes through the single-task window."""
+    lines = _lines(spark, path)
+    pieces = lines.groupBy("path", "piece").agg(F.min("line").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("path", "piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(pieces.select("path", "piece", (before - F.col("first")).alias("shift")), ["path", "piece"]).select((F.col("line") + F.col("shift")).cast("int").alias("at"), "value")
 
 
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
@@ -84,7 +94,7 @@ def read_star_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def template_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, name) of a line-numbered list, without 'garbage' slots."""
+    """(idx, name) of a line-numbered list in one or more files, without 'garbage' slots."""
     return _numbered(spark, path).select(F.col("at").alias("idx"), F.trim("value").alias("name")).filter("name <> 'garbage' and name <> ''")
 
 
@@ -115,11 +125,15 @@ def discover_products(spark: SparkSession, path: str) -> DataFrame:
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     """(run, sca, seconds by step) of worker logs: lines 'SCA n' and 'step: x s'; the last header holds until the next in a file."""
-    lines = _numbered(spark, path)
     header = F.nullif(F.regexp_extract("value", r"\bSCA (\d+)", 1), F.lit("")).cast("int")
-    w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = _lines(spark, path).withColumn("header", header)
+    w = Window.partitionBy("path", "piece").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("path").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = lines.groupBy("path", "piece").agg(F.max_by("header", F.when(F.col("header").isNotNull(), F.col("line"))).alias("last"))
+    pieces = pieces.select("path", "piece", F.last("last", ignorenulls=True).over(before).alias("carried"))
     step, seconds = F.regexp_extract("value", r"(\w+): ([\d.]+) s", 1), F.nullif(F.regexp_extract("value", r"(\w+): ([\d.]+) s", 2), F.lit("")).cast("double")
-    found = lines.withColumn("sca", F.last(header, ignorenulls=True).over(w)).select(F.col("file").alias("run"), "sca", step.alias("step"), seconds.alias("s"))
+    filled = lines.withColumn("own", F.last("header", ignorenulls=True).over(w)).join(pieces, ["path", "piece"])
+    found = filled.select(F.col("file").alias("run"), F.coalesce("own", "carried").alias("sca"), step.alias("step"), seconds.alias("s"))
     return found.filter("s is not null and sca is not null").groupBy("run", "sca", "step").agg(F.sum("s").alias("s"))
 
 
