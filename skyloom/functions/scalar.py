@@ -110,16 +110,22 @@ def wl_inverse(t, ref, kind) -> Column:
     return F.when(col(kind) == "log", col(ref) * F.pow(F.lit(10.0), col(t))).otherwise(col(t) + col(ref))
 
 
-def poly1d(x: Column, coefficients: Column) -> Column:
-    """Horner over an array, lowest power first."""
-    return F.aggregate(F.reverse(coefficients), F.lit(0.0), lambda acc, c: acc * x + c)
+#: Sizes of a calibration's coefficient arrays: powers of the wavelength term, and of x and y in each coefficient.
+POWERS, GRID = 3, (2, 2)
 
 
-def poly2d(x, y, grid: Column) -> Column:
-    """Sum of grid[i][j] x**i y**j."""
+def horner(x: Column, coefficients: list[Column]) -> Column:
+    """Sum of coefficients[i] x**i, written out, so that it compiles to plain arithmetic."""
+    out = coefficients[-1]
+    for c in reversed(coefficients[:-1]):
+        out = out * x + c
+    return out
+
+
+def poly2d(x, y, grid: Column, shape: tuple[int, int] = GRID) -> Column:
+    """Sum of grid[i][j] x**i y**j over a grid of the given shape."""
     x, y = col(x), col(y)
-    rows = F.reverse(F.transform(grid, lambda row: poly1d(y, row)))
-    return F.aggregate(rows, F.lit(0.0), lambda acc, r: acc * x + r)
+    return horner(x, [horner(y, [grid[i][j] for j in range(shape[1])]) for i in range(shape[0])])
 
 
 def nested_calibration(calibration: DataFrame) -> DataFrame:
@@ -136,15 +142,15 @@ def nested_calibration(calibration: DataFrame) -> DataFrame:
     )
 
 
-def trace_coeffs(x, y, cube: Column) -> Column:
+def trace_coeffs(x, y, cube: Column, powers: int = POWERS) -> list[Column]:
     """Coefficients at a position, one for each power."""
-    return F.transform(cube, lambda g: poly2d(x, y, g))
+    return [poly2d(x, y, cube[k]) for k in range(powers)]
 
 
 def trace_mpa(x, y, wavelength) -> tuple[Column, Column]:
     """Position in mm of light of a wavelength (micron) from focal-plane (x, y) in degrees; calibration as nested columns."""
-    along = poly1d(wl_transform(wavelength, "wl_ref", "kind"), trace_coeffs(x, y, F.col("d_ijk")))
-    across = poly1d(along, trace_coeffs(x, y, F.col("c_ijk")))
+    along = horner(wl_transform(wavelength, "wl_ref", "kind"), trace_coeffs(x, y, F.col("d_ijk")))
+    across = horner(along, trace_coeffs(x, y, F.col("c_ijk")))
     return poly2d(x, y, F.col("x_ij")) + across, poly2d(x, y, F.col("y_ij")) + along
 
 

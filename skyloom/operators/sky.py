@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.scalar import haversine, require_double
+from skyloom.sources.readers import kept
 
 #: Up to so many rows of a small side are sent to every task; beyond, the join shuffles.
 FEW = 200_000
@@ -55,65 +57,82 @@ def cone_join(sources: DataFrame, centers: DataFrame, radius: float) -> DataFram
     return left.join(small(right), ["zone", "cell"]).withColumn("sep", haversine("ra", "dec", "ra0", "dec0")).filter(F.col("sep") <= radius).drop("zone", "cell")
 
 
-def nearest_match(targets: DataFrame, catalog: DataFrame, key: str, start: float = 0.02, rounds: int = 4) -> DataFrame:
+def nearest_match(targets: DataFrame, catalog: DataFrame, key: str, start: float = 0.02) -> DataFrame:
     """Nearest catalog row of each target (ra0, dec0), with its separation in arcsec and whether that is within one.
 
-    The search radius grows eightfold for targets not yet matched; what is left
-    is compared with the whole catalog. Ties go to the smallest catalog id.
+    The search radius grows eightfold, up to the whole sky, for targets not yet
+    matched; what a round finds and leaves is written, so that no round repeats
+    those before. Ties go to the smallest catalog id. An empty catalog matches none.
     """
-    best = None
-    left, radius = targets, start
-    for _ in range(rounds):
-        found = cone_join(catalog, left, radius).groupBy(key).agg(F.min(F.struct("sep", "catalog_index")).alias("m"))
-        best = found if best is None else best.union(found)
-        left = left.join(found, key, "left_anti")
-        radius *= 8
+    found, left, radius = [], targets, start
+    while True:
+        best = kept(cone_join(catalog, left, radius).groupBy(key).agg(F.min(F.struct("sep", "catalog_index")).alias("m")))
+        found.append(best)
+        if radius == 180.0:
+            break
+        left = kept(left.join(best.select(key), key, "left_anti"))
         if left.isEmpty():
             break
-    else:
-        rest = catalog.crossJoin(small(left)).withColumn("sep", haversine("ra", "dec", "ra0", "dec0"))
-        best = best.union(rest.groupBy(key).agg(F.min(F.struct("sep", "catalog_index")).alias("m")))
-    return best.select(key, "m.catalog_index", (F.col("m.sep") * 3600).alias("sep_arcsec"), (F.col("m.sep") * 3600 <= 1).alias("good"))
+        radius = min(radius * 8, 180.0)
+    return reduce(DataFrame.union, found).select(key, "m.catalog_index", (F.col("m.sep") * 3600).alias("sep_arcsec"), (F.col("m.sep") * 3600 <= 1).alias("good"))
 
 
 def nearest_within(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
-    """Nearest row of b (id_b, ra_b, dec_b) of each row of a (id_a, ra_a, dec_a) by flat separation in degrees, if within a tolerance."""
+    """Nearest row of b (id_b, ra_b, dec_b) of each row of a (id_a, ra_a, dec_a) by flat separation in degrees, if within a tolerance.
+
+    Cells are zones of declination cut in right ascension, wide enough in each
+    zone that a row of b is needed in three cells of three zones only.
+    """
     z = lambda c: F.floor(F.col(c) / tolerance)
-    right = b.withColumn("zone", F.explode(F.sequence(z("dec_b") - 1, z("dec_b") + 1)))
-    pairs = a.withColumn("zone", z("dec_a")).join(right, "zone")
+    edge = F.greatest(F.abs("zone"), F.abs(F.col("zone") + 1)) * tolerance
+    width = F.least(F.lit(360.0), tolerance * 1.000001 / F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(1e-9)))
+    cell = lambda c: F.floor(F.col(c) / F.col("width"))
+    right = b.withColumn("zone", F.explode(F.sequence(z("dec_b") - 1, z("dec_b") + 1))).withColumn("width", width)
+    right = right.withColumn("cell", F.explode(F.sequence(cell("ra_b") - 1, cell("ra_b") + 1))).drop("width")
+    pairs = a.withColumn("zone", z("dec_a")).withColumn("width", width).withColumn("cell", cell("ra_a")).drop("width").join(right, ["zone", "cell"])
     d = F.sqrt(F.pow((F.col("ra_a") - F.col("ra_b")) * F.cos(F.radians("dec_a")), 2) + F.pow(F.col("dec_a") - F.col("dec_b"), 2))
     pairs = pairs.withColumn("d", d).filter(F.col("d") <= tolerance)
     return pairs.groupBy("id_a").agg(F.min(F.struct("d", "id_b")).alias("m")).select("id_a", "m.id_b", "m.d")
 
 
-def neighbours(df: DataFrame, radius: float, x: str = "xsca", y: str = "ysca", by: tuple[str, ...] = ("sca", "ord")) -> DataFrame:
-    """Rows (id, other) of the same group within a radius on the detector, through a grid of that size."""
+def without_neighbour(left: DataFrame, df: DataFrame, radius: float, beats: Column | None = None) -> DataFrame:
+    """Rows of ``left`` that have no other row of ``df`` of the same detector and order within a radius.
+
+    Both go through a grid of that size. The join stops at a row's first
+    neighbour, so pairs are never written out. ``beats`` says which neighbours
+    count, in columns mag, id, mag2 and other.
+    """
     cell = lambda c: F.floor(F.col(c) / radius)
-    left = df.select(*by, F.col("catalog_index").alias("id"), F.col(x).alias("x1"), F.col(y).alias("y1"), cell(x).alias("gx"), cell(y).alias("gy"))
-    right = df.select(*by, F.col("catalog_index").alias("other"), F.col(x).alias("x2"), F.col(y).alias("y2"), F.col("mag").alias("mag2"), F.explode(F.sequence(cell(x) - 1, cell(x) + 1)).alias("gx"), cell(y).alias("gy0"))
-    right = right.withColumn("gy", F.explode(F.sequence(F.col("gy0") - 1, F.col("gy0") + 1)))
-    return left.join(right, [*by, "gx", "gy"]).filter((F.col("id") != F.col("other")) & (F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")) <= radius)).select(*by, "id", "other", "mag2")
+    near = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    one = left.withColumns({"id": F.col("catalog_index"), "gx": cell("xsca"), "gy": cell("ysca")})
+    two = df.select("sca", "ord", F.col("catalog_index").alias("other"), F.col("mag").alias("mag2"), F.col("xsca").alias("x2"), F.col("ysca").alias("y2"), near("xsca").alias("gx"))
+    two = two.withColumn("gy", F.explode(F.sequence(F.floor(F.col("y2") / radius) - 1, F.floor(F.col("y2") / radius) + 1)))
+    same = [one[k] == two[k] for k in ("sca", "ord", "gx", "gy")]
+    close = (F.col("id") != F.col("other")) & (F.hypot(F.col("xsca") - F.col("x2"), F.col("ysca") - F.col("y2")) <= radius)
+    on = reduce(lambda x, y: x & y, [*same, close] + ([beats] if beats is not None else []))
+    return one.join(two, on, "left_anti").select(*left.columns)
 
 
 def isolated_sources(df: DataFrame, radius: float, halvings: int = 4) -> DataFrame:
-    """Sources with no neighbour of their order within the largest radius of a halving ladder at which any is isolated, with that radius."""
-    radii = [radius / 2**k for k in range(halvings)]
-    close = neighbours(df, radius)
-    xy = df.select(F.col("catalog_index").alias("other"), F.col("xsca").alias("x2"), F.col("ysca").alias("y2"))
-    own = df.select("sca", "ord", F.col("catalog_index").alias("id"), F.col("xsca").alias("x1"), F.col("ysca").alias("y1"))
-    d = close.join(own, ["sca", "ord", "id"]).join(xy, "other").groupBy("sca", "ord", "id").agg(F.min(F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))).alias("d"))
-    level = F.coalesce(*(F.when(F.col("d").isNull() | (F.col("d") > x), F.lit(x)) for x in radii))
-    found = own.join(d, ["sca", "ord", "id"], "left").withColumn("level", level).filter("level is not null")
-    top = found.groupBy("ord").agg(F.max("level").alias("best"))
-    return found.join(F.broadcast(top), "ord").filter("level = best").select(F.col("id").alias("catalog_index"), "sca", "ord", F.col("level").alias("radius"))
+    """Sources with no neighbour of their order within the largest radius of a halving ladder at which any is isolated, with that radius.
+
+    The ladder is climbed from its smallest radius; a row with a neighbour there is out for all others.
+    """
+    rows = df.select("catalog_index", "sca", "ord", "xsca", "ysca", "mag")
+    alive, found = rows, []
+    for k in range(halvings - 1, -1, -1):
+        alive = kept(without_neighbour(alive, rows, radius / 2**k))
+        found.append(alive.select("catalog_index", "sca", "ord", F.lit(radius / 2**k).alias("radius")))
+    levels = reduce(DataFrame.union, found)
+    top = levels.groupBy("ord").agg(F.max("radius").alias("radius"))
+    return levels.join(F.broadcast(top), ["ord", "radius"]).select("catalog_index", "sca", "ord", "radius")
 
 
 def separated_top_n(df: DataFrame, n: int, radius: float) -> DataFrame:
     """The n brightest among sources that are the brightest within a radius. (A greedy pick in order of brightness may keep more.)"""
-    close = neighbours(df, radius)
-    mags = df.select("sca", "ord", F.col("catalog_index").alias("id"), "mag")
-    beaten = mags.join(close, ["sca", "ord", "id"]).filter((F.col("mag2") < F.col("mag")) | ((F.col("mag2") == F.col("mag")) & (F.col("other") < F.col("id")))).select("sca", "ord", "id")
-    return mags.join(beaten, ["sca", "ord", "id"], "left_anti").orderBy("mag", "id").limit(n).select(F.col("id").alias("catalog_index"), "mag")
+    rows = df.select("catalog_index", "sca", "ord", "xsca", "ysca", "mag")
+    brighter = (F.col("mag2") < F.col("mag")) | ((F.col("mag2") == F.col("mag")) & (F.col("other") < F.col("id")))
+    return without_neighbour(rows, rows, radius, brighter).orderBy("mag", "catalog_index").limit(n).select("catalog_index", "mag")
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -42,13 +42,22 @@ def segments(curve: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> D
 
 
 def interp_join(points: DataFrame, curve: DataFrame, keys: list[str], at: str, x: str = "x", y: str = "y") -> DataFrame:
-    """points with ``value``: linear interpolation of their key's curve, clamped at both ends. Keys without a curve are left out."""
-    s = segments(curve, keys, x, y)
-    p = F.least(F.greatest(F.col(at), F.col("lo")), F.col("hi"))
-    inside = (p >= F.col("x0")) & (F.col("x1").isNull() | (p < F.col("x1")))
-    value = F.when(F.col("x1").isNull(), F.col("y0")).otherwise(F.col("y0") + (p - F.col("x0")) / (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
-    joined = points.join(s, keys) if keys else points.crossJoin(s)
-    return joined.filter(inside).withColumn("value", value).drop("x0", "y0", "x1", "y1", "lo", "hi")
+    """points with ``value``: linear interpolation of their key's curve, clamped at both ends. Keys without a curve are left out.
+
+    A curve's range is cut into as many bins as it has samples. Segments stand
+    in the bins they touch, points in one, so a point meets few segments by
+    equi-join, however many samples there are.
+    """
+    ends = curve.groupBy(*keys).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count("*").alias("bins"))
+    place = lambda v: F.coalesce(F.least(F.floor((v - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * F.col("bins")), F.col("bins") - 1), F.lit(0))
+    both = lambda a, b: a.join(b, keys) if keys else a.crossJoin(b)
+    s = both(segments(curve, keys, x, y).drop("lo", "hi"), small(ends))
+    s = s.select(*keys, "x0", "y0", "x1", "y1", F.explode(F.sequence(place(F.col("x0")), place(F.coalesce("x1", "x0")))).alias("bin"))
+    p = both(points, small(ends)).withColumn("p", F.least(F.greatest(F.col(at), F.col("lo")), F.col("hi")))
+    p = p.withColumn("bin", place(F.col("p")))
+    inside = (F.col("p") >= F.col("x0")) & (F.col("x1").isNull() | (F.col("p") < F.col("x1")))
+    value = F.when(F.col("x1").isNull(), F.col("y0")).otherwise(F.col("y0") + (F.col("p") - F.col("x0")) / (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    return p.join(small(s), [*keys, "bin"]).filter(inside).withColumn("value", value).select(*points.columns, "value")
 
 
 def scrub(flux: Column, limit: float) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import scalar as S
-from skyloom.operators import cuts, sky, spectra
+from skyloom.operators import cuts, footprint, sky, spectra
 from skyloom.plans.registry import query
 from skyloom.plans.scalar_queries import FPA_SQL, HAV, NESTED, focal, nested, r, traced_sql
 
@@ -175,14 +175,8 @@ OVERLAP = "SELECT catalog_index, type, sca, ord FROM traced GROUP BY ALL HAVING
 
 
 def overlaps(t):
-    """(source, detector, order) whose trace, at five wavelengths, meets the padded detector. The calibration is small by construction."""
-    df = focal(t).select("catalog_index", "type", "xf", "yf").crossJoin(F.broadcast(S.nested_calibration(t("calibration"))))
-    for i, w in enumerate(WAVES):
-        px, py = S.trace_position("xf", "yf", F.lit(w))
-        df = df.withColumns({f"px{i}": px, f"py{i}": py})
-    most = lambda f, c: f(*(F.col(f"{c}{i}") for i in range(5)))
-    meets = (most(F.greatest, "px") >= -300) & (most(F.least, "px") <= 4388) & (most(F.greatest, "py") >= -300) & (most(F.least, "py") <= 4388)
-    return df.filter(meets).select("catalog_index", "type", "sca", "ord")
+    """(source, detector, order) whose trace, at five wavelengths, meets the padded detector."""
+    return footprint.detector_overlap(focal(t).select("catalog_index", "type", "xf", "yf"), S.nested_calibration(t("calibration")), WAVES).select("catalog_index", "type", "sca", "ord")
 
 
 @query("detector_overlap", f"{TRACED} {OVERLAP}")

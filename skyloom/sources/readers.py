@@ -50,14 +50,23 @@ def read_pointings(spark: SparkSession, path: str, bandpass: str, schema: str) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path under spark.checkpoint.dir, which all executors share; under a temporary folder where that is unset."""
+    """A new folder's path under spark.checkpoint.dir, which all executors share. Where that is unset, a temporary folder, on a single machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/skyloom-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: made once, and not lost with an executor."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _fields(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
     """Blank-separated words of each line that is not empty or a comment; with a header, without the first line of each file."""
     lines = spark.read.schema("value string").csv(path, sep="\x01", header=True) if header else spark.read.text(path)
@@ -68,9 +77,7 @@ def _fields(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, file, piece, line, value): lines in order of line within a piece of a file, pieces by where they start. Written once, so that all readers see the same pieces."""
     read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("line"), "value")
-    kept = shared_folder(spark)
-    read.write.parquet(kept)
-    return spark.read.parquet(kept).withColumn("file", F.element_at(F.split("path", "/"), -1))
+    return kept(read).withColumn("file", F.element_at(F.split("path", "/"), -1))
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
