@@ -12,8 +12,10 @@ hash. The windows that share one anchor form a segment of a document.
    ``LENGTH`` bytes are repeated.
 3. A group of more than ``CROWD`` segments is cut by distance from the anchor
    into halves, which are grouped anew by the bytes that all windows of a half
-   share. Halving ends at single windows, which are equal if those bytes are.
-   So no group meets in one task, however many documents share a passage.
+   share; halves that are equal are one again, so groups shrink as their halves
+   come closer to the anchor. Halving ends at single windows, which are equal if
+   those bytes are. So no group meets in one task, however many documents share
+   a passage.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from skyloom.llm.textops import U, mix, prefix, slices, spans_hash
 
 LENGTH = 400
 GRAM = 32
-CROWD = 1000
+CROWD = 100
 #: Up to so many row keys are sent to every task; beyond, the join shuffles.
 FEW_IDS = 500_000
 #: Bytes of segments sorted at a time, unless one group has more.
@@ -250,12 +252,16 @@ def repeated_spans(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def halves(pieces: DataFrame, length: int) -> DataFrame:
-    """Each piece cut at the middle of its band of distances from the anchor, with keys by what all windows of the band share."""
+    """Each piece cut at the middle of its band of distances from the anchor, with keys by what all windows of the band share.
+
+    ``twin`` is a hash of a half's windows: halves of one key and twin are equal.
+    """
 
     def run(batches):
         for b in batches:
             rows = b.to_pylist()
             out: dict[str, list] = {x: [] for x in b.schema.names}
+            spots: list[int] = []
             text = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
             sums = prefix(text, False)
             at = 0
@@ -266,8 +272,10 @@ def halves(pieces: DataFrame, length: int) -> DataFrame:
                     first, last = max(r["first"], r["place"] - d1 + 1), min(r["last"], r["place"] - d0)
                     if first > last or d0 == d1:
                         continue
-                    for k, v in (r | {"first": first, "last": last, "d0": d0, "d1": d1}).items():
+                    half = {"base": r["base"] + first, "first": 0, "last": last - first, "place": r["place"] - first, "d0": d0, "d1": d1, "bytes": r["bytes"][first : last + length]}
+                    for k, v in (r | half).items():
                         out[k].append(v)
+                    spots.append(at + first)
                     starts.append(at + r["place"] - d0)
                     stops.append(at + r["place"] - d1 + 1 + length)
                     tags.append(r["key"] * 1024 + d0)
@@ -275,9 +283,22 @@ def halves(pieces: DataFrame, length: int) -> DataFrame:
             core = spans_hash(sums, np.array(starts, np.int64), np.array(stops, np.int64))
             tag = np.array([t % (1 << 64) for t in tags], U)
             out["key"] = mix(core ^ mix(tag)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in b.schema], schema=b.schema)
+            spot = np.array(spots, np.int64)
+            whole = spans_hash(sums, spot, spot + np.array([len(x) for x in out["bytes"]], np.int64))
+            twin = mix(whole ^ mix(np.array(out["place"], np.int64).astype(U))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(out[f.name], f.type) for f in b.schema), pa.array(twin)], [*b.schema.names, "twin"])
+
+    return pieces.mapInArrow(run, PIECES + ", twin long")
 
-    return pieces.mapInArrow(run, PIECES)
+
+def _one_of_equals(cut: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(pieces with one for each key and twin, spans of those that have an equal)."""
+    rest = [f.split()[0] for f in PIECES.split(", ") if not f.startswith(("key", "alone"))]
+    kinds = written(cut.groupBy("key", "twin").agg(F.count("*").alias("n"), F.max("alone").alias("any"), F.min(F.struct(*rest)).alias("x")), "kinds")
+    equal = cut.filter("alone").join(kinds.filter("n > 1 and any").select("key", "twin"), ["key", "twin"])
+    spans = equal.select("row_key", (F.col("base") + F.col("first")).alias("start"), (F.col("base") + F.col("last") + length).alias("stop"))
+    one = kinds.select("key", "x.*", (F.col("any") & (F.col("n") == 1)).alias("alone"))
+    return one.select(*(f.split()[0] for f in PIECES.split(", "))), written(spans, "spans")
 
 
 def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -326,16 +347,13 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "do
         sizes = written(pieces.groupBy("key").agg(F.count("*").alias("size"), F.max("alone").alias("any")).filter("size > 1 and any"), "sizes")
         if sizes.isEmpty():
             break
-        if width == 1:
-            equal = pieces.filter("alone").join(sizes.select("key"), "key")
-            spans.append(written(equal.select("row_key", (F.col("base") + F.col("first")).alias("start"), (F.col("base") + F.col("first") + length).alias("stop")), "spans"))
-            break
         calm = pieces.join(sizes.filter(F.col("size") <= CROWD).select("key"), "key", "left_semi")
         spans.append(written(repeated_spans(calm, length), "spans"))
         crowded = sizes.filter(F.col("size") > CROWD).select("key")
         if crowded.isEmpty():
             break
-        pieces = written(halves(pieces.join(crowded, "key", "left_semi"), length), "pieces")
+        pieces, equal = _one_of_equals(written(halves(pieces.join(crowded, "key", "left_semi"), length), "pieces"), length)
+        spans.append(equal)
         width = (width + 1) // 2
     all_spans = spans[0]
     for s in spans[1:]:
