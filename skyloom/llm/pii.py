@@ -12,6 +12,7 @@ Spans that the base rules find always stay; the classifier adds others.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,23 +47,56 @@ REACH = 48
 #: Every match of any pattern has one of these, so a text without needs one scan only.
 ANY = r"[0-9@]|[(\[]at"
 OPEN, CLOSE, PLAIN = "\x01", "\x02", "\x03"
+#: Elements that are taken together in a running total.
+BLOCK = 256
+SPAN = "array<struct<kind:int,start:int,end:int,b0:int,b1:int,base:boolean,votes:array<int>,size:int>>"
 
 
-def _found(text: Column, pattern: str, kind: str, own: bool) -> Column:
-    """Matches of a pattern, leftmost and non-overlapping: start, end, text, what is before and after."""
-    pieces = F.split(F.regexp_replace(text, f"({pattern})", f"{OPEN}$1{CLOSE}"), OPEN)
-    empty = F.array().cast("array<struct<start:int,end:int,text:string,before:string,after:string>>")
-    zero = F.struct(F.length(pieces[0]).alias("at"), F.right(pieces[0], F.lit(REACH)).alias("tail"), empty.alias("out"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
-    def step(acc: Column, piece: Column) -> Column:
-        hit, rest = F.substring_index(piece, CLOSE, 1), F.substring(piece, F.instr(piece, F.lit(CLOSE)) + 1, F.length(piece))
-        span = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(hit)).alias("end"), hit.alias("text"), acc["tail"].alias("before"), F.substring(rest, 1, 1).alias("after"))
-        return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.right(F.concat(acc["tail"], hit, rest), F.lit(REACH)).alias("tail"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    spans = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), zero, step)["out"]
+def running(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array, the combination of all before it; ``zero`` changes nothing that it is combined with.
+
+    Made in blocks and then over blocks: growing an array by one copies it, so
+    one pass would take the square of the length.
+    """
+    kind = "struct<at:bigint,out:array<bigint>>"
+    start = F.struct(zero.alias("at"), F.array().alias("out")).cast(kind)
+
+    def step(acc: Column, value: Column) -> Column:
+        return F.struct(combine(acc["at"], value).cast("bigint").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def of(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(v, b * BLOCK + 1, F.lit(BLOCK)), start, step))
+        before = lambda x: F.aggregate(F.transform(x, lambda y: y["at"]), start, step)["out"]
+        shifted = lambda x: F.flatten(F.zip_with(x, before(x), lambda y, shift: F.transform(y["out"], lambda z: combine(shift, z))))
+        return F.when(F.size(v) > 0, let(blocks, shifted)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(values, of)
+
+
+def _found(text: Column, pattern: str, kind: str, own: bool, entry: Callable[[Column], Column]) -> Column:
+    """``entry`` of each match of a pattern, leftmost and non-overlapping: start, end, the same in bytes, text, what is before and after."""
     hint = HINT[kind] if own else None
     possible = F.contains(text, F.lit(hint)) if hint else text.rlike("[0-9]" if kind != "email" else r"[(\[]at")
-    return F.when(possible, spans).otherwise(empty)
+    pieces = F.when(possible, F.split(F.regexp_replace(text, f"({pattern})", f"{OPEN}$1{CLOSE}"), OPEN)).otherwise(F.array(F.lit("")))
+    total = lambda p, size: running(F.transform(p, lambda x: (size(x) - 1).cast("bigint")), F.lit(0), lambda x, y: x + y)
+
+    def one(p: Column, at: Column, byte: Column, i: Column) -> Column:
+        hit, rest = F.substring_index(p[i], CLOSE, 1), F.substring_index(p[i], CLOSE, -1)
+        plain = lambda x: F.translate(x, CLOSE, "")
+        before = F.right(F.concat(F.when(i > 1, plain(p[i - 2])).otherwise(F.lit("")), plain(p[i - 1])), F.lit(REACH))
+        spot = F.struct((at[i] + 1).alias("start"), (byte[i] + 1).alias("b0"), hit.alias("text"), before.alias("before"), F.substring(rest, 1, 1).alias("after"))
+        return let(spot, lambda x: entry(F.struct(x["start"], (x["start"] + F.length(x["text"])).alias("end"), x["b0"], (x["b0"] + F.octet_length(x["text"])).alias("b1"), x["text"], x["before"], x["after"])))
+
+    def of(p: Column) -> Column:
+        spans = let(total(p, F.length), lambda at: let(total(p, F.octet_length), lambda byte: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: one(p, at, byte, i))))
+        return F.when(F.size(p) > 1, spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
+
+    return let(pieces, of)
 
 
 def _digits(text: Column) -> Column:
@@ -115,25 +149,22 @@ def _votes(kind: str, own: bool, x: Column) -> list[Column]:
     return [strict, gazetteer, context, shape, border]
 
 
-SPAN = "array<struct<kind:int,start:int,end:int,base:boolean,votes:array<int>,size:int>>"
-
-
 def _entry(kind: str, own: bool):
     def entry(x: Column) -> Column:
         length = x["end"] - x["start"]
         size = F.when(length < 12, 0).when(length < 24, 1).otherwise(2)
         votes = _votes(kind, own, x)
         base = votes[0] == 1 if own else F.lit(False)
-        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), base.alias("base"), F.array(*votes).alias("votes"), size.alias("size"))
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["b0"].alias("b0"), x["b1"].alias("b1"), base.alias("base"), F.array(*votes).alias("votes"), size.alias("size"))
 
     return entry
 
 
 def proposals(text: Column) -> Column:
-    """All proposed spans of a text: kind, start and end in code points, base or not, votes, size class."""
+    """All proposed spans of a text: kind, start and end in code points, the same in bytes, base or not, votes, size class."""
     text = F.coalesce(text, F.lit(""))
     clean = F.translate(text, OPEN + CLOSE, PLAIN + PLAIN)
-    parts = [F.transform(_found(clean, p, kind, own), _entry(kind, own)).cast(SPAN) for own, patterns in ((True, BASE), (False, MORE)) for kind, p in patterns.items()]
+    parts = [_found(clean, p, kind, own, _entry(kind, own)) for own, patterns in ((True, BASE), (False, MORE)) for kind, p in patterns.items()]
     return F.when(text.rlike(ANY), F.concat(*parts)).otherwise(F.array().cast(SPAN))
 
 
@@ -159,7 +190,7 @@ def fit(proposed: DataFrame, spans_col: str = "proposed", rounds: int = 50) -> M
     rows.sort(key=lambda r: (r["kind"], r["votes"], r["size"], r["base"]))
     kind, votes = np.array([r["kind"] for r in rows]), np.array([r["votes"] for r in rows])
     size, count, base = np.array([r["size"] for r in rows]), np.array([float(r["count"]) for r in rows]), np.array([r["base"] for r in rows])
-    p = np.where(base, 0.99, 1 / (1 + np.exp(-votes.sum(1).astype(float))))
+    p = np.where(base, 0.9, 1 / (1 + np.exp(-votes.sum(1).astype(float))))  # a start only: every round estimates base spans like the others
     for _ in range(rounds):
         like = np.zeros((2, len(rows)))
         table = np.zeros((2, len(LABELERS), 3))
@@ -169,7 +200,7 @@ def fit(proposed: DataFrame, spans_col: str = "proposed", rounds: int = 50) -> M
             table[y] /= table[y].sum(1, keepdims=True)
             prior = np.bincount(kind, weights=q * count, minlength=len(KINDS)) + 1
             like[y] = np.log(prior[kind]) + sum(np.log(table[y, k, votes[:, k] + 1]) for k in range(len(LABELERS)))
-        p = np.where(base, 0.99, 1 / (1 + np.exp(np.clip(like[0] - like[1], -30, 30))))
+        p = 1 / (1 + np.exp(np.clip(like[0] - like[1], -30, 30)))
     x, w = _features(kind, votes, size), np.zeros(n_features)
     weight = count / count.sum() * len(rows) * 10
     for _ in range(rounds):
@@ -190,13 +221,20 @@ def chance(model: Model, s: Column) -> Column:
 
 
 def accepted(model: Model, proposed: Column, threshold: float = 0.9) -> Column:
-    """Base spans, and those the classifier adds beside them, by kind and start. An added span never overlaps a base span or an earlier kind's."""
-    base = F.filter(proposed, lambda s: s["base"])
-    likely = F.filter(proposed, lambda s: ~s["base"] & (chance(model, s) >= threshold))
-    touches = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    free = F.filter(likely, lambda s: ~F.exists(base, lambda b: touches(s, b)))
-    first = F.filter(free, lambda s: ~F.exists(free, lambda o: touches(s, o) & ((o["kind"] < s["kind"]) | ((o["kind"] == s["kind"]) & (o["start"] < s["start"])))))
-    return F.array_sort(F.array_distinct(F.transform(F.concat(base, first), lambda s: F.struct(s["kind"], s["start"], s["end"]))))
+    """Base spans, and those the classifier adds beside them, by kind and start; with places in bytes.
+
+    An added span never overlaps a base span, nor another added span that begins before it (of two that begin together, the earlier kind comes first).
+    """
+    likely = F.filter(proposed, lambda s: s["base"] | (chance(model, s) >= threshold))
+    ordered = F.array_sort(F.transform(likely, lambda s: F.struct(s["start"], s["kind"], s["end"], s["b0"], s["b1"], s["base"])))
+    never, top = F.lit(-1).cast("bigint"), F.lit((1 << 31) - 1).cast("bigint")
+    number = lambda c: c.cast("bigint")
+    last_end = lambda v, base: running(F.transform(v, lambda x: F.when(x["base"] == base, number(x["end"])).otherwise(never)), never, F.greatest)
+    next_start = lambda v: F.reverse(running(F.reverse(F.transform(v, lambda x: F.when(x["base"], number(x["start"])).otherwise(top))), top, F.least))
+    free = lambda v: let(last_end(v, F.lit(True)), lambda e: let(next_start(v), lambda n: F.filter(v, lambda x, i: x["base"] | ((e[i] <= x["start"]) & (n[i] >= x["end"])))))
+    single = lambda v: let(last_end(v, F.lit(False)), lambda e: F.filter(v, lambda x, i: x["base"] | (e[i] <= x["start"])))
+    kept = let(ordered, lambda v: let(free(v), single))
+    return F.array_sort(F.array_distinct(F.transform(kept, lambda s: F.struct(s["kind"], s["start"], s["end"], s["b0"], s["b1"]))))
 
 
 def spans_text(spans: Column) -> Column:
@@ -212,21 +250,26 @@ def find(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; of overlapping spans, the one that starts first is shown."""
+    """The text with each span of :func:`accepted` replaced by its kind in angle brackets; of overlapping spans, the one that starts first is shown."""
     name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["b0"], s["b1"], s["kind"])))
+    ends = lambda v: running(F.transform(v, lambda s: s["b1"].cast("bigint")), F.lit(0), F.greatest)
+    cut = lambda raw, a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")).cast("string")
 
-    def step(acc: Column, s: Column) -> Column:
-        shown = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), name(s["kind"]), F.lit(">"))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], shown).otherwise(acc["out"]).alias("out"))
+    def shown(raw: Column, v: Column, e: Column) -> Column:
+        parts = F.transform(v, lambda s, i: F.when(e[i] <= s["b0"], F.concat(cut(raw, e[i], s["b0"]), F.lit("<"), name(s["kind"]), F.lit(">"))).otherwise(F.lit("")))
+        last = F.array_max(F.transform(v, lambda s: s["b1"]))
+        return F.concat(F.array_join(parts, ""), cut(raw, last, F.octet_length(raw)))
 
-    done = F.aggregate(ordered, zero, step)
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+    done = let(text.cast("binary"), lambda raw: let(ordered, lambda v: let(ends(v), lambda e: shown(raw, v, e))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def digest(proposed: DataFrame, model: Model, id_col: str = "doc_id", spans_col: str = "proposed", threshold: float = 0.9) -> DataFrame:
-    """Counts and texts of the spans per row."""
+    """Counts and texts of the spans per row; ``n_secret`` and ``n_added`` count what the classifier adds (secrets, all kinds)."""
     base = F.array_sort(F.transform(F.filter(spans_col, lambda s: s["base"]), lambda s: F.struct(s["kind"], s["start"], s["end"])))
-    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return proposed.select(id_col, *(count(k) for k in KINDS[:4]), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(accepted(model, F.col(spans_col), threshold)).alias("spans"))
+    found = proposed.select(id_col, base.alias("_base"), accepted(model, F.col(spans_col), threshold).alias("_all"))
+    count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    secrets = F.size(F.filter("_all", lambda s: s["kind"] == KINDS.index("secret"))).cast("long").alias("n_secret")
+    added = (F.size("_all") - F.size("_base")).cast("long").alias("n_added")
+    return found.select(id_col, *(count(k) for k in KINDS[:4]), F.sha2(spans_text(F.col("_base")), 256).alias("base_sha256"), spans_text(F.col("_all")).alias("spans"), secrets, added)
