@@ -1,18 +1,26 @@
 """Quality rules whose cutoffs carry a guarantee.
 
-Each rule rejects a document when a ratio of its text exceeds a cutoff. The
-cutoffs come from labelled documents: per stratum (size class) and rule, the
-cutoffs of a fixed grid are tested from the most lenient down, each by the
-exact binomial (Clopper-Pearson) upper bound of the share of good documents
-that it rejects; testing stops at the first that fails. Fixed-sequence testing
-needs no further correction within a rule; over rules and strata the error
-probability is split evenly (Bonferroni), and the permitted share of rejected
-good documents is split over the rules. So, with probability 1 - ``delta``,
-no stratum loses more than ``alpha`` of its good documents.
+Each rule rejects a document when a ratio of its text exceeds a cutoff. All
+rules of a stratum (size class) tighten together, along one path of joint rule
+sets from lenient to strict. Labelled documents are split in two by a hash of
+their id. One half shapes the path: at each level a rule's cutoff lets through
+all but a small share of good documents, and a rule takes part only where it
+catches bad ones more often. The other half decides how far to go: level by
+level, the exact binomial (Clopper-Pearson) upper bound of the share of good
+documents that the joint set rejects must stay within ``alpha``; testing stops
+at the first that fails. A fixed sequence needs no correction within a path.
+Over strata, the error probability is split evenly, and a stratum whose path is
+certified to its end passes its part on to the others (Holm). So, with
+probability 1 - ``delta``, no stratum loses more than ``alpha`` of its good
+documents to the rules. Strata with too few good labels to certify anything are
+pooled with a neighbour, and hold to the guarantee together.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,6 +41,8 @@ RULES = {
     "same": ("n_same", "n_words"),
 }
 BINS = 200
+#: Share of good documents that a rule's cutoff lets go, level by level, on the half of the labels that shapes the path.
+LEVELS = (0.0, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01, 0.015)
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -68,38 +78,88 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def _pools(good: np.ndarray, alpha: float, delta: float) -> list[list[int]]:
+    """Strata in neighbouring pools, each with enough good labels that a level which loses none can be certified."""
+    pools = [[s] for s in range(len(good))]
+    while len(pools) > 1:
+        size = [int(good[p].sum()) for p in pools]
+        least = int(np.argmin(size))
+        if size[least] >= math.log(delta / len(pools)) / math.log1p(-alpha):
+            break
+        at = min((k for k in (least - 1, least + 1) if 0 <= k < len(pools)), key=lambda k: size[k])
+        low, high = min(least, at), max(least, at)
+        pools[low : high + 1] = [pools[low] + pools[high]]
+    return pools
+
+
+def _path(counts: np.ndarray) -> np.ndarray:
+    """[level, rule] cutoffs (bins), never rising from level to level, from counts [rule, bin, label]; BINS where a rule takes no part."""
+    above = counts[:, ::-1].cumsum(1)[:, ::-1]
+    above = np.concatenate([above[:, 1:], np.zeros_like(above[:, :1])], axis=1)
+    good, bad = (above[..., y] / max(1, counts[0, :, y].sum()) for y in (1, 0))
+    out = np.full((len(LEVELS), len(counts)), BINS)
+    for j, share in enumerate(LEVELS):
+        for k in range(len(counts)):
+            b = int(np.argmax(good[k] <= share))
+            if bad[k, b] > 0 and bad[k, b] >= 2 * good[k, b]:
+                out[j, k] = b
+    return np.minimum.accumulate(out, axis=0)
+
+
+def certified(rejected: list[np.ndarray], totals: list[int], alpha: float, delta: float) -> list[int]:
+    """Levels certified for each path, from the good documents that each level rejects and how many there are."""
+    reached = [0] * len(totals)
+    share = [delta / max(1, len(totals))] * len(totals)
+    moved = True
+    while moved:
+        moved = False
+        for i, lost in enumerate(rejected):
+            while reached[i] < len(lost) and upper_bound(int(lost[reached[i]]), totals[i], share[i]) <= alpha:
+                reached[i] += 1
+            rest = [k for k in range(len(totals)) if reached[k] < len(rejected[k])]
+            if reached[i] == len(lost) and share[i] and rest:
+                for k in rest:
+                    share[k] += share[i] / len(rest)
+                share[i], moved = 0.0, True
+    return reached
+
+
 def fit_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, id_col: str = "doc_id") -> dict[tuple[int, str], int]:
-    """{(stratum, rule): bin}; documents in a higher bin are rejected. Rules without a safe cutoff are absent.
+    """{(stratum, rule): bin}; documents in a higher bin are rejected. Rules that take no part are absent.
 
-    Only counts per stratum, rule, bin and label reach the driver: at most
-    4 * 6 * 201 * 2 rows. Labels other than 0 and 1 are ignored.
+    Only counts reach the driver: per stratum, rule, bin and label at most
+    4 * 6 * 201 * 2 rows, and per stratum and level 4 * 9. Labels other than 0
+    and 1 are ignored.
     """
     known = labels.filter(F.col("quality").isin(0, 1)).select(F.col(id_col).alias("_id"), F.col("quality").alias("_quality"))
-    cells = (
-        stats.filter(~base_failed())
-        .join(known, F.col(id_col) == F.col("_id"))
-        .select(stratum(F.col("n_words")).alias("s"), "_quality", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), bin_of(r).alias("b")) for r in RULES))).alias("x"))
-        .groupBy("s", "x.rule", "x.b", "_quality")
-        .count()
-        .collect()
-    )
+    rows = stats.filter(~base_failed()).join(known, F.col(id_col) == F.col("_id")).withColumn("s", stratum(F.col("n_words")))
+    held = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(2)) == 1
+    bins = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), bin_of(r).alias("b")) for r in RULES))).alias("x")
+    cells = rows.filter(~held).select("s", "_quality", bins).groupBy("s", "x.rule", "x.b", "_quality").count().collect()
     counts = np.zeros((len(STRATA) + 1, len(RULES), BINS + 1, 2), np.int64)
     for r in cells:
         counts[r["s"], list(RULES).index(r["rule"]), r["b"], r["_quality"]] += r["count"]
-    risk, chance = alpha / len(RULES), delta / (len(RULES) * (len(STRATA) + 1))
+    good = np.zeros(len(STRATA) + 1, np.int64)
+    test = rows.filter(held).filter("_quality = 1")
+    for r in test.groupBy("s").count().collect():
+        good[r["s"]] = r["count"]
+    pools = _pools(good, alpha, delta)
+    paths = [_path(counts[p].sum(0)) for p in pools]
+    level = F.lit(len(LEVELS))
+    for p, path in zip(pools, paths, strict=True):
+        first = F.lit(len(LEVELS))
+        for j in range(len(LEVELS) - 1, -1, -1):
+            over = [bin_of(r) > int(path[j, k]) for k, r in enumerate(RULES) if path[j, k] < BINS]
+            first = F.when(reduce(lambda a, b: a | b, over), j).otherwise(first) if over else first
+        level = F.when(F.col("s").isin(*p), first).otherwise(level)
+    lost = np.zeros((len(STRATA) + 1, len(LEVELS) + 1), np.int64)
+    for r in test.groupBy("s", level.alias("level")).count().collect():
+        lost[r["s"], r["level"]] += r["count"]
+    rejected = [lost[p].sum(0)[:-1].cumsum() for p in pools]
     out = {}
-    for s in range(len(STRATA) + 1):
-        for k, rule in enumerate(RULES):
-            good, bad = counts[s, k, :, 1], counts[s, k, :, 0]
-            lost, caught, best = 0, 0, (0, BINS)
-            for b in range(BINS - 1, -1, -1):
-                lost, caught = lost + int(good[b + 1]), caught + int(bad[b + 1])
-                if upper_bound(lost, int(good.sum()), chance) > risk:
-                    break
-                if caught > best[0]:
-                    best = (caught, b)
-            if best[0]:
-                out[s, rule] = best[1]
+    for p, path, n in zip(pools, paths, certified(rejected, [int(good[p].sum()) for p in pools], alpha, delta), strict=True):
+        if n:
+            out |= {(s, r): int(path[n - 1, k]) for s in p for k, r in enumerate(RULES) if path[n - 1, k] < BINS}
     return out
 
 
@@ -115,8 +175,8 @@ def quality_rules(stats: DataFrame, labels: DataFrame, alpha: float = 0.02, delt
     """Adds ``base_failed`` and ``kept`` to rows of :func:`statistics`.
 
     Null or empty texts have no words and so fail the base rule. Repeated rows
-    are judged alike. With empty labels no cutoff can be certified, and only
-    the base rule rejects.
+    are judged alike; ids that several labels share count once for each. With
+    empty labels no cutoff can be certified, and only the base rule rejects.
     """
     cutoffs = fit_cutoffs(stats, labels, alpha, delta, id_col)
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & verdict(cutoffs))
