@@ -17,11 +17,9 @@ link that matters for the components, and a group never meets in one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.graph import components
@@ -31,8 +29,6 @@ from skyloom.llm.textops import PLAIN_WORD, U, mix, prefix, slices, spans_hash,
 CHUNKS, WIDTH, ERRORS = 8, 5, 1
 SYMBOLS = CHUNKS * WIDTH
 PACKED = [f"s{i}" for i in range(SYMBOLS // 4)]
-#: Pairs whose signatures differ in more symbols are not confirmed; at similarity 0.8 a pair differs in more with a chance of 3e-6.
-FAR = 20
 #: Up to so many ids are sent to every task; beyond, the join shuffles.
 FEW_IDS = 500_000
 #: Members of one key's group in one pack; packs are compared two at a time.
@@ -115,32 +111,16 @@ def key_rows(nodes: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, set) of the documents in ``ids`` (node): 32 bits of each shingle's hash."""
+    """(node, set) of the documents in ``ids`` (node): the hashes of its shingles."""
     few = ids.count() <= FEW_IDS
     mine = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("_text")).join(F.broadcast(ids) if few else ids, "node", "left_semi")
 
     def run(batches):
         for rows, data, off in slices(batches, "_text"):
             values, bounds = _sets(data, off, shingle)
-            ints = pa.array((values >> U(32)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), ints)], ["node", "set"])
-
-    return mine.mapInArrow(run, "node long, set array<int>")
-
-
-def differing(left: str, right: str) -> Column:
-    """How many symbols of two packed signatures differ."""
-    lanes = []
-    for s in PACKED:
-        x = F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))
-        lanes += [(x.bitwiseAND(F.lit(0xFFFF << (16 * j)).cast("long") if j < 3 else F.lit(-(1 << 48))) != 0).cast("int") for j in range(4)]
-    return reduce(lambda a, b: a + b, lanes)
-
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))], ["node", "set"])
 
-def near_enough(left: str, right: str, percent: int) -> Column:
-    """Sizes that allow the similarity, and signatures that may."""
-    small, large = F.least(f"{left}.n", f"{right}.n"), F.greatest(f"{left}.n", f"{right}.n")
-    return (100 * small >= percent * large) & (differing(left, right) <= FAR)
+    return mine.mapInArrow(run, "node long, set array<long>")
 
 
 def _symbols(packed: np.ndarray) -> np.ndarray:
@@ -151,8 +131,8 @@ def _symbols(packed: np.ndarray) -> np.ndarray:
 def near_members(packs: DataFrame, percent: int) -> DataFrame:
     """(key, part, other, node, component): members of two packs (left, right) with a partner in another component.
 
-    A partner is near enough by size and signature, and this key is the first
-    that the two share, so that a pair counts in one group only.
+    A partner's size allows the similarity, and this key is the first that the
+    two share, so that a pair counts in one group only.
     """
 
     def unpack(column):
@@ -182,8 +162,8 @@ def near_members(packs: DataFrame, percent: int) -> DataFrame:
                         errors = differ.sum(2)
                         first = (errors <= ERRORS).argmax(1)
                         spot = differ[np.arange(len(x)), first].argmax(1)
-                        near = (errors.sum(1) <= FAR) & (first * WIDTH + spot == slots[r])
-                        x, y = x[near], y[near]
+                        own = first * WIDTH + spot == slots[r]
+                        x, y = x[own], y[own]
                         hit |= dict(zip(node[x].tolist(), comp[x].tolist(), strict=True)) | dict(zip(nodes[y].tolist(), comps[y].tolist(), strict=True))
                 found += [(keys[r], part[r], other[r], n, c) for n, c in hit.items()]
             cols = list(zip(*found, strict=True)) if found else [[]] * 5
@@ -262,10 +242,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     ids = written(members.select("node").distinct(), "ids")
     sets = written(shingle_sets(docs, ids, shingle, id_col, text_col), "sets")
     signed = written(nodes.join(ids, "node", "left_semi").select("node", "n", *PACKED), "signed")
+    size = lambda node, n: signed.select(F.col("node").alias(node), F.col("n").alias(n))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        two = pairs.distinct().join(signed.select(F.col("node").alias("b"), F.struct("n", *PACKED).alias("y")), "b")
-        close = two.join(signed.select(F.col("node").alias("a"), F.struct("n", *PACKED).alias("x")), "a").filter(near_enough("x", "y", percent))
+        sized = pairs.distinct().join(size("b", "n_b"), "b").join(size("a", "n_a"), "a")
+        close = sized.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         return written(confirmed(close.select("a", "b"), sets, percent), "links")
 
     def across_components(labels: DataFrame) -> DataFrame:
