@@ -1,7 +1,9 @@
 """Licence texts found by templates with optional and replaceable regions.
 
-A template is wording with markup: ``[[ ... ]]`` is optional, ``{{n}}`` stands
-for up to n words of any kind. It is compiled into an automaton over words,
+A template is wording with markup: ``[[ ... ]]`` is optional, ``((a | b))`` one
+of several wordings, ``{{n}}`` stands for up to n words of any kind; regions may
+be nested. There are templates of whole licences and notices, with their
+bullets, names and variants, and of clauses that name a licence. Each is compiled into an automaton over words,
 which accepts a passage only if all mandatory words are there, in order, with
 nothing between them but what the markup allows. Passages are tried where a
 template's opening words stand. Case, punctuation and line breaks don't count.
@@ -20,22 +22,66 @@ from skyloom.llm.textops import ALNUM_WORD, U, fixed_hash, prefix, slices, spans
 
 #: Phrases that the base rule looks for, word by word.
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
-#: Wording of common notices.
-TEMPLATES = [
+#: Wording of whole licences and notices.
+WHOLE = [
+    ("mit", """permission is hereby granted free of charge to any person obtaining a copy of {{6}} [[and associated documentation files]] [[the {{3}}]] to deal in
+        {{4}} without restriction including without limitation [[on]] the rights to use copy modify merge publish distribute sublicense and or sell copies of {{4}}
+        and to permit persons to whom {{4}} is furnished to do so subject to the following conditions the above copyright notice and this permission notice
+        [[including the next paragraph]] shall be included in all copies or substantial portions of {{4}} {{4}} is provided as is without warranty of any kind
+        express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and ((noninfringement | non infringement))
+        in no event shall {{20}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in
+        connection with {{4}} or the use or other dealings in {{4}}"""),
+    ("bsd", """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+        [[((1 | a))]] ((redistributions | redistribution)) of source code must retain the above copyright notice this list of conditions and the following disclaimer
+        [[((2 | b))]] ((redistributions | redistribution)) in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+        in the documentation and or other materials provided with the distribution
+        [[ [[((3 | c))]] neither the name of {{12}} [[nor the names of its contributors]] may be used to endorse or promote products derived from this software
+        without specific prior written permission ]]
+        this software is provided by {{12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability
+        and fitness for a particular purpose are disclaimed in no event shall {{12}} be liable for any direct indirect incidental special exemplary or consequential
+        damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on
+        any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software
+        even if advised of the possibility of such damage"""),
+    ("isc", """permission to use copy modify and ((or distribute | distribute)) this software for any purpose with or without fee is hereby granted provided that the
+        above copyright notice and this permission notice appear in all copies the software is provided as is and {{4}} disclaims all warranties with regard to this
+        software including all implied warranties of merchantability and fitness in no event shall {{4}} be liable for any special direct indirect or consequential
+        damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out
+        of or in connection with the use or performance of this software"""),
+    ("apache-2", """licensed under the apache license version 2 [[0]] the license you may not use {{4}} except in compliance with the license you may obtain a copy of the
+        license at [[((http | https))]] www apache org licenses license 2 0 [[{{1}} html]] unless required by applicable law or agreed to in writing software distributed
+        under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific
+        language governing permissions and limitations under the license"""),
+    ("gpl", """free software you can redistribute it and or modify it under the terms of [[version {{1}} of]] the gnu [[((lesser | affero | library))]] general public license
+        as published by the free software foundation ((either version {{2}} of the license or at your option any later version | version {{2}} of the license))
+        [[ {{6}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a
+        particular purpose see the gnu [[((lesser | affero | library))]] general public license for more details ]]"""),
+    ("zlib", """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of
+        this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely
+        subject to the following restrictions [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if
+        you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required [[2]] altered source versions must be
+        plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from any source distribution"""),
+    ("unlicense", """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software
+        either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"""),
+    ("mpl-2", """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at
+        [[((http | https))]] ((mozilla org | www mozilla org)) mpl 2 0"""),
+]
+#: Wording of clauses that name a licence.
+CLAUSES = [
     ("mit", "under the [[terms of the]] mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of {{6}} and associated documentation files [[the software]] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("apache-2", "under the [[terms of the]] apache license version 2 [[0]] [[the license]]"),
     ("apache-2", "you may not use {{4}} except in compliance with the license"),
     ("cc-by-nc", "cc by nc [[{{1}} 0]]"),
     ("cc-by-nc", "creative commons attribution noncommercial [[{{1}} 0]] [[international]] [[license]]"),
     ("cc-by", "licensed under a creative commons attribution {{2}} international license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd", "neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("gpl", "under the terms of the gnu [[lesser]] [[affero]] general public license [[as published by the free software foundation]]"),
     ("gpl", "licensed under the gnu [[lesser]] [[affero]] general public license"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 [[0]]"),
     ("proprietary", "all rights reserved"),
 ]
+TEMPLATES = WHOLE + CLAUSES
 #: Opening words of a template that must be literal.
 OPENING = 2
 
@@ -46,8 +92,9 @@ class Automaton:
     def __init__(self, template: str):
         self.word: list[int | None] = []
         self.free: list[list[int]] = []
-        tokens = re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template)
+        tokens = re.findall(r"\[\[|\]\]|\(\(|\)\)|\||\{\{\d+\}\}|[^\s\[\](){}|]+", template)
         opened: list[int] = []
+        choices: list[tuple[int, list[int]]] = []
         lead: list[int] = []
         leading = True
         for t in tokens:
@@ -59,6 +106,18 @@ class Automaton:
                 at = self._state(None, [])
                 self.free[at].append(at + 1)
                 self.free[opened.pop()].append(at)
+            elif t == "((":
+                leading = False
+                at = self._state(None, [])
+                self.free[at].append(at + 1)
+                choices.append((at, []))
+            elif t == "|":
+                start, ends = choices[-1]
+                ends.append(self._state(None, []))
+                self.free[start].append(len(self.word))
+            elif t == "))":
+                for at in choices.pop()[1]:
+                    self.free[at].append(len(self.word))
             elif t.startswith("{{"):
                 leading = False
                 n = int(t[2:-2])
