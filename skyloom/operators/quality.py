@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,17 @@ def counts_agree(planned: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return both.select(key, "planned", "stored", (F.col("planned") == F.col("stored")).alias("ok"))
 
 
+def layout_verified(old: DataFrame, new: DataFrame, noted: DataFrame, key: str, row: str, value: str, sample: Column) -> DataFrame:
+    """Per key: ``planned`` rows of ``old``, ``stored`` rows of ``new``, the count ``noted`` beside them; of the sampled rows, how many differ in ``value``; and whether all agree."""
+    counts = counts_agree(old.groupBy(key).agg(F.count("*").alias("planned")), new.groupBy(key).agg(F.count("*").alias("stored")), key).drop("ok")
+    pairs = new.filter(sample).join(old.filter(sample).select(row, F.col(value).alias("_old")), row)
+    compared = pairs.groupBy(key).agg(F.count("*").alias("sampled"), F.count_if(~F.col(value).eqNullSafe(F.col("_old"))).alias("differ"))
+    names = ["noted", "sampled", "differ"]
+    df = counts.join(noted, key, "left").join(compared, key, "left").na.fill(0, names)
+    agree = (F.col("planned") == F.col("stored")) & (F.col("stored") == F.col("noted")) & (F.col("differ") == 0)
+    return df.select(key, "planned", "stored", *names, agree.alias("ok"))
+
+
 def row_ids(df: DataFrame, key: str, width: int) -> DataFrame:
     """``row_id``: the row's number in order of a whole-number key, from 0, without sorting all rows in one task.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import scalar as S
 from skyloom.operators import pixels as P
 from skyloom.operators import spectra
+from skyloom.operators.quantiles import exact_quantiles
 from skyloom.plans.join_queries import galaxies
 from skyloom.plans.registry import query
 from skyloom.plans.scalar_queries import NESTED, nested, r, traced_sql
@@ -50,17 +51,32 @@ def synthetic_mag(t):
     return band_flux(t).select("vec_id", r(S.flux_to_mag("flux"), 5).alias("mag"))
 
 
-@query("normalize_seds", f"SELECT vec_id, round(pow(10, -0.4 * (vec_id % 7)) / flux, 5) AS scale, round(pow(10, -0.4 * (vec_id % 7)) / flux * (SELECT sum(f) FROM {LONG} l WHERE l.vec_id = x.vec_id), 4) AS total FROM {FLUX} x")
+NU = "(SELECT vec_id, i, abs(f) * 2.99792458e18 / pow(9000 + 200.0 * i, 2) / 1e10 AS f FROM {0})"
+FLAM = f"(SELECT vec_id, sum(f * w) / sum(w) AS flux, sum(f) AS total FROM {NU.format(LONG)} JOIN {WEIGHT} USING (i) GROUP BY vec_id)"
+
+
+@query("normalize_seds", f"SELECT vec_id, round(pow(10, -0.4 * (vec_id % 7)) / flux, 5) AS scale, round(pow(10, -0.4 * (vec_id % 7)) / flux * total, 4) AS total FROM {FLAM}")
 def normalize_seds(t):
-    """Scale so that the synthetic magnitude equals the wanted one."""
-    df = band_flux(t).withColumn("scale", F.pow(F.lit(10.0), -0.4 * (F.col("vec_id") % 7)) / F.col("flux"))
+    """Spectra per frequency, turned to spectra per wavelength (in units of 1e10), scaled so that the synthetic magnitude equals the wanted one."""
+    df = t("spectra").crossJoin(F.broadcast(weight_array(t)))
+    flam = F.transform(spectra.flux_array("embedding"), lambda f, i: S.fnu_to_flam(f, 9000 + 200.0 * i) / 1e10)
+    df = df.select("vec_id", flam.alias("seds"), "w").withColumn("flux", spectra.weighted_mean(F.col("seds"), F.col("w")))
+    df = df.withColumn("scale", F.pow(F.lit(10.0), -0.4 * (F.col("vec_id") % 7)) / F.col("flux"))
     done = df.withColumn("seds", F.transform("seds", lambda x: x * F.col("scale")))
     return done.select("vec_id", r(F.col("scale"), 5).alias("scale"), r(F.aggregate("seds", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query("normalize_templates", f"SELECT vec_id, round(1 / flux, 5) AS scale FROM {FLUX} WHERE vec_id < 20")
+OWN_GRID = f"(SELECT vec_id, 8900 + 205.0 * i AS x0, f AS y0, lead(8900 + 205.0 * i) OVER w AS x1, lead(f) OVER w AS y1 FROM {LONG} WINDOW w AS (PARTITION BY vec_id ORDER BY i))"
+SAMPLED = f"(SELECT s.vec_id, b.i, CASE WHEN x1 IS NULL THEN y0 ELSE y0 + (b.wavelength - x0) / (x1 - x0) * (y1 - y0) END AS f FROM {OWN_GRID} s JOIN {{bandpass}} b ON b.wavelength >= s.x0 AND (s.x1 IS NULL OR b.wavelength < s.x1))"
+
+
+@query("normalize_templates", f"SELECT vec_id, round(sum(w) / sum(f * w), 5) AS scale FROM {SAMPLED} JOIN {WEIGHT} USING (i) GROUP BY vec_id")
 def normalize_templates(t):
-    return band_flux(t).filter("vec_id < 20").select("vec_id", r(1 / F.col("flux"), 5).alias("scale"))
+    """Templates on a wavelength grid of their own, interpolated to the catalog's, scaled to magnitude 0."""
+    curve = t("spectra").select("vec_id", F.posexplode(spectra.flux_array("embedding")).alias("k", "y")).withColumn("x", 8900 + 205.0 * F.col("k"))
+    points = t("spectra").select("vec_id").crossJoin(F.broadcast(weights(t)))
+    sampled = spectra.interp_join(points, curve.select("vec_id", "x", "y"), ["vec_id"], "wavelength")
+    return sampled.groupBy("vec_id").agg(r(F.sum("w") / F.sum(F.col("value") * F.col("w")), 5).alias("scale"))
 
 
 @query("mag_roundtrip", f"SELECT kind, round(median(d), 6) AS med, round(max(abs(d)), 6) AS worst, round(stddev_pop(d), 6) AS spread, count(*) FILTER (abs(d) <= 0.01) AS passed FROM (SELECT vec_id % 2 AS kind, -2.5 * log10(flux) - (0.4 + vec_id % 3 / 10.0) AS d FROM {FLUX}) GROUP BY kind")
@@ -115,12 +131,16 @@ def median_over_detectors(t):
     return rates(t).groupBy("mag").agg(r(F.percentile("rate", F.lit(0.5)), 3).alias("rate"))
 
 
-@query("rate_per_resel", "SELECT sca, mag, round(sens * 3.631e-20 * 2.99792458e18 / (15500.0 * 15500) * pow(10, -0.4 * mag) * 1e12 * 20, 5) AS rate FROM {sensitivity}, (SELECT DISTINCT floor(mag) AS mag FROM {sources} WHERE mag < 22) WHERE ord = '1' AND abs(wavelength - 15400) < 1")
+AT_REF = "(SELECT sca, ord, y0 + (15510 - x0) / (x1 - x0) * (y1 - y0) AS sens FROM (SELECT sca, ord, wavelength AS x0, sens AS y0, lead(wavelength) OVER w AS x1, lead(sens) OVER w AS y1 FROM {sensitivity} WINDOW w AS (PARTITION BY sca, ord ORDER BY wavelength)) WHERE 15510 >= x0 AND 15510 < x1)"
+
+
+@query("rate_per_resel", f"SELECT sca, ord, mag, round(sens * 3.631e-20 * 2.99792458e18 / (15510.0 * 15510) * pow(10, -0.4 * mag) * 1e12 * 20, 5) AS rate FROM {AT_REF}, (SELECT DISTINCT floor(mag) AS mag FROM {{sources}})")
 def rate_per_resel(t):
-    """Rate in one element of 20 Angstrom, at the sample nearest below 15500."""
-    mags = t("sources").filter("mag < 22").select(F.floor("mag").cast("double").alias("mag")).distinct()
-    df = t("sensitivity").filter("ord = '1' and abs(wavelength - 15400) < 1").crossJoin(F.broadcast(mags))
-    return df.select("sca", "mag", r(F.col("sens") * S.flat_ab_flam(F.lit(15500.0), "mag") * 1e12 * 20, 5).alias("rate"))
+    """Rate in one element of 20 Angstrom at 15510, with the sensitivity interpolated there."""
+    mags = t("sources").select(F.floor("mag").cast("double").alias("mag")).distinct()
+    places = t("calibration").select("sca", "ord", F.lit(15510.0).alias("at"))
+    df = spectra.interp_join(places, t("sensitivity"), ["sca", "ord"], "at", "wavelength", "sens").crossJoin(F.broadcast(mags))
+    return df.select("sca", "ord", "mag", r(F.col("value") * S.flat_ab_flam("at", "mag") * 1e12 * 20, 5).alias("rate"))
 
 
 @query("snr_table", f"SELECT mag, n_exp, round(s * n_exp / sqrt(s * n_exp + 100 * n_exp), 4) AS snr FROM (SELECT mag, median(rate) * 190 AS s FROM {RATE} GROUP BY mag), (VALUES (1), (8), (32)) e(n_exp)")
@@ -159,26 +179,38 @@ def residual_by_sca(t):
     return t("residuals").groupBy("sca").agg(r(F.median("d_disp_old")).alias("med"))
 
 
+def robust(d, keys):
+    """Median, median absolute deviation, rms and largest absolute value of ``x`` per group; ranks are found by range, not in one task."""
+    of = lambda df, extra: df.groupBy(*keys).agg(*extra)
+    med = exact_quantiles(d, keys, F.col("x"), [0.5]).select(*keys, F.col("q")[0].alias("med"))
+    both = d.join(F.broadcast(med), keys) if keys else d.crossJoin(F.broadcast(med))
+    mad = exact_quantiles(both, keys, F.abs(F.col("x") - F.col("med")), [0.5]).select(*keys, F.col("q")[0].alias("mad"))
+    rest = of(d, [F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), F.max(F.abs("x")).alias("worst"), F.count("*").alias("n")])
+    join = lambda a, b: a.join(b, keys) if keys else a.crossJoin(b)
+    return join(join(med, mad), rest).select(*keys, *(r(F.col(c)).alias(c) for c in ("med", "mad", "rms", "worst")), "n")
+
+
+def old_residuals(t):
+    return t("residuals").select("sca", F.col("d_disp_old").alias("x")).filter(~F.isnan("x"))
+
+
 @query("robust_summary", "WITH m AS (SELECT median(d_disp_old) AS med FROM {residuals}) SELECT round(any_value(med), 6) AS med, round(median(abs(d_disp_old - med)), 6) AS mad, round(sqrt(avg(d_disp_old * d_disp_old)), 6) AS rms, round(max(abs(d_disp_old)), 6) AS worst FROM {residuals}, m")
 def robust_summary(t):
-    d = t("residuals").filter(~F.isnan("d_disp_old"))
-    df = d.crossJoin(F.broadcast(d.agg(F.median("d_disp_old").alias("med"))))
-    x = F.col("d_disp_old")
-    return df.agg(r(F.first("med")).alias("med"), r(F.median(F.abs(x - F.col("med")))).alias("mad"), r(F.sqrt(F.avg(x * x))).alias("rms"), r(F.max(F.abs(x))).alias("worst"))
+    return robust(old_residuals(t), []).drop("n")
 
 
-@query("robust_summary_total", "SELECT coalesce(sca, 0) AS sca, round(median(d_disp_old), 6) AS med, round(sqrt(avg(d_disp_old * d_disp_old)), 6) AS rms, count(*) AS n FROM {residuals} GROUP BY ROLLUP (sca)")
+@query("robust_summary_total", "WITH d AS (SELECT sca, d_disp_old AS x FROM {residuals} UNION ALL SELECT 0, d_disp_old FROM {residuals}), m AS (SELECT sca, median(x) AS med FROM d GROUP BY sca) SELECT sca, round(any_value(med), 6) AS med, round(median(abs(x - med)), 6) AS mad, round(sqrt(avg(x * x)), 6) AS rms, round(max(abs(x)), 6) AS worst, count(*) AS n FROM d JOIN m USING (sca) GROUP BY sca")
 def robust_summary_total(t):
     """Per detector and, as detector 0, over all."""
-    x = F.col("d_disp_old")
-    return t("residuals").rollup("sca").agg(r(F.median(x)).alias("med"), r(F.sqrt(F.avg(x * x))).alias("rms"), F.count("*").alias("n")).na.fill(0, ["sca"])
+    d = old_residuals(t)
+    return robust(d, ["sca"]).unionByName(robust(d, []).withColumn("sca", F.lit(0)))
 
 
 @query("shift_quantiles", "WITH d AS (SELECT sca, abs(d_disp_new - d_disp_old) AS d FROM {residuals}), m AS (SELECT sca, median(d) AS med FROM d GROUP BY sca) SELECT round(median(d), 6) AS med, round(quantile_cont(d, 0.95), 6) AS p95, round(max(d), 6) AS worst, (SELECT round(min(med), 6) FROM m) AS lo, (SELECT round(max(med), 6) FROM m) AS hi FROM d")
 def shift_quantiles(t):
     d = t("residuals").select("sca", F.abs(F.col("d_disp_new") - F.col("d_disp_old")).alias("d"))
-    m = d.groupBy("sca").agg(F.median("d").alias("med")).agg(r(F.min("med")).alias("lo"), r(F.max("med")).alias("hi"))
-    q = d.agg(r(F.percentile("d", F.lit(0.5))).alias("med"), r(F.percentile("d", F.lit(0.95))).alias("p95"), r(F.max("d")).alias("worst"))
+    q = exact_quantiles(d, [], F.col("d"), [0.5, 0.95, 1.0]).select(*(r(F.col("q")[i]).alias(c) for i, c in enumerate(("med", "p95", "worst"))))
+    m = exact_quantiles(d, ["sca"], F.col("d"), [0.5]).agg(r(F.min(F.col("q")[0])).alias("lo"), r(F.max(F.col("q")[0])).alias("hi"))
     return q.crossJoin(F.broadcast(m))
 
 
@@ -342,21 +374,24 @@ def radial_profile(t):
     return t("pixels").withColumn("bin", b).filter("bin < 8").groupBy("bin").agg(r(F.avg("value_a"), 5).alias("mean_a"), r(F.avg(F.abs(F.col("value_a") - F.col("value_b"))), 7).alias("err"))
 
 
-BRIGHT = f"(SELECT n.*, g.i, 0.9 + g.i * 0.0175 AS wl, abs(g.f) * sens AS counts FROM {NESTED} n JOIN (SELECT sim, sed_index, i, f FROM {LONG}) g ON n.sim = g.sim AND n.catalog_index * 13 % 20 = g.sed_index JOIN {{sensitivity}} s ON s.sca = n.sca AND s.ord = n.ord AND s.i = g.i WHERE n.type = 'SER' AND n.mag < 17.5)"
+BRIGHT = f"(SELECT n.*, g.i, 0.9 + g.i * 0.0175 AS wl, abs(g.f) * sens AS counts FROM {NESTED} n JOIN (SELECT sim, sed_index, i, f FROM {LONG}) g ON n.sim = g.sim AND n.catalog_index * 13 % 20 = g.sed_index JOIN {{sensitivity}} s ON s.sca = n.sca AND s.ord = n.ord AND s.i = g.i WHERE n.type = 'SER')"
 
 
 def events(t):
     """(source, wavelength) positions with counts. Spectra are exploded last, for the sources that are left."""
-    m = nested(t).filter("type = 'SER' and mag < 17.5").join(t("sources").select("catalog_index", "sim", "sed_index"), "catalog_index")
+    m = nested(t).filter("type = 'SER'").join(t("sources").select("catalog_index", "sim", "sed_index"), "catalog_index")
     df = m.join(galaxies(t), ["sim", "sed_index"]).select("*", F.posexplode("flux").alias("i", "f"))
     df = df.join(F.broadcast(t("sensitivity").select("sca", "ord", "i", "sens")), ["sca", "ord", "i"]).withColumn("wl", 0.9 + F.col("i") * 0.0175)
     px, py = S.trace_position("xf", "yf", "wl")
     return df.select("catalog_index", "sca", "ord", "i", px.alias("px"), py.alias("py"), (F.col("f") * F.col("sens")).alias("weight"))
 
 
-@query("dispersed_events", f"SELECT catalog_index, i::INT AS i, round(px, 3) AS px, round(py, 3) AS py, round(counts, 6) AS counts FROM {traced_sql(BRIGHT, 'wl')}")
+@query("dispersed_events", f"SELECT catalog_index, count(*) AS n, round(min(px), 3) AS x0, round(max(px), 3) AS x1, round(min(py), 3) AS y0, round(max(py), 3) AS y1, round(sum(counts), 4) AS counts FROM {traced_sql(BRIGHT, 'wl')} GROUP BY catalog_index")
 def dispersed_events(t):
-    return events(t).select("catalog_index", "i", r(F.col("px"), 3).alias("px"), r(F.col("py"), 3).alias("py"), r(F.col("weight")).alias("counts"))
+    """The events of each source: how many, the box they fill, and their counts."""
+    e = events(t).groupBy("catalog_index")
+    box = [r(f(a), 3).alias(n) for a, names in (("px", ("x0", "x1")), ("py", ("y0", "y1"))) for f, n in zip((F.min, F.max), names, strict=True)]
+    return e.agg(F.count("*").alias("n"), *box, r(F.sum("weight"), 4).alias("counts"))
 
 
 TR = "(SELECT src_group AS src, i, 1 + catalog_index % 18 AS sca, ((i + src_group) % 64)::INT AS ty, i AS tx FROM (SELECT DISTINCT ON (src_group) src_group, catalog_index FROM {sources} ORDER BY src_group, catalog_index), (SELECT unnest(range(0, 64))::INT AS i))"

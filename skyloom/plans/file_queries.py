@@ -28,6 +28,28 @@ def read_targets(t):
     return out.select(r(F.col("ra")).alias("ra"), r(F.col("dec")).alias("dec"))
 
 
+@query("read_catalog", "SELECT type, count(*) AS n, round(sum(ra), 4) AS ra, (SELECT count(*) FROM {grid}) AS n_wl FROM {sources} GROUP BY type")
+def read_catalog(t):
+    """A catalog folder, written and read: typed rows and the wavelength grid."""
+    df = t("sources")
+    path = readers.shared_folder(df.sparkSession)
+    readers.as_catalog(df).write.parquet(f"{path}/catalog")
+    t("grid").select("wavelength").write.parquet(f"{path}/wavelengths")
+    rows, grid = readers.read_catalog(df.sparkSession, path)
+    return rows.groupBy("type").agg(F.count("*").alias("n"), r(F.sum("ra"), 4).alias("ra")).crossJoin(F.broadcast(grid.agg(F.count("*").alias("n_wl"))))
+
+
+@query("read_pointings", "SELECT c_custkey AS pointing_id, round(9.0 + (c_custkey * 7919 % 20011) / 10000.0, 4) AS ra, round(-1.0 + (c_custkey * 6367 % 20011) / 10000.0, 4) AS dec FROM {customer} WHERE c_custkey % 5 <> 0")
+def read_pointings(t):
+    """Pointing tables of as many rows as there are customers, one in five for another element."""
+    c = F.col("c_custkey")
+    df = t("customer").select(c.alias("ID"), F.round(9.0 + (c * 7919 % 20011) / 10000.0, 4).alias("RA"), F.round(-1.0 + (c * 6367 % 20011) / 10000.0, 4).alias("DEC"), F.when(c % 5 == 0, "PRISM").otherwise("GRISM").alias("BANDPASS"))
+    path = readers.shared_folder(df.sparkSession)
+    df.write.csv(path, sep=" ", header=True)
+    out = readers.read_pointings(df.sparkSession, path, "GRISM", "ID long, RA double, DEC double, BANDPASS string")
+    return out.select(F.col("ID").alias("pointing_id"), F.col("RA").alias("ra"), F.col("DEC").alias("dec"))
+
+
 @query("read_star_table", "SELECT round(ra, 6) AS ra, round(dec, 6) AS dec, round(mag, 6) AS mag, sed_index AS template FROM {sources} WHERE type = 'PSF'")
 def read_star_table(t):
     df = t("sources").filter("type = 'PSF'")

@@ -67,9 +67,12 @@ SELECT sca, ord, i, wavelength, greatest(CAST(0 AS DOUBLE), 1 - abs(wavelength -
   * CASE ord WHEN '1' THEN CAST(1 AS DOUBLE) WHEN '0' THEN CAST(0.02 AS DOUBLE) ELSE CAST(0.01 AS DOUBLE) END AS sens
 FROM {calibration}, {grid}""",
     "manifest": """
-SELECT catalog_index, CAST(1 + catalog_index % 18 AS INT) AS sca, CAST(catalog_index % 3 AS VARCHAR(1)) AS ord, type, ra, dec, flux_scale, mag, sim, src_group,
+SELECT catalog_index, CAST(1 + catalog_index % 18 AS INT) AS sca, CAST(CAST(floor(catalog_index / 18) AS BIGINT) % 3 AS VARCHAR(1)) AS ord, type, ra, dec, flux_scale, mag, sim, src_group,
   CAST((catalog_index * 7919) % 4600003 AS DOUBLE) / 1000 - 255.9997 AS xsca, CAST((catalog_index * 104729) % 4600003 AS DOUBLE) / 1000 - 255.9997 AS ysca
 FROM {sources}""",
+    "placements": """
+SELECT catalog_index, CAST(1 + (catalog_index + 7 * k) % 18 AS INT) AS sca, ord, xsca + CAST(3.5 AS DOUBLE) * k AS xsca, ysca - CAST(2.25 AS DOUBLE) * k AS ysca
+FROM {manifest}, (VALUES (0), (1), (2)) AS v(k)""",
     "log_lines": """
 SELECT user_id AS file_id, event_id AS line_no, event_type, value, event_id % 18 + 1 AS sca FROM {events}""",
     "bench": """

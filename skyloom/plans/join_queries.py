@@ -25,7 +25,10 @@ def source_cuts(t):
     return cuts.source_cuts(t("sources"), RULES).select("catalog_index", "type", "mag")
 
 
-@query("source_cut_attribution", f"WITH f AS (SELECT CASE {' '.join(f'WHEN {f} THEN {i}' for i, f in enumerate(FAILS))} END AS rule FROM {{sources}}) SELECT r.rule::INT AS rule, r.label, (SELECT count(*) FROM f WHERE f.rule = r.rule) AS removed FROM (VALUES " + ", ".join(f"({i}, '{cuts.describe_cut(x).replace(chr(39), chr(39) * 2)}')" for i, x in enumerate(RULES)) + ") r(rule, label)")
+LABELS = ["flux_scale mag_le 26.0 for PSF", "mag between [16.5, 27.0]", "half_light_radius gt 0.05 for SER", f"src_group isin {list(range(17))}", "z_obs lt 2.9"]
+
+
+@query("source_cut_attribution", f"WITH f AS (SELECT CASE {' '.join(f'WHEN {f} THEN {i}' for i, f in enumerate(FAILS))} END AS rule FROM {{sources}}) SELECT r.rule::INT AS rule, r.label, (SELECT count(*) FROM f WHERE f.rule = r.rule) AS removed FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(LABELS)) + ") r(rule, label)")
 def source_cut_attribution(t):
     return cuts.source_cut_attribution(t("sources"), RULES)
 
@@ -85,7 +88,7 @@ def type_domain(t):
     return t("orders").select(F.col("o_orderpriority").alias("type")).filter(~F.col("type").isin("1-URGENT", "2-HIGH")).distinct()
 
 
-@query("validate_cuts")
+@query("validate_cuts", "SELECT rule::INT AS rule, label FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(LABELS)) + ") v(rule, label) WHERE (SELECT count(*) FROM {sources}) > 0")
 def validate_cuts(t):
     """Checks the rules against the columns before any job, then lists them."""
     df = t("sources")
@@ -93,9 +96,13 @@ def validate_cuts(t):
     return cuts.source_cut_attribution(df, RULES).select("rule", "label")
 
 
-@query("describe_cut")
+@query("describe_cut", "SELECT label, (SELECT count(*) FROM {sources} WHERE CASE rule " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(FAILS)) + " END) AS failing FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(LABELS)) + ") v(rule, label)")
 def describe_cut(t):
-    return cuts.source_cut_attribution(t("sources"), RULES).select("label", "removed")
+    """Each rule's label, and the rows that fail it whatever the other rules say."""
+    df = t("sources")
+    counts = df.agg(*(F.count_if(~cuts.passes(df, x)).alias(str(i)) for i, x in enumerate(RULES)))
+    rows = counts.select(F.posexplode(F.array(*(F.col(str(i)) for i in range(len(RULES))))).alias("rule", "failing"))
+    return cuts.described(df.sparkSession, RULES).join(rows, "rule").select("label", "failing")
 
 
 SEDS = "SELECT catalog_index, round({fn}, 4) AS total FROM (SELECT s.catalog_index, s.flux_scale, g.embedding FROM {{sources}} s JOIN {{spectra}} g ON s.sim = g.sim AND s.sed_index = g.sed_index WHERE s.type = 'SER' UNION ALL SELECT s.catalog_index, s.flux_scale, g.embedding FROM {{sources}} s JOIN {{spectra}} g ON s.sed_index = g.vec_id AND g.vec_id < 20 WHERE s.type = 'PSF')"

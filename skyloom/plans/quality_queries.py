@@ -11,25 +11,61 @@ from pyspark.sql import functions as F
 from skyloom.functions import scalar as S
 from skyloom.operators import quality as Q
 from skyloom.operators import sky, spectra
+from skyloom.operators.quantiles import ranks
 from skyloom.plans.join_queries import LINE_ROWS
 from skyloom.plans.registry import query
 from skyloom.plans.scalar_queries import NESTED, nested, r, traced_sql
 from skyloom.sources import readers
 
-CHECKS = [("bad_type", "type NOT IN ('PSF', 'SER')"), ("nan_coordinate", "isnan(ra) OR isnan(dec)"), ("dec_range", "abs(dec) > 90"), ("star_with_radius", "type = 'PSF' AND half_light_radius <> 0"), ("galaxy_without_radius", "type = 'SER' AND half_light_radius <= 0"), ("faint", "mag > 28")]
-
-
-@query("catalog_validate", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS issue, count(*) FILTER ({c}) AS n FROM {{sources}}" for n, c in CHECKS) + ")")
+REQUIRED = ("ra", "dec", "type", "n", "half_light_radius", "pa", "ba", "sed_index", "flux_scale", "sim")
+#: Conditions on rows of the catalog, with the number of its partition's spectra (``stored``), templates being those of stars.
+ROW_CHECKS = [
+    ("bad_type", "type NOT IN ('PSF', 'SER')"), ("nonfinite", "NOT (abs(ra) < 1e308 AND abs(dec) < 1e308 AND abs(flux_scale) < 1e308)"), ("dec_range", "abs(dec) > 90"),
+    ("star_index", "type = 'PSF' AND sed_index >= 20"), ("no_partition", "type = 'SER' AND stored IS NULL"), ("index_range", "type = 'SER' AND (sed_index < 0 OR sed_index >= stored)"),
+    ("star_with_radius", "type = 'PSF' AND half_light_radius <> 0"), ("galaxy_without_radius", "type = 'SER' AND half_light_radius <= 0"), ("large_radius", "type = 'SER' AND half_light_radius > 0.85"),
+]
+WIDTH = ("width", "len_ <> n_wl")
+SED_CHECKS = [WIDTH, ("nonfinite_sed", "bad > 0"), ("empty_sed", "positive = 0")]
+BANDS = {"GRISM": (10000.0, 19300.0), "PRISM": (7500.0, 18500.0)}
+PARTED = "(SELECT s.*, p.stored FROM {sources} s LEFT JOIN (SELECT sim, count(*) AS stored FROM {spectra} GROUP BY sim) p ON s.sim = p.sim)"
+SEDS = "(SELECT len(embedding) AS len_, len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) AS bad, len(list_filter(embedding, lambda x: x > 0)) AS positive, (SELECT count(*) FROM {grid}) AS n_wl FROM {spectra})"
+COUNT = lambda rows, checks: " UNION ALL ".join(f"SELECT '{n}' AS issue, count(*) FILTER ({c}) AS n FROM {rows}" for n, c in checks)
+VALIDATE = f"{COUNT(PARTED, ROW_CHECKS)} UNION ALL {COUNT(SEDS, SED_CHECKS)} UNION ALL SELECT 'missing_columns', 3 UNION ALL SELECT 'spacing', count(*) FROM (SELECT wavelength - lag(wavelength) OVER (ORDER BY wavelength) AS d FROM {{grid}}) WHERE abs(d / 200 - 1) > 1e-4 UNION ALL " + " UNION ALL ".join(f"SELECT 'coverage_{b}', (min(wavelength) > {lo} OR max(wavelength) < {hi})::BIGINT FROM {{grid}}" for b, (lo, hi) in BANDS.items())
+
+
+def parted(t):
+    """The catalog with the number of spectra in each row's partition."""
+    sizes = t("spectra").groupBy("sim").agg(F.count("*").alias("stored"))
+    return t("sources").join(F.broadcast(sizes), "sim", "left")
+
+
+@query("catalog_validate", f"SELECT issue, n::BIGINT AS n FROM ({VALIDATE})")
 def catalog_validate(t):
-    return Q.count_checks(t("sources"), CHECKS)
-
-
-CONSIST = [("star_sim", "type = 'PSF' AND sim <> 0"), ("star_scale", "type = 'PSF' AND abs(flux_scale / pow(10, -0.4 * mag) - 1) > 1e-5"), ("galaxy_sim", "type = 'SER' AND sim NOT BETWEEN 1 AND 4"), ("index_range", "sed_index NOT BETWEEN 0 AND 17")]
-
-
-@query("catalog_consistency", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS issue, count(*) FILTER ({c}) AS n FROM {{sources}}" for n, c in CONSIST) + ")")
+    """Catalog, spectra and wavelength grid against what a run needs: rows that fail each check; for the grid and the columns, whether or how many."""
+    n_wl = t("grid").agg(F.count("*").alias("n_wl"))
+    off = F.filter("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    seds = t("spectra").crossJoin(F.broadcast(n_wl)).select("n_wl", F.size("embedding").alias("len_"), F.size(off).alias("bad"), F.size(F.filter("embedding", lambda x: x > 0)).alias("positive"))
+    missing = sum(c not in t("sources").columns for c in REQUIRED)
+    ends = t("grid").agg(F.min("wavelength").alias("lo"), F.max("wavelength").alias("hi"), F.sort_array(F.collect_list("wavelength")).alias("all"))
+    steps = F.transform(F.slice("all", F.lit(2), F.size("all") - 1), lambda x, i: x - F.col("all")[i])
+    bad = F.size(F.filter(steps, lambda d: F.abs(d / F.element_at(steps, 1) - 1) > 1e-4)).cast("long")
+    grid = [("missing_columns", F.lit(missing).cast("long")), ("spacing", bad)] + [(f"coverage_{b}", ((F.col("lo") > lo) | (F.col("hi") < hi)).cast("long")) for b, (lo, hi) in BANDS.items()]
+    whole = ends.select(F.explode(F.array(*(F.struct(F.lit(n).alias("issue"), c.alias("n")) for n, c in grid))).alias("x")).select("x.*")
+    return Q.count_checks(parted(t), ROW_CHECKS).unionByName(Q.count_checks(seds, SED_CHECKS)).unionByName(whole)
+
+
+CONSIST = [
+    ("bad_type", "type NOT IN ('PSF', 'SER')"), ("star_sim", "type = 'PSF' AND sim <> 0"), ("star_scale", "type = 'PSF' AND abs(flux_scale / pow(10, -0.4 * mag) - 1) > 1e-5"),
+    ("star_radius", "type = 'PSF' AND half_light_radius <> 0"), ("star_index", "type = 'PSF' AND sed_index >= 20"), ("galaxy_sim", "type = 'SER' AND sim <= 0"),
+    ("galaxy_scale", "type = 'SER' AND flux_scale <> 1"), ("galaxy_partition", "type = 'SER' AND stored IS NULL"), ("galaxy_index", "type = 'SER' AND (sed_index < 0 OR sed_index >= stored)"),
+    ("galaxy_radius", "type = 'SER' AND NOT half_light_radius > 0"),
+]
+
+
+@query("catalog_consistency", f"SELECT * FROM ({COUNT(PARTED, CONSIST)})")
 def catalog_consistency(t):
-    return Q.count_checks(t("sources"), CONSIST)
+    """Invariants of stars and galaxies, index ranges against the partitions' real sizes."""
+    return Q.count_checks(parted(t), CONSIST)
 
 
 @query("element_compat", "SELECT p.bandpass, count(DISTINCT c.ord) AS orders, count(DISTINCT c.ord) >= CASE p.bandpass WHEN 'PRISM' THEN 1 ELSE 3 END AS enough, abs(max(c.wl_ref) - CASE p.bandpass WHEN 'PRISM' THEN 1.2 ELSE 1.55 END) <= 0.005 AS band_ok FROM {pointings} p, {calibration} c GROUP BY p.bandpass")
@@ -58,10 +94,18 @@ def spectra_diff(t):
     return df.select("vec_id", r(F.array_max(pairs)).alias("worst"))
 
 
-@query("repartition_verify", "WITH p AS (SELECT pix // 4096 AS cell, count(*) AS planned FROM {cells} GROUP BY 1), s AS (SELECT pix // 4096 AS cell, count(*) AS stored FROM {cells} WHERE catalog_index % 1000 <> 7 GROUP BY 1) SELECT coalesce(p.cell, s.cell) AS cell, coalesce(planned, 0) AS planned, coalesce(stored, 0) AS stored, coalesce(planned, 0) = coalesce(stored, 0) AS ok FROM p FULL JOIN s ON p.cell = s.cell")
+LAID = "(SELECT c.catalog_index, c.pix // 4096 AS cell, s.embedding FROM {cells} c JOIN {spectra} s USING (sim, sed_index))"
+STORED = f"(SELECT catalog_index, cell, CASE WHEN catalog_index % 500 = 10 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM {LAID} WHERE catalog_index % 1000 <> 7)"
+SAMPLE = "(catalog_index * 69621 + 42) % 2147483647 % 10 < 3"
+
+
+@query("repartition_verify", f"WITH old AS {LAID}, new AS {STORED}, p AS (SELECT cell, count(*) AS planned FROM old GROUP BY 1), s AS (SELECT cell, count(*) AS stored FROM new GROUP BY 1), n AS (SELECT cell, count(*) + (cell % 13 = 5)::INT AS noted FROM new GROUP BY 1), d AS (SELECT new.cell, count(*) AS sampled, count(*) FILTER (old.embedding IS DISTINCT FROM new.embedding) AS differ FROM new JOIN old USING (catalog_index) WHERE {SAMPLE} GROUP BY 1) SELECT coalesce(p.cell, s.cell) AS cell, coalesce(planned, 0) AS planned, coalesce(stored, 0) AS stored, coalesce(noted, 0) AS noted, coalesce(sampled, 0) AS sampled, coalesce(differ, 0) AS differ, coalesce(planned, 0) = coalesce(stored, 0) AND coalesce(stored, 0) = coalesce(noted, 0) AND coalesce(differ, 0) = 0 AS ok FROM p FULL JOIN s ON p.cell = s.cell LEFT JOIN n ON n.cell = s.cell LEFT JOIN d ON d.cell = s.cell")
 def repartition_verify(t):
-    c = t("cells").withColumn("cell", S.cell_parent("pix", 6))
-    return Q.counts_agree(c.groupBy("cell").agg(F.count("*").alias("planned")), c.filter("catalog_index % 1000 <> 7").groupBy("cell").agg(F.count("*").alias("stored")), "cell")
+    """Per cell: rows planned, stored and noted beside the stored ones; of a seeded sample of rows, those that differ from the original in any bit."""
+    old = t("cells").join(t("spectra"), ["sim", "sed_index"]).select("catalog_index", S.cell_parent("pix", 6).alias("cell"), "embedding")
+    new = old.filter("catalog_index % 1000 <> 7").withColumn("embedding", F.when(F.col("catalog_index") % 500 == 10, F.reverse("embedding")).otherwise(F.col("embedding")))
+    noted = new.groupBy("cell").agg((F.count("*") + (F.col("cell") % 13 == 5).cast("int")).alias("noted"))
+    return Q.layout_verified(old, new, noted, "cell", "catalog_index", "embedding", F.expr(SAMPLE))
 
 
 OFFS = f"(SELECT a.catalog_index, a.wl, a.px - b.px AS dx, a.py - b.py AS dy FROM {traced_sql('(SELECT * FROM ' + NESTED + ', (VALUES (1.0), (1.3), (1.6)) w(wl))', 'wl')} a JOIN {traced_sql('(SELECT * REPLACE (d1 * 1.001 AS d1) FROM ' + NESTED + ', (VALUES (1.0), (1.3), (1.6)) w(wl))', 'wl')} b USING (catalog_index, wl))"
@@ -218,9 +262,8 @@ def cell_offsets(t):
 
 @query("empirical_cdf", "SELECT sca, catalog_index, round((row_number() OVER (PARTITION BY sca ORDER BY d_disp_old, catalog_index) - 1) / greatest(count(*) OVER (PARTITION BY sca) - 1, 1), 8) AS frac FROM {residuals}")
 def empirical_cdf(t):
-    w = Window.partitionBy("sca")
-    frac = (F.row_number().over(w.orderBy("d_disp_old", "catalog_index")) - 1) / F.greatest(F.count("*").over(w) - 1, F.lit(1))
-    return t("residuals").select("sca", "catalog_index", r(frac, 8).alias("frac"))
+    ranked = ranks(t("residuals").select("sca", "catalog_index", "d_disp_old"), ["sca"], "d_disp_old", "catalog_index")
+    return ranked.select("sca", "catalog_index", r(F.col("rank") / F.greatest(F.col("n") - 1, F.lit(1)), 8).alias("frac"))
 
 
 @query("local_dispersion", f"SELECT a.catalog_index, a.line_id, round(1 / sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)), 5) AS per_pixel FROM {traced_sql(LINE_ROWS, 'center_a / 10000')} a JOIN {traced_sql(LINE_ROWS, '(center_a + 1) / 10000')} b USING (catalog_index, line_id)")
@@ -242,20 +285,21 @@ def closest_to_center(t):
     return t("manifest").groupBy("sca").agg(F.min_by("catalog_index", F.struct(d.alias("d"), F.col("catalog_index").alias("c"))).alias("catalog_index"))
 
 
-@query("seeded_sample")
+@query("seeded_sample", "SELECT type, catalog_index FROM (SELECT type, catalog_index, row_number() OVER (PARTITION BY type ORDER BY sha256('42:' || catalog_index), catalog_index) AS n FROM {sources}) WHERE n <= 50")
 def seeded_sample(t):
-    """Fifty rows per type by a seeded hash of the id: the same rows on any cluster."""
-    w = Window.partitionBy("type").orderBy(F.xxhash64("catalog_index", F.lit(42)), "catalog_index")
-    return t("sources").withColumn("n", F.row_number().over(w)).filter("n <= 50").select("type", "catalog_index")
+    """Fifty rows per type by a seeded hash of the id: the same rows on any cluster. Each task first keeps its own fifty."""
+    key = F.struct(F.sha2(F.concat(F.lit("42:"), F.col("catalog_index").cast("string")), 256).alias("h"), "catalog_index")
+    rows = t("sources").select("type", key.alias("k"), F.spark_partition_id().alias("p"))
+    least = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("k"))).filter("n <= 50").drop("n")
+    return least(least(rows, "type", "p"), "type").select("type", "k.catalog_index")
 
 
 @query("even_rank_sample", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY mag, catalog_index) - 1 AS n, count(*) OVER (PARTITION BY type) AS c FROM {sources}) SELECT type, catalog_index FROM k WHERE EXISTS (SELECT 1 FROM (VALUES (0), (1), (2), (3), (4)) v(j) WHERE k.n = floor(v.j * (k.c - 1) / 4.0))")
 def even_rank_sample(t):
     """Five rows per type, evenly spaced in order of magnitude."""
-    w = Window.partitionBy("type")
-    k = t("sources").withColumn("n", F.row_number().over(w.orderBy("mag", "catalog_index")) - 1).withColumn("c", F.count("*").over(w))
-    wanted = F.array(*(F.floor(j * (F.col("c") - 1) / 4.0) for j in range(5)))
-    return k.filter(F.array_contains(wanted, F.col("n").cast("long"))).select("type", "catalog_index")
+    k = ranks(t("sources").select("type", "catalog_index", "mag"), ["type"], "mag", "catalog_index")
+    wanted = F.array(*(F.floor(j * (F.col("n") - 1) / 4.0) for j in range(5)))
+    return k.filter(F.array_contains(wanted, F.col("rank").cast("long"))).select("type", "catalog_index")
 
 
 @query("union_catalogs", "SELECT catalog_index, type, mag, NULL::DOUBLE AS radius FROM {sources} WHERE type = 'PSF' UNION ALL SELECT catalog_index, type, mag, half_light_radius FROM {sources} WHERE type = 'SER' AND half_light_radius > 0.8".replace("NULL::DOUBLE", "-1.0::DOUBLE"))
@@ -274,50 +318,49 @@ def pad_periodic(t):
     return s.select("catalog_index", "k", r(F.col("ra")).alias("ra"))
 
 
-@query("unplanned_cells", "SELECT DISTINCT pix // 256 AS cell FROM {cells} EXCEPT SELECT pix // 256 FROM {cells} WHERE sim <> 2")
+@query("unplanned_cells", "SELECT DISTINCT pix // 256 AS cell FROM {cells} EXCEPT SELECT pix // 256 FROM {cells} WHERE pix // 256 % 50 <> 7")
 def unplanned_cells(t):
+    """Stored cells that a plan lacks, one in fifty being left out of it."""
     cell = S.cell_parent("pix", 4).alias("cell")
-    return t("cells").select(cell).subtract(t("cells").filter("sim <> 2").select(cell))
+    return t("cells").select(cell).subtract(t("cells").select(cell).filter("cell % 50 <> 7"))
+
 
+AFTER = "SELECT catalog_index, ra, dec, type, CASE WHEN catalog_index % 1000 = 7 THEN mag + 1 ELSE mag END AS mag FROM {sources} WHERE catalog_index % 1000 <> 11 UNION ALL SELECT catalog_index, ra, dec, type, mag FROM {sources} WHERE catalog_index % 1000 = 13"
+BEFORE = "SELECT catalog_index, ra, dec, type, mag FROM {sources}"
 
-@query("rows_unchanged", "SELECT count(*) AS n, 0::BIGINT AS lost, 0::BIGINT AS added FROM {sources}")
+
+@query("rows_unchanged", f"SELECT (SELECT count(*) FROM {{sources}}) AS n, (SELECT count(*) FROM ({BEFORE} EXCEPT ALL ({AFTER}))) AS lost, (SELECT count(*) FROM (({AFTER}) EXCEPT ALL {BEFORE})) AS added")
 def rows_unchanged(t):
-    """Source columns before and after a transform, both ways."""
+    """Rows that a transform lost or added, both ways: here it changes some, drops some and repeats some."""
     cols = ["catalog_index", "ra", "dec", "type", "mag"]
-    a, b = t("sources").select(cols), t("sources").withColumn("cell", S.sky_cell("ra", "dec", 8)).select(cols)
+    a = t("sources").select(cols)
+    moved = F.when(F.col("catalog_index") % 1000 == 7, F.col("mag") + 1).otherwise(F.col("mag"))
+    b = a.filter("catalog_index % 1000 <> 11").withColumn("mag", moved).unionAll(a.filter("catalog_index % 1000 = 13"))
     lost, added = a.exceptAll(b).agg(F.count("*").alias("lost")), b.exceptAll(a).agg(F.count("*").alias("added"))
     return a.agg(F.count("*").alias("n")).crossJoin(lost).crossJoin(added)
 
 
-@query("read_catalog", "SELECT type, count(*) AS n, round(sum(ra), 4) AS ra FROM {sources} GROUP BY type")
-def read_catalog(t):
-    """Typed catalog columns of the sources view."""
-    return readers.as_catalog(t("sources")).groupBy("type").agg(F.count("*").alias("n"), r(F.sum("ra"), 4).alias("ra"))
+SCHEMA_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}', '{u}', '{d}')" for n, k, u, d in (("ra", "double", "deg", "right ascension"), ("dec", "double", "deg", "declination"), ("type", "string", "", "PSF or SER"), ("n", "float", "", "Sersic index"), ("half_light_radius", "float", "arcsec", "half-light radius"), ("pa", "float", "deg", "position angle"), ("ba", "float", "", "axis ratio"), ("F158", "float", "maggies", "flux in the reference band"), ("z_obs", "float", "", "observed redshift"), ("z_cosmo", "float", "", "cosmological redshift"), ("sed_index", "int", "", "row of the spectrum"), ("flux_scale", "float", "", "factor on the spectrum"), ("sim", "smallint", "", "partition of the spectrum"), ("src_index", "int", "", "row in the original"))) + ") v(name, type, unit, description)"
 
 
-@query("catalog_schema")
+@query("catalog_schema", SCHEMA_SQL)
 def catalog_schema(t):
     return readers.column_dictionary(readers.as_catalog(t("sources")).limit(0))
 
 
-@query("column_dictionary")
+@query("column_dictionary", SCHEMA_SQL)
 def column_dictionary(t):
     return readers.column_dictionary(readers.as_catalog(t("sources")))
 
 
-@query("read_pointings", "SELECT pointing_id, ra0, dec0, pa FROM {pointings} WHERE bandpass = 'GRISM'")
-def read_pointings(t):
-    return t("pointings").filter("bandpass = 'GRISM'").select("pointing_id", "ra0", "dec0", "pa")
-
-
 @query("read_source_index", "SELECT ra, dec, sim::SMALLINT AS sim, sed_index::INT AS idx, mag::FLOAT AS mag, z_obs::FLOAT AS z FROM {sources}")
 def read_source_index(t):
     return readers.read_source_index(t("sources"))
 
 
-@query("read_sensitivity", "SELECT sca, ord, wavelength, round(sens, 6) AS sens FROM {sensitivity} WHERE sca <= 9")
+@query("read_sensitivity", "SELECT sca, ord, wavelength, round(sens, 6) AS sens FROM {sensitivity}")
 def read_sensitivity(t):
     curves = t("sensitivity").select(F.concat_ws("_", "sca", "ord").alias("curve"), "wavelength", "sens", "ord")
     mapping = t("calibration").select("sca", F.concat_ws("_", "sca", "ord").alias("curve"))
-    scas = t("calibration").filter("sca <= 9").select("sca").distinct()
+    scas = t("calibration").select("sca").distinct()
     return readers.read_sensitivity(mapping, curves, scas).select("sca", "ord", "wavelength", r(F.col("sens")).alias("sens"))

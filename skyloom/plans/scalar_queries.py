@@ -198,7 +198,25 @@ def cell_parent(t):
     return t("cells").select("catalog_index", S.cell_parent("pix", 1).alias("p1"), S.cell_parent("pix", 3).alias("p3"))
 
 
-@query("sky_cell")
+def sky_cell_sql(ra: str, dec: str, order: int) -> str:
+    """The cell from its definition: face, then the bits of the position on it, one by one."""
+    n = 2**order
+    z, tt = f"sin(radians({dec}))", f"((({ra}) % 360 + 360) % 360 / 90)"
+    up, down = f"floor({n} * (0.5 + {tt}) - {n} * {z} * 0.75)::BIGINT", f"floor({n} * (0.5 + {tt}) + {n} * {z} * 0.75)::BIGINT"
+    part = f"SELECT *, {z} AS z, {tt} AS tt, {up} AS up, {down} AS down FROM {{rows}}"
+    polar = f"SELECT *, least(floor(tt), 3)::BIGINT AS quarter, abs(z) <= 2 / 3.0 AS belt, {n} * sqrt(3 * (1 - abs(z))) AS reach FROM ({part})"
+    cap = f"SELECT *, least(floor((tt - quarter) * reach), {n - 1})::BIGINT AS jp, least(floor((1 - tt + quarter) * reach), {n - 1})::BIGINT AS jm FROM ({polar})"
+    face = f"CASE WHEN belt THEN CASE WHEN up // {n} = down // {n} THEN (up // {n}) % 4 + 4 WHEN up // {n} < down // {n} THEN up // {n} ELSE down // {n} + 8 END WHEN z >= 0 THEN quarter ELSE quarter + 8 END"
+    x = f"CASE WHEN belt THEN down % {n} WHEN z >= 0 THEN {n - 1} - jm ELSE jp END"
+    y = f"CASE WHEN belt THEN {n - 1} - up % {n} WHEN z >= 0 THEN {n - 1} - jp ELSE jm END"
+    bits = " + ".join(f"(({a} >> {i}) & 1) * {1 << (2 * i + k)}" for i in range(order) for k, a in ((0, "cx"), (1, "cy")))
+    return f"SELECT catalog_index, face * {4**order} + {bits} AS cell FROM (SELECT *, {face} AS face, {x} AS cx, {y} AS cy FROM ({cap}))"
+
+
+CELL_ROWS = "(SELECT catalog_index, ra, dec, ra * 32 AS ra_wide, dec * 89 AS dec_all FROM {sources})"
+
+
+@query("sky_cell", f"SELECT a.catalog_index, a.cell::BIGINT AS cell, b.cell::BIGINT AS wide FROM ({sky_cell_sql('ra', 'dec', 12).replace('{rows}', CELL_ROWS)}) a JOIN ({sky_cell_sql('ra_wide', 'dec_all', 6).replace('{rows}', CELL_ROWS)}) b USING (catalog_index)")
 def sky_cell(t):
     s = t("sources").withColumn("dec_all", F.col("dec") * 89)
     return s.select("catalog_index", S.sky_cell("ra", "dec", 12).alias("cell"), S.sky_cell(F.col("ra") * 32, "dec_all", 6).alias("wide"))
@@ -249,14 +267,14 @@ def pointing_key(t):
     return t("sources").select("catalog_index", S.pointing_key(F.concat(F.lit("tag_"), F.col("catalog_index").cast("string")), 12345).alias("key"))
 
 
-APPEAR = "SELECT catalog_index, string_agg('SCA' || lpad(sca::VARCHAR, 2, '0') || ':' || ord || ':' || round(xsca)::BIGINT || ',' || round(ysca)::BIGINT, ';' ORDER BY sca, ord, xsca) AS appearances FROM (SELECT * REPLACE (catalog_index % 97 AS catalog_index) FROM {manifest}) GROUP BY 1"
+APPEAR = "SELECT catalog_index, string_agg('SCA' || lpad(sca::VARCHAR, 2, '0') || ':' || ord || ':' || round(xsca)::BIGINT || ',' || round(ysca)::BIGINT, ';' ORDER BY sca, ord, xsca) AS appearances FROM {placements} GROUP BY 1"
 
 
 def appearances(t):
     item = F.struct("sca", "ord", "xsca", "ysca")
     whole = lambda v: F.round(v).cast("long").cast("string")
     text = lambda m: F.concat(F.lit("SCA"), F.lpad(m["sca"].cast("string"), 2, "0"), F.lit(":"), m["ord"], F.lit(":"), whole(m["xsca"]), F.lit(","), whole(m["ysca"]))
-    return t("manifest").withColumn("catalog_index", F.col("catalog_index") % 97).groupBy("catalog_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), text), ";").alias("appearances"))
+    return t("placements").groupBy("catalog_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), text), ";").alias("appearances"))
 
 
 @query("appearance_string", APPEAR)

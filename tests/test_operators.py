@@ -2,11 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skyloom.functions import scalar as S
-from skyloom.operators import cuts, pixels, quality, sky, spectra
+from skyloom.operators import cuts, footprint, pixels, quality, sky, spectra
+from skyloom.operators.quantiles import exact_quantiles, ranks
 from skyloom.sources import readers
 
 NAN = float("nan")
@@ -145,3 +147,77 @@ def test_catalog_columns_keep_units(spark):
     assert df.schema["ra"].metadata["unit"] == "deg" and len(df.columns) == 14
     readers_rows = readers.column_dictionary(df).collect()
     assert readers_rows[0]["unit"] == "deg"
+
+
+def test_labels_of_rules(spark):
+    rules = [{"column": "mag", "op": "between", "value": [1, 2], "types": ["PSF", "SER"]}, {"column": "sim", "op": "isin", "value": ["a"]}]
+    assert [r["label"] for r in cuts.described(spark, rules).orderBy("rule").collect()] == ["mag between [1, 2] for PSF and SER", "sim isin ['a']"]
+
+
+def test_quantiles_and_ranks_with_ties_gaps_and_nan(spark):
+    rng = np.random.default_rng(3)
+    values = {1: rng.normal(size=3001).tolist(), 2: [5.0] * 400 + [1e12, -1e12], 3: [7.5], 4: rng.integers(0, 9, 1000).astype(float).tolist(), 5: [NAN, None]}
+    rows = [(k, i, v) for k, vs in values.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "k int, i long, v double").repartition(5)
+    shares = [0.0, 0.25, 0.5, 0.95, 1.0]
+    got = {r["k"]: r["q"] for r in exact_quantiles(df, ["k"], F.col("v"), shares).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    for k, q in got.items():
+        assert np.allclose(q, np.quantile(values[k], shares), rtol=1e-12)
+    every = exact_quantiles(df, [], F.col("v"), [0.5]).first()["q"]
+    assert np.isclose(every[0], np.median([v for _, _, v in rows if v is not None and v == v]))
+    assert exact_quantiles(df.limit(0), [], F.col("v"), [0.5]).count() == 0
+    ranked = {(r["k"], r["i"]): (r["rank"], r["n"]) for r in ranks(df, ["k"], "v", "i").collect()}
+    for k in (1, 2, 3, 4):
+        order = sorted(range(len(values[k])), key=lambda i: (values[k][i], i))
+        assert all(ranked[k, i] == (n, len(order)) for n, i in enumerate(order))
+
+
+def test_nearest_within_equals_brute_force_up_to_the_poles(spark):
+    rng = np.random.default_rng(4)
+    place = lambda n, dec: list(zip(range(n), rng.uniform(0, 360, n).tolist(), dec(n).tolist(), strict=True))
+    for dec, tol in ((lambda n: rng.uniform(-90, 90, n), 6.0), (lambda n: rng.uniform(89.5, 90, n), 0.05), (lambda n: rng.uniform(-1, 1, n), 0.5)):
+        a, b = spark.createDataFrame(place(120, dec), "id_a long, ra_a double, dec_a double"), spark.createDataFrame(place(150, dec), "id_b long, ra_b double, dec_b double")
+        d = F.sqrt(F.pow((F.col("ra_a") - F.col("ra_b")) * F.cos(F.radians("dec_a")), 2) + F.pow(F.col("dec_a") - F.col("dec_b"), 2))
+        want = a.crossJoin(b).withColumn("d", d).filter(F.col("d") <= tol).groupBy("id_a").agg(F.min(F.struct("d", "id_b")).alias("m")).select("id_a", "m.id_b", "m.d")
+        got = sky.nearest_within(a, b, tol)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_isolated_ladder_and_separated(spark):
+    rows = [(1, 0.0, 0.0, 5.0), (2, 90.0, 0.0, 4.0), (3, 1000.0, 0.0, 3.0), (4, 1300.0, 0.0, 2.0), (5, 9000.0, 0.0, 1.0), (6, 5000.0, 5000.0, 6.0), (6, 5001.0, 5000.0, 6.0)]
+    df = spark.createDataFrame([(i, 1, "1", x, y, m) for i, x, y, m in rows], "catalog_index long, sca int, ord string, xsca double, ysca double, mag double")
+    got = sorted((r["catalog_index"], r["radius"]) for r in sky.isolated_sources(df, 800.0).collect())
+    assert got == [(5, 800.0), (6, 800.0), (6, 800.0)]
+    crowd = df.filter("catalog_index < 5")
+    assert sorted((r["catalog_index"], r["radius"]) for r in sky.isolated_sources(crowd, 800.0).collect()) == [(3, 200.0), (4, 200.0)]
+    assert [r["catalog_index"] for r in sky.separated_top_n(df.filter("catalog_index < 6"), 9, 300.0).collect()] == [5, 4, 2]
+
+
+def test_interpolation_of_clustered_samples(spark):
+    rng = np.random.default_rng(5)
+    x = np.sort(np.concatenate([rng.uniform(0, 0.001, 300), [5.0, 900.0, 1000.0]]))
+    y = rng.normal(size=len(x))
+    at = np.concatenate([rng.uniform(-1, 1100, 300), rng.uniform(0, 0.001, 300), x])
+    curve = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "x double, y double")
+    pts = spark.createDataFrame([(i, float(v)) for i, v in enumerate(at)], "i long, at double")
+    got = [r["value"] for r in spectra.interp_join(pts, curve, [], "at").orderBy("i").collect()]
+    assert np.allclose(got, np.interp(at, x, y), atol=1e-9)
+
+
+def test_cells_miss_no_detector(spark):
+    """Against every pair of source and detector, at many places, also where traces bend."""
+    cal = [(s, o, 2044.5, 0.11, 100.0, (s % 6 - 2.5) * 44.0, (s // 6 - 1.0) * 44.0, "log" if o == "0" else "linear", 1.55, 0.01 * s, 320.0, 5.0, 20.0, 0.3 * s, 4.0, 330.0, -15.0, 0.1, 3.0, -0.4, 0.2, 0.5, 9.0 * int(o) + 1, 0.3, -2.0) for s in range(1, 19) for o in "012"]
+    names = "sca ord crpix pixel_scale plate_scale xcen ycen kind wl_ref x00 x10 x01 x11 y00 y10 y01 y11 c0 c1 c2 cx d0 d1 d2 dx".split()
+    calibration = S.nested_calibration(spark.createDataFrame(cal, names).withColumn("sca", F.col("sca").cast("int")))
+    src = spark.range(600).select("id", ((F.col("id") * 0.6180339887 % 1) * 1.2 - 0.6).alias("xf"), ((F.col("id") * 0.7548776662 % 1) * 0.8 - 0.4).alias("yf"))
+    waves = (0.9, 1.45, 2.0)
+    df = src.crossJoin(calibration)
+    for i, w in enumerate(waves):
+        px, py = S.trace_position("xf", "yf", F.lit(w))
+        df = df.withColumns({f"px{i}": px, f"py{i}": py})
+    most = lambda f, a: f(*(F.col(f"p{a}{i}") for i in range(3)))
+    want = df.filter((most(F.greatest, "x") >= -300) & (most(F.least, "x") <= 4388) & (most(F.greatest, "y") >= -300) & (most(F.least, "y") <= 4388)).select("id", "sca", "ord")
+    got = footprint.detector_overlap(src, calibration, waves).select("id", "sca", "ord")
+    found = sorted(map(tuple, got.collect()))
+    assert found == sorted(map(tuple, want.collect())) and len(found) > 500

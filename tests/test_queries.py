@@ -37,6 +37,7 @@ def test_equals_sql(spark, duck, name):
     assert sorted(names) == cols
     order = [names.index(c) for c in cols]
     assert got == plain([tuple(r[i] for i in order) for r in want.fetchall()])
+    assert got, "nothing compared"
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
