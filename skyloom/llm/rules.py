@@ -8,7 +8,9 @@ all but a small share of good documents, and a rule takes part only where it
 catches bad ones more often. The other half decides how far to go: level by
 level, the exact binomial (Clopper-Pearson) upper bound of the share of good
 documents that the joint set rejects must stay within ``alpha``; testing stops
-at the first that fails. A fixed sequence needs no correction within a path.
+at the first that fails. A fixed sequence needs no correction within a path, so
+all levels up to there hold, and the one is taken that rejects the largest share
+of bad documents above that of good ones, on the half that shaped the path.
 Over strata, the error probability is split evenly, and a stratum whose path is
 certified to its end passes its part on to the others (Holm). So, with
 probability 1 - ``delta``, no stratum loses more than ``alpha`` of its good
@@ -128,7 +130,7 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = 0.02, delta:
     """{(stratum, rule): bin}; documents in a higher bin are rejected. Rules that take no part are absent.
 
     Only counts reach the driver: per stratum, rule, bin and label at most
-    4 * 6 * 201 * 2 rows, and per stratum and level 4 * 9. Labels other than 0
+    4 * 6 * 201 * 2 rows, and per stratum, half, label and level 4 * 2 * 2 * 9. Labels other than 0
     and 1 are ignored.
     """
     known = labels.filter(F.col("quality").isin(0, 1)).select(F.col(id_col).alias("_id"), F.col("quality").alias("_quality"))
@@ -152,14 +154,17 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = 0.02, delta:
             over = [bin_of(r) > int(path[j, k]) for k, r in enumerate(RULES) if path[j, k] < BINS]
             first = F.when(reduce(lambda a, b: a | b, over), j).otherwise(first) if over else first
         level = F.when(F.col("s").isin(*p), first).otherwise(level)
-    lost = np.zeros((len(STRATA) + 1, len(LEVELS) + 1), np.int64)
-    for r in test.groupBy("s", level.alias("level")).count().collect():
-        lost[r["s"], r["level"]] += r["count"]
-    rejected = [lost[p].sum(0)[:-1].cumsum() for p in pools]
+    seen = np.zeros((len(STRATA) + 1, 2, 2, len(LEVELS) + 1), np.int64)
+    for r in rows.groupBy("s", held.cast("int").alias("held"), "_quality", level.alias("level")).count().collect():
+        seen[r["s"], r["held"], r["_quality"], r["level"]] += r["count"]
+    pooled = np.stack([seen[p].sum(0)[..., :-1].cumsum(-1) for p in pools])
+    total = np.stack([np.maximum(1, seen[p].sum(0).sum(-1)) for p in pools])
     out = {}
-    for p, path, n in zip(pools, paths, certified(rejected, [int(good[p].sum()) for p in pools], alpha, delta), strict=True):
-        if n:
-            out |= {(s, r): int(path[n - 1, k]) for s in p for k, r in enumerate(RULES) if path[n - 1, k] < BINS}
+    for i, n in enumerate(certified(list(pooled[:, 1, 1]), [int(good[p].sum()) for p in pools], alpha, delta)):
+        gain = [0.0] + [pooled[i, 0, 0, j] / total[i, 0, 0] - pooled[i, 0, 1, j] / total[i, 0, 1] for j in range(n)]
+        best = int(np.argmax(gain)) - 1
+        if best >= 0:
+            out |= {(s, r): int(paths[i][best, k]) for s in pools[i] for k, r in enumerate(RULES) if paths[i][best, k] < BINS}
     return out
 
 
