@@ -27,7 +27,7 @@ from skyloom.llm.textops import U, mix, prefix, slices, spans_hash
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 SPACE_BYTES = SPACE.encode()
-SLICE = 1 << 20
+SLICE = 1 << 19
 NONE = np.int32(1 << 30)
 _CACHE_BITS = 20
 
