@@ -35,10 +35,11 @@ def band_flux(t):
     return df.crossJoin(F.broadcast(weight_array(t))).withColumn("flux", spectra.weighted_mean(F.col("seds"), F.col("w")))
 
 
-@query("bandpass_weights", f"SELECT i, round(w, 4) AS w, round(sum(w) OVER (), 4) AS total FROM {WEIGHT}")
+@query("bandpass_weights", f"WITH w AS (SELECT curve, i, sens * wavelength * {GRAD} AS w FROM {{curves}} WINDOW w AS (PARTITION BY curve ORDER BY wavelength)) SELECT curve, i, round(w, 4) AS w, round(sum(w) OVER (PARTITION BY curve), 4) AS total FROM w")
 def bandpass_weights(t):
-    w = weights(t)
-    return w.crossJoin(F.broadcast(w.agg(F.sum("w").alias("total")))).select("i", r(F.col("w"), 4).alias("w"), r(F.col("total"), 4).alias("total"))
+    """Response x wavelength x spacing of each sample of each curve, with the curve's sum."""
+    w = spectra.gradient(t("curves"), ["curve"], "wavelength").withColumn("w", F.col("sens") * F.col("wavelength") * F.col("grad"))
+    return w.withColumn("total", F.sum("w").over(Window.partitionBy("curve"))).select("curve", "i", r(F.col("w"), 4).alias("w"), r(F.col("total"), 4).alias("total"))
 
 
 @query("bandpass_flux", f"SELECT vec_id, round(flux, 6) AS flux FROM {FLUX}")
@@ -159,9 +160,9 @@ def counts_per_bin(t):
     return df.select("vec_id", r(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4).alias("counts"))
 
 
-@query("response_peak", "SELECT sca, ord, round(max(sens), 6) AS peak, arg_max(wavelength, sens * 1e9 + wavelength) AS at, round(avg(sens) / max(sens), 6) AS relative FROM {sensitivity} GROUP BY sca, ord")
+@query("response_peak", "SELECT curve, round(max(sens), 6) AS peak, arg_max(wavelength, sens * 1e9 + wavelength) AS at, round(avg(sens) / max(sens), 6) AS relative FROM {curves} GROUP BY curve")
 def response_peak(t):
-    return t("sensitivity").groupBy("sca", "ord").agg(r(F.max("sens")).alias("peak"), F.max_by("wavelength", F.col("sens") * 1e9 + F.col("wavelength")).alias("at"), r(F.avg("sens") / F.max("sens")).alias("relative"))
+    return t("curves").groupBy("curve").agg(r(F.max("sens")).alias("peak"), F.max_by("wavelength", F.col("sens") * 1e9 + F.col("wavelength")).alias("at"), r(F.avg("sens") / F.max("sens")).alias("relative"))
 
 
 @query("manifest_pivot", "SELECT ord, count(*) FILTER (type = 'PSF') AS \"PSF\", count(*) FILTER (type = 'SER') AS \"SER\" FROM {manifest} GROUP BY ord")
@@ -444,11 +445,12 @@ def cross_profile_peak(t):
     return P.boxes(o, t("pixels"), 6, 3).groupBy("src", "dx").agg(F.sum("v").alias("s")).groupBy("src").agg(r(F.max("s") / F.sum("s")).alias("peak"))
 
 
-@query("continuum_budget", "SELECT sca, line_id, round(level, 5) AS level, round(level * amp_rel / sqrt(level * 190 + 100) * 190, 5) AS snr, amp_rel AS contrast, level * (1 + amp_rel) * 190 < 80000 AS fits FROM (SELECT s.sca, l.line_id, l.amp_rel, s.sens * 25 AS level FROM {sensitivity} s JOIN {lines} l ON s.wavelength = l.center_a - l.center_a % 200 WHERE s.ord = '1')")
+@query("continuum_budget", "SELECT curve, line_id, round(level, 5) AS level, round(level * amp_rel / sqrt(level * 190 + 100) * 190, 5) AS snr, amp_rel AS contrast, level * (1 + amp_rel) * 190 < 8000 AS fits FROM (SELECT s.curve, l.line_id, l.amp_rel, s.sens * 25 AS level FROM {curves} s JOIN {lines} l ON s.wavelength = l.center_a - l.center_a % 200)")
 def continuum_budget(t):
-    s = t("sensitivity").filter("ord = '1'").join(F.broadcast(t("lines")), F.expr("wavelength = center_a - center_a % 200"))
+    """Level, signal to noise and full well at each line of a short constant list, for each response."""
+    s = t("curves").join(F.broadcast(t("lines")), F.expr("wavelength = center_a - center_a % 200"))
     level = F.col("sens") * 25
-    return s.select("sca", "line_id", r(level, 5).alias("level"), r(level * F.col("amp_rel") / F.sqrt(level * 190 + 100) * 190, 5).alias("snr"), F.col("amp_rel").alias("contrast"), (level * (1 + F.col("amp_rel")) * 190 < 80000).alias("fits"))
+    return s.select("curve", "line_id", r(level, 5).alias("level"), r(level * F.col("amp_rel") / F.sqrt(level * 190 + 100) * 190, 5).alias("snr"), F.col("amp_rel").alias("contrast"), (level * (1 + F.col("amp_rel")) * 190 < 8000).alias("fits"))
 
 
 @query("perf_gate", "SELECT ord, min(ms) FILTER (variant = 'F') AS full_ms, min(ms) FILTER (variant = 'O') AS floor_ms, round(min(ms) FILTER (variant = 'F') / min(ms) FILTER (variant = 'O'), 6) AS ratio, min(ms) FILTER (variant = 'F') / min(ms) FILTER (variant = 'O') <= 1.5 AS passed FROM {bench} GROUP BY ord")

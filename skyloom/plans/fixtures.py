@@ -36,6 +36,10 @@ SELECT n_nationkey AS pointing_id,
   CASE WHEN n_nationkey % 5 = 0 THEN 'PRISM' ELSE 'GRISM' END AS bandpass,
   n_nationkey % 3 AS visit, n_nationkey % 7 AS exposure, CAST(190.22287 AS DOUBLE) AS exposure_time
 FROM {nation}""",
+    "visits": """
+SELECT c_custkey AS pointing_id, CAST(9.21 AS DOUBLE) + CAST((c_custkey * 7919) % 20011 AS DOUBLE) / 10000 AS ra0, CAST(-0.79 AS DOUBLE) + CAST((c_custkey * 6367) % 15013 AS DOUBLE) / 10000 AS dec0,
+  CAST((c_custkey * 15) % 360 AS DOUBLE) AS pa, CASE WHEN c_custkey % 5 = 0 THEN 'PRISM' ELSE 'GRISM' END AS bandpass, CAST(1 + c_custkey % 18 AS INT) AS sca, CAST(1.55 + (c_custkey % 7) * 0.001 AS DOUBLE) AS wl_ref
+FROM {customer}""",
     "pixels": """
 SELECT CAST(1 + l_suppkey % 18 AS INT) AS sca, CAST(l_orderkey % 64 AS INT) AS y, CAST(l_partkey % 64 AS INT) AS x,
   sum(l_quantity) AS value_a, sum(l_quantity * (1 + l_discount / 1000)) AS value_b
@@ -82,10 +86,24 @@ SELECT catalog_index, CAST((catalog_index * 48271) % 196608 AS BIGINT) AS pix, C
 }
 
 
+#: Views of unnested arrays, for which the two dialects differ: (Spark's select expressions over a table, DuckDB's query).
+UNNESTED = {
+    "curves": (
+        "embeddings",
+        ["vec_id AS curve", "posexplode(embedding) AS (i, f)"],
+        ["curve", "i", "CAST(9000 + 200 * i AS DOUBLE) AS wavelength", "abs(CAST(f AS DOUBLE)) AS sens"],
+        "SELECT curve, i, CAST(9000 + 200 * i AS DOUBLE) AS wavelength, abs(CAST(f AS DOUBLE)) AS sens FROM (SELECT vec_id AS curve, CAST(unnest(range(0, len(embedding))) AS INT) AS i, unnest(embedding) AS f FROM {embeddings})",
+    ),
+}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or a view as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in UNNESTED:
+        table, rows, columns, _ = UNNESTED[name]
+        return view(spark, sf_dir, table).selectExpr(*rows).selectExpr(*columns)
     text = VIEWS[name]
     used = sorted(set(re.findall(r"\{(\w+)\}", text)))
     return spark.sql(text, **{u: view(spark, sf_dir, u) for u in used})
@@ -94,16 +112,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str) -> str:
     """SQL for DuckDB: ``{name}`` of views become common table expressions before it."""
     order: list[str] = []
+    texts = VIEWS | {n: u[-1] for n, u in UNNESTED.items()}
 
     def need(text: str) -> None:
         for u in re.findall(r"\{(\w+)\}", text):
-            if u in VIEWS and u not in order:
-                need(VIEWS[u])
+            if u in texts and u not in order:
+                need(texts[u])
                 order.append(u)
 
     need(sql)
     plain = lambda t: re.sub(r"\{(\w+)\}", r"\1", t)
-    ctes = ", ".join(f"{u} AS ({plain(VIEWS[u])})" for u in order)
+    ctes = ", ".join(f"{u} AS ({plain(texts[u])})" for u in order)
     body = plain(sql).strip()
     if not ctes:
         return body

@@ -68,12 +68,13 @@ def inner_region(t):
     return t("manifest").filter(F.col("xsca").between(500, 3588) & F.col("ysca").between(500, 3588)).select("catalog_index")
 
 
-@query("band_support", "WITH p AS (SELECT *, max(sens) OVER (PARTITION BY sca, ord) AS peak FROM {sensitivity}) SELECT sca, ord, min(wavelength) FILTER (sens > 0) AS lo, max(wavelength) FILTER (sens > 0) AS hi, min(wavelength) FILTER (sens > 0.01 * peak) AS lo1, max(wavelength) FILTER (sens > 0.01 * peak) AS hi1 FROM p GROUP BY sca, ord")
+@query("band_support", "WITH p AS (SELECT *, max(sens) OVER (PARTITION BY curve) AS peak FROM {curves}) SELECT curve, min(wavelength) FILTER (sens > 0) AS lo, max(wavelength) FILTER (sens > 0) AS hi, min(wavelength) FILTER (sens > 0.5 * peak) AS lo1, max(wavelength) FILTER (sens > 0.5 * peak) AS hi1 FROM p GROUP BY curve")
 def band_support(t):
-    p = t("sensitivity").withColumn("peak", F.max("sens").over(Window.partitionBy("sca", "ord")))
+    """Where each response is above zero, and above half of its peak."""
+    p = t("curves").withColumn("peak", F.max("sens").over(Window.partitionBy("curve")))
     at = lambda f, c: f(F.when(c, F.col("wavelength")))
-    some, much = F.col("sens") > 0, F.col("sens") > 0.01 * F.col("peak")
-    return p.groupBy("sca", "ord").agg(at(F.min, some).alias("lo"), at(F.max, some).alias("hi"), at(F.min, much).alias("lo1"), at(F.max, much).alias("hi1"))
+    some, much = F.col("sens") > 0, F.col("sens") > 0.5 * F.col("peak")
+    return p.groupBy("curve").agg(at(F.min, some).alias("lo"), at(F.max, some).alias("hi"), at(F.min, much).alias("lo1"), at(F.max, much).alias("hi1"))
 
 
 @query("significant_pixels", "SELECT sca, y, x, round(value_a, 4) AS value_a FROM (SELECT *, max(value_a) OVER (PARTITION BY sca) AS peak FROM {pixels}) WHERE value_a > 0.3 * peak")

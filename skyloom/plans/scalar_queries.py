@@ -302,11 +302,11 @@ def value_precedence(t):
     return t("sources").select("catalog_index", F.coalesce(explicit, header, F.lit(1.5)).alias("value"), F.coalesce(explicit != header, F.lit(False)).alias("contradicts"))
 
 
-@query("line_spectrum", "SELECT i, wavelength, round(0.7 + (SELECT sum(0.7 * amp_rel * exp(-0.5 * pow((wavelength - center_a) / (fwhm_a * 20 / (2 * sqrt(2 * ln(2)))), 2))) FROM {lines}), 6) AS total FROM {grid}")
+@query("line_spectrum", "SELECT curve, i, round(sens + (SELECT sum(sens * amp_rel * exp(-0.5 * pow((wavelength - center_a) / (fwhm_a * 20 / (2 * sqrt(2 * ln(2)))), 2))) FROM {lines}), 6) AS total FROM {curves}")
 def line_spectrum(t):
-    """The lines, twenty times as wide so that the grid resolves them, on a continuum of 0.7."""
+    """The lines, twenty times as wide so that the grid resolves them, on each spectrum as continuum. The line list is a short constant."""
     lines = t("lines").agg(F.sort_array(F.collect_list(F.struct("center_a", (F.col("fwhm_a") * 20).alias("fwhm_a"), "amp_rel"))).alias("lines"))
-    return t("grid").crossJoin(F.broadcast(lines)).select("i", "wavelength", r(S.line_spectrum(F.col("wavelength"), F.col("lines"), F.lit(0.7))).alias("total"))
+    return t("curves").crossJoin(F.broadcast(lines)).select("curve", "i", r(S.line_spectrum(F.col("wavelength"), F.col("lines"), F.col("sens"))).alias("total"))
 
 
 @query("line_catalog", "SELECT catalog_index, ra, dec, 'SER' AS type, 1.0::DOUBLE AS flux_scale, 0 AS sim, 0 AS sed_index, round(mag, 4) AS mag, 1.0::DOUBLE AS n, 0.1::DOUBLE AS half_light_radius FROM {sources} WHERE type = 'PSF' AND mag <= 20.0001")
@@ -316,10 +316,10 @@ def line_catalog(t):
     return s.select("catalog_index", "ra", "dec", F.lit("SER").alias("type"), F.lit(1.0).alias("flux_scale"), F.lit(0).alias("sim"), F.lit(0).alias("sed_index"), r(F.col("mag"), 4).alias("mag"), F.lit(1.0).alias("n"), F.lit(0.1).alias("half_light_radius"))
 
 
-@query("sloped_taper", "SELECT i, round((1 + 0.5 * (i / 63.0 - 0.5)) * CASE WHEN i < 8 THEN 0.5 * (1 - cos(pi() * i / 8)) WHEN i > 55 THEN 0.5 * (1 - cos(pi() * (63 - i) / 8)) ELSE 1 END, 6) AS v FROM {grid}")
+@query("sloped_taper", "SELECT curve, i, round(sens * (1 + 0.5 * (i / 63.0 - 0.5)) * CASE WHEN i < 8 THEN 0.5 * (1 - cos(pi() * i / 8)) WHEN i > 55 THEN 0.5 * (1 - cos(pi() * (63 - i) / 8)) ELSE 1 END, 6) AS v FROM {curves}")
 def sloped_taper(t):
-    """Linear slope times a cosine taper over eight samples at both ends."""
+    """Linear slope times a cosine taper over eight samples at both ends of each spectrum."""
     i = F.col("i")
     edge = lambda k: 0.5 * (1 - F.cos(F.pi() * k / 8))
     taper = F.when(i < 8, edge(i)).when(i > 55, edge(63 - i)).otherwise(F.lit(1.0))
-    return t("grid").select("i", r((1 + 0.5 * (i / 63.0 - 0.5)) * taper).alias("v"))
+    return t("curves").select("curve", "i", r(F.col("sens") * (1 + 0.5 * (i / 63.0 - 0.5)) * taper).alias("v"))

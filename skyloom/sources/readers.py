@@ -112,7 +112,7 @@ def read_source_index(df: DataFrame) -> DataFrame:
 
 def read_sensitivity(mapping: DataFrame, curves: DataFrame, scas: DataFrame) -> DataFrame:
     """Curve of each (sca, ord) through a map to curve names; a detector without a map entry is an error."""
-    known = scas.join(F.broadcast(mapping), "sca", "left")
+    known = scas.join(mapping, "sca", "left")
     name = F.when(F.col("curve").isNotNull(), F.col("curve")).otherwise(F.raise_error(F.concat(F.lit("no curve for detector "), F.col("sca").cast("string"))))
     return known.withColumn("curve", name).join(curves, "curve").select("sca", "ord", "wavelength", "sens")
 

@@ -1,6 +1,7 @@
 """Files and lists whose size does not grow with the table."""
 
 import glob
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -53,9 +54,15 @@ def test_list_in_many_files_is_numbered_as_one(spark, tmp_path):
     assert out == [(i, f"name {i}") for i in range(1000) if i % 7]
 
 
-def test_file_list_is_not_gathered(spark, capsys):
-    rows = spark.range(100).select(F.col("id").alias("catalog_index"), (F.col("id") % 3).cast("int").alias("src_group"))
-    df = quality_queries.file_list_hash(lambda v: rows)
-    df.explain()
-    assert "collect_list" not in capsys.readouterr().out
-    assert df.count() == 3
+def test_file_list_is_hashed_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(quality_queries, "BRANCH", 10)
+    rows = [(g, i) for g in (1, 2) for i in range(0, 700, g)]
+    df = spark.createDataFrame(rows, "src_group int, catalog_index long").repartition(3)
+    sha = lambda parts: hashlib.sha256("\n".join(parts).encode()).hexdigest()
+    want = {}
+    for g in (1, 2):
+        level = {i: f"file_{i}" for x, i in rows if x == g}
+        for _ in range(2):
+            level = {b: sha([level[i] for i in sorted(level) if i // 10 == b]) for b in {i // 10 for i in level}}
+        want[g] = sha([level[b] for b in sorted(level)])[:12]
+    assert {r["src_group"]: r["hash"] for r in quality_queries.file_list_hash(lambda v: df).collect()} == want
