@@ -11,8 +11,9 @@ the chance that none is, is about 2e-5.)
 Pairs that share a key are not written out. Equal sets are one node. In each
 key's group every member is linked to the first, if confirmed; in groups that
 then hold several components, members of others to one drawn by hash. Where
-several are still left, pairs across components are compared, in packs. This loses no
-link that matters for the components, and a group never meets in one task.
+several are still left, pairs across components are compared, in packs; members
+of a crowded group are first grouped anew, by their rarest shingles. This loses
+no link that matters for the components, and a group never meets in one task.
 """
 
 from __future__ import annotations
@@ -131,8 +132,9 @@ def _symbols(packed: np.ndarray) -> np.ndarray:
 def near_members(packs: DataFrame, percent: int) -> DataFrame:
     """(key, part, other, node, component): members of two packs (left, right) with a partner in another component.
 
-    A partner's size allows the similarity, and this key is the first that the
-    two share, so that a pair counts in one group only.
+    A partner's size allows the similarity, and a key of signatures (slot 0 or
+    more) is the first that the two share, so that a pair counts in one group
+    only.
     """
 
     def unpack(column):
@@ -158,12 +160,12 @@ def near_members(packs: DataFrame, percent: int) -> DataFrame:
                     i, j = np.nonzero((comp[:, None] != comps) & (100 * small >= percent * large))
                     for k in range(0, len(i), 1 << 16):
                         x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                        differ = (sig[x] != sigs[y]).reshape(-1, CHUNKS, WIDTH)
-                        errors = differ.sum(2)
-                        first = (errors <= ERRORS).argmax(1)
-                        spot = differ[np.arange(len(x)), first].argmax(1)
-                        own = first * WIDTH + spot == slots[r]
-                        x, y = x[own], y[own]
+                        if slots[r] >= 0:
+                            differ = (sig[x] != sigs[y]).reshape(-1, CHUNKS, WIDTH)
+                            first = (differ.sum(2) <= ERRORS).argmax(1)
+                            spot = differ[np.arange(len(x)), first].argmax(1)
+                            own = first * WIDTH + spot == slots[r]
+                            x, y = x[own], y[own]
                         hit |= dict(zip(node[x].tolist(), comp[x].tolist(), strict=True)) | dict(zip(nodes[y].tolist(), comps[y].tolist(), strict=True))
                 found += [(keys[r], part[r], other[r], n, c) for n, c in hit.items()]
             cols = list(zip(*found, strict=True)) if found else [[]] * 5
@@ -172,6 +174,27 @@ def near_members(packs: DataFrame, percent: int) -> DataFrame:
     return packs.select("left", "right", "key", "part", "other", "slot").mapInArrow(run, "key long, part long, other long, node long, component long")
 
 
+def by_rare_shingles(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, slot, node, component, size): the nodes of crowded groups (node, component) grouped anew, by shingles; only groups of several components.
+
+    Over one order of all shingles, the rarest first, two sets that are similar
+    enough share one of the first n - ceil(percent n / 100) + 1 of each. What
+    many texts have in common, such as a frame around different contents, comes
+    last in that order, so these groups are small where those by signature were
+    not. ``slot`` is -1.
+    """
+    own = written(crowded.distinct().join(sets, "node"), "crowded")
+    shingles = own.select("node", F.explode("set").alias("key"))
+    common = written(shingles.groupBy("key").agg(F.count("*").alias("shared")).filter("shared > 1"), "common")
+    ordered = shingles.join(common, "key", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("shared", F.lit(1)).alias("shared"), "key"))).alias("all"))
+    n = F.size("all")
+    first = F.slice("all", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
+    rows = ordered.select("node", F.explode(F.filter(first, lambda x: x["shared"] > 1)).alias("x")).select("node", "x.key").join(own.select("node", "component"), "node")
+    rows = written(rows, "rare")
+    mixed = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2")
+    return rows.join(mixed.select("key", "size"), "key").select("key", F.lit(-1).alias("slot"), "node", "component", "size")
+
+
 def similar_pairs(groups: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) across components within each group (column members: node, component, set), by exact intersections.
 
@@ -258,7 +281,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     open_ = across_components(components(links))
     links = links.union(linked(open_.filter("component <> rep_component").select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b"))))
     labels = components(links)
-    open_ = across_components(labels)
+    open_ = across_components(labels).select("key", "slot", "node", "component", "size")
+    crowded = open_.filter(F.col("size") > BLOCK).select("node", "component")
+    if not crowded.isEmpty():
+        open_ = open_.filter(F.col("size") <= BLOCK).union(by_rare_shingles(crowded, sets, percent).select(open_.columns))
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     pack = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).alias("part")
     packs = open_.join(signed, "node").withColumn("parts", parts).groupBy("key", "slot", "parts", pack).agg(F.collect_list(F.struct("node", "component", "n", *PACKED)).alias("left"))

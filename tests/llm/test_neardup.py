@@ -59,6 +59,39 @@ def test_components_equal_brute_force(spark):
     assert sorted(map(tuple, out.collect())) == brute(texts, 2, 80)
 
 
+def test_no_pair_near_the_threshold_is_lost(spark):
+    """Thousands of pairs of similarity 0.80 to 0.82, each of which has to be linked."""
+    rng = random.Random(6)
+    texts, pairs = [], []
+    while len(pairs) < 3000:
+        n = rng.randrange(40, 120)
+        base = [f"w{rng.randrange(10**7)}" for _ in range(n)]
+        other = list(base)
+        runs = rng.randrange(1, 4)
+        for _ in range(runs):
+            at, size = rng.randrange(n), max(1, round(n * 0.1 / runs) - 1)
+            other[at : at + size] = [f"e{rng.randrange(10**7)}" for _ in other[at : at + size]]
+        a, b = shingles(" ".join(base), 2), shingles(" ".join(other), 2)
+        if 80 <= 100 * len(a & b) / len(a | b) <= 82:
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [" ".join(base), " ".join(other)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(documents(spark, texts), shingle=2).collect()}
+    assert [p for p in pairs if got[p[0]] != p[0] or got[p[1]] != p[0]] == []
+
+
+def test_group_of_several_components_and_packs(spark, monkeypatch):
+    """One large group of texts that share half of their words, in many components."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(7)
+    shared = prose(1, 60)
+    texts = []
+    for i in range(60):
+        own = f"{shared} {prose(1000 + i, 25)}"
+        texts += [own, edited(rng, own, 0.03)]
+    out = neardup.near_duplicates(documents(spark, texts), shingle=2)
+    assert sorted(map(tuple, out.collect())) == brute(texts, 2, 80)
+
+
 def test_empty_and_null_ids(spark):
     assert neardup.near_duplicates(documents(spark, []), shingle=5).count() == 0
     docs = documents(spark, ["a b c", "a b c"]).unionByName(spark.createDataFrame([(None, "a b c", None, None, None)], documents(spark, []).schema))
