@@ -1,5 +1,8 @@
 import itertools
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -74,3 +77,64 @@ def test_more_than_256_languages():
     want = np.array([0, 299, 299, 256, 7])
     scores = np.where(np.arange(300) == want[:, None], 9.0, 0.0)
     assert langid.viterbi(scores, np.array([0, 3, 5]), 0.5).tolist() == want.tolist()
+
+
+def grams(word):
+    padded = b" " + word.lower() + b" "
+    codes = [(padded[i] << 16) | (padded[i + 1] << 8) | padded[i + 2] for i in range(len(word))]
+    return [(c * 2654435761 % (1 << 32)) >> (32 - langid.BITS) for c in codes]
+
+
+def plain(train, texts):
+    """Language and share of letters per text, word by word in Python."""
+    counts, scripts = {}, {}
+    words = lambda t: re.findall(rb"[A-Za-z\x80-\xff]+", (t or "").encode())
+    script = lambda w: max(langid._SCRIPT[b] for b in w)
+    for text, lang in train:
+        for w in words(text):
+            counts.setdefault(lang, Counter()).update(grams(w))
+            scripts.setdefault(lang, set()).add(script(w))
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) + 0.1 * langid.CELLS for x in langs}
+    out = []
+    for t in texts:
+        best, back = None, []
+        for w in words(t):
+            allowed = {x for x in langs if script(w) in scripts[x]} or set(langs)
+            mark = {x: sum(math.log((counts[x][g] + 0.1) / total[x]) for g in grams(w)) - 1e4 * (x not in allowed) for x in langs}
+            if best is None:
+                best, came = mark, {x: x for x in langs}
+            else:
+                came = {x: max(langs, key=lambda y: (best[y] - langid.SWITCH * (y != x), y == x)) for x in langs}
+                best = {x: best[came[x]] - langid.SWITCH * (came[x] != x) + mark[x] for x in langs}
+            back.append(came)
+        letters = Counter()
+        if back and any(c.isalpha() for c in t):
+            x = max(langs, key=lambda y: best[y])
+            for w, came in zip(reversed(words(t)), reversed(back), strict=True):
+                letters[x] += len(w)
+                x = came[x]
+            top = max(langs, key=lambda y: (letters[y], -langs.index(y)))
+            out.append((top, letters[top] / sum(letters.values())))
+        else:
+            out.append(("und", 0.0))
+    return out
+
+
+def test_equals_word_by_word_computation(spark):
+    docs = training(spark)
+    rng = random.Random(8)
+    texts = list(ODD)
+    for _ in range(60):
+        texts.append(". ".join(" ".join(rng.choices(x.split(), k=rng.randrange(1, 9))) for x in rng.choices((EN, DE, RU), k=rng.randrange(1, 5))))
+    want = plain([(r["text"], r["lang"]) for r in docs.collect() if r["lang"]], texts)
+    got = langid.identify(documents(spark, texts), langid.fit(docs), spans=False).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got] == [x for x, _ in want]
+    assert all(abs(r["score"] - s) < 1e-9 for r, (_, s) in zip(got, want, strict=True))
+
+
+def test_clashing_columns_and_repeats(spark):
+    docs = documents(spark, [EN, RU, None]).withColumns({c: F.lit("clash") for c in ("_text", "_lang", "lang_pred", "score", "spans")})
+    model = langid.fit(training(spark).withColumn("_text", F.lit(1)))
+    out = langid.identify(docs.union(docs), model, keep=["source"]).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["lang_pred"], r["source"]) for r in out] == [(0, "en", "src0")] * 2 + [(1, "ru", "src0")] * 2 + [(2, "und", "src0")] * 2

@@ -2,6 +2,7 @@ import os
 
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from skyloom.llm import pieces
 
@@ -28,6 +29,12 @@ def test_round_trip(spark):
     assert {r["doc_id"]: r["text"] for r in decoded} == {i: (t or "").replace("▁", " ") for i, t in enumerate(TEXTS)}
 
 
+def test_clashing_columns_and_repeats(spark):
+    docs = documents(spark, ["hello world", None]).withColumns({c: F.lit("clash") for c in ("ids", "decoded", "n_tokens", "round_trip")})
+    out = pieces.round_trip(docs.union(docs)).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in out] == [0, 0, 1, 1] and out[0] == out[1] and out[2]["n_tokens"] == 0
+
+
 def test_empty_and_strange_ids(spark):
     assert pieces.round_trip(documents(spark, [])).count() == 0
     ids = spark.createDataFrame([(1, None), (2, [-5, 10**6]), (3, [3 + 0xE6])], "doc_id long, ids array<int>")

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -90,6 +91,37 @@ def test_long_secrets_are_found_whole(spark):
     assert [r["text"] for r in out] == [f"{prose(i, 20)} write to <email> or token = \"<secret>\" {prose(i + 99, 9)}" for i in range(40)]
 
 
+def test_a_megabyte_of_matches_ends_soon(spark):
+    """Time follows the length of a text, also where all of it is matches, base and added, and it is redacted."""
+    text = "".join(f"a{i}@b.cd, é{i % 250}.1.2.3 jo{i} (at) ex.com; " for i in range(20000))
+    docs = documents(spark, [text, "x " + text[:3000]])
+    began = time.time()
+    proposed = docs.withColumn("proposed", pii.proposals(F.col("text")))
+    model = pii.fit(proposed)
+    r = pii.digest(proposed, model).orderBy("doc_id").first()
+    assert len(text) > 800_000 and tuple(r[1:6]) == brute(text)[0] and r["n_email"] == 20000 and r["n_ip"] == 20000
+    found = pii.find(docs, model).withColumn("text", pii.redacted(F.col("text"), F.col("spans"))).orderBy("doc_id").first()
+    assert found["text"].startswith("<email>, é<ip> ") and found["text"].count("<email>") >= 20000 and "@" not in found["text"]
+    assert time.time() - began < 120
+
+
+def test_redaction_of_overlapping_spans_and_wide_characters(spark):
+    text = "é😀 call +1 (555) 123-4567 or 4111 1111 1111 1111 at 1.2.3.4, ü@x me@é.fr a@b.cd"
+    spans = [(3, 9, 26), (2, 30, 49), (1, 53, 60), (0, 14, 40)]
+    rows = [(k, a, b, len(text[:a].encode()), len(text[:b].encode())) for k, a, b in spans]
+    df = spark.createDataFrame([(text, rows), (text, []), (None, [])], "text string, spans array<struct<kind:int,start:int,end:int,b0:int,b1:int>>")
+    out = [r[0] for r in df.select(pii.redacted(F.col("text"), F.col("spans"))).collect()]
+    assert out == [text[:9] + "<phone>" + text[49:53] + "<ip>" + text[60:], text, None]
+
+
+def test_running_totals_over_blocks(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        df = spark.range(1).select(F.array(*(F.lit(i % 7) for i in range(n))).cast("array<bigint>").alias("v"))
+        got = df.select(pii.running(F.col("v"), F.lit(0), lambda a, b: a + b).alias("s"), pii.running(F.col("v"), F.lit(-1), F.greatest).alias("m")).first()
+        values = [i % 7 for i in range(n)]
+        assert got["s"] == [sum(values[:i]) for i in range(n)] and got["m"] == [max(values[:i], default=-1) for i in range(n)]
+
+
 def test_empty(spark):
     docs = documents(spark, []).withColumn("proposed", pii.proposals(F.col("text")))
     assert pii.digest(docs, pii.fit(docs)).count() == 0

@@ -50,3 +50,18 @@ def test_stages_equal_brute_force(spark, tmp_path):
         if i not in texts:
             continue
         assert r["ids"] == model.encode(texts[i]) and r["round_trip"] and r["n_tokens"] == len(r["ids"])
+
+
+def test_empty_tables_null_ids_and_repeats(spark, tmp_path):
+    none = documents(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, prose(9000, 25)), (None, None)], "item_id long, text string")
+    some = documents(spark, [prose(1, 40), None, "", prose(9000, 25), prose(2, 30) + " me@mail.example.com"])
+    lost = spark.createDataFrame([(None, prose(5, 40), None, None, None), (None, None, None, None, None)], none.schema)
+    for name, docs, count in (("none", none, 0), ("some", some.union(some).union(lost), 10)):
+        at = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+        bench.write.parquet(f"{at}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, at).collect()
+        assert len(out) == count and all(r["round_trip"] for r in out)
