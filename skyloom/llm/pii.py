@@ -234,7 +234,7 @@ def accepted(model: Model, proposed: Column, threshold: float = 0.9) -> Column:
     free = lambda v: let(last_end(v, F.lit(True)), lambda e: let(next_start(v), lambda n: F.filter(v, lambda x, i: x["base"] | ((e[i] <= x["start"]) & (n[i] >= x["end"])))))
     single = lambda v: let(last_end(v, F.lit(False)), lambda e: F.filter(v, lambda x, i: x["base"] | (e[i] <= x["start"])))
     kept = let(ordered, lambda v: let(free(v), single))
-    return F.array_sort(F.array_distinct(F.transform(kept, lambda s: F.struct(s["kind"], s["start"], s["end"], s["b0"], s["b1"]))))
+    return F.array_sort(F.transform(kept, lambda s: F.struct(s["kind"], s["start"], s["end"], s["b0"], s["b1"])))
 
 
 def spans_text(spans: Column) -> Column:
