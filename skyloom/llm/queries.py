@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm import chat, decontaminate, langid, licenses, neardup, pieces, pii, quality, rules, substrings
-from skyloom.llm.scratch import written
+from skyloom.llm.scratch import bounded_batches, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -19,6 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+#: Bytes of an Arrow batch. Texts differ in length by orders of magnitude, so a number of rows doesn't bound what a batch holds.
+BATCH_BYTES = 2 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From here on the session hands rows to Python in batches of at most BATCH_BYTES (or one row)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
