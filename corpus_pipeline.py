@@ -52,8 +52,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token ids, their number, and whether decoding gives the text back."""
-    encoded = pieces.encode(docs.withColumn("_source", F.col("text")), keep=["lang", "source", "_source"], decoded=True)
-    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("_source", F.lit(""))).alias("round_trip"))
+    encoded = pieces.encode(docs, keep=["lang", "source"], check=True)
+    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [
