@@ -12,6 +12,7 @@ costing ``SWITCH`` nats. Runs of one language are the spans of a text.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,8 @@ from skyloom.llm.textops import LETTER, slices, words
 BITS = 14
 CELLS = 1 << BITS
 SWITCH = 12.0
+#: Words of a document beyond which it is labelled in blocks.
+LONG = 4096
 #: UTF-8 lead bytes of script ranges, in order; the highest in a word decides. Fixed values of Unicode's block layout.
 SCRIPTS = {"latin": [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCB)], "greek": [0xCE, 0xCF], "cyrillic": [*range(0xD0, 0xD4)], "armenian_hebrew": [*range(0xD4, 0xD8)], "arabic": [*range(0xD8, 0xDC)], "indic": [0xE0], "kana": [0xE3], "han": [*range(0xE4, 0xEA)], "hangul": [*range(0xEA, 0xEE)], "other": [0xE1, 0xE2, *range(0xF0, 0xF5)]}
 _SCRIPT = np.zeros(256, np.uint8)
@@ -98,42 +101,89 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     return Model(languages, weights, allowed)
 
 
-def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """Best label of each word. scores: [words, labels]; bounds: first word of each document, and the end.
+def _forward(scores: np.ndarray, first: np.ndarray, size: np.ndarray, before: np.ndarray, switch: float, choice: np.ndarray | None) -> np.ndarray:
+    """Best values by label after the last word of each run of words, from those before its first; into ``choice``, where each value came from.
 
-    All documents advance together, longest first, so a step costs one array
-    operation over the documents that still have words.
+    All runs advance together, longest first, so a step costs one array
+    operation over the runs that still have words.
     """
-    size = np.diff(bounds)
     order = np.argsort(-size, kind="stable")
-    first, size = bounds[:-1][order], size[order]
-    n_labels = scores.shape[1]
-    kind = np.uint8 if n_labels <= 256 else np.int32
-    choice = np.zeros(scores.shape, kind)
-    out = np.zeros(len(scores), kind)
-    if not len(scores):
-        return out
-    best = np.zeros((len(first), n_labels), scores.dtype)
-    longest = int(size[0])
+    first, size = first[order], size[order]
+    best = before[order].astype(float)
+    labels = np.arange(scores.shape[1])
+    longest = int(size[0]) if len(size) else 0
     alive = np.searchsorted(-size, -np.arange(longest), "left")
-    labels = np.arange(n_labels, dtype=kind)
     for t in range(longest):
         a = alive[t]
         at = first[:a] + t
-        if t:
-            top = best[:a].argmax(1)
-            jump = best[np.arange(a), top][:, None] - switch
-            moved = jump > best[:a]
+        top = best[:a].argmax(1)
+        jump = best[np.arange(a), top][:, None] - switch
+        moved = jump > best[:a]
+        if choice is not None:
             choice[at] = np.where(moved, top[:, None], labels)
-            best[:a] = np.where(moved, jump, best[:a])
-        best[:a] += scores[at]
-    now = best.argmax(1)
-    for t in range(longest - 1, -1, -1):
+        best[:a] = np.where(moved, jump, best[:a]) + scores[at]
+    out = np.empty_like(best)
+    out[order] = best
+    return out
+
+
+def _backward(choice: np.ndarray, first: np.ndarray, size: np.ndarray, last: np.ndarray, out: np.ndarray) -> None:
+    """Label of each word of each run, from the label of its last."""
+    order = np.argsort(-size, kind="stable")
+    first, size, now = first[order], size[order], last[order]
+    longest = int(size[0]) if len(size) else 0
+    alive = np.searchsorted(-size, -np.arange(longest), "left")
+    left = size.copy()
+    for t in range(longest):
         a = alive[t]
-        at = first[:a] + t
+        left[:a] -= 1
+        at = first[:a] + left[:a]
         out[at] = now[:a]
-        if t:
-            now[:a] = choice[at, now[:a]]
+        now[:a] = choice[at, now[:a]]
+
+
+def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """Best label of each word. scores: [words, labels]; bounds: first word of each document, and the end.
+
+    A document of more than LONG words is cut into blocks of about the root of
+    its length. The best values of a block from each label before it, for all
+    blocks at once, give by one pass over blocks the labels at their ends; so
+    the steps are as many as the root of the longest document's words.
+    """
+    n_labels = scores.shape[1]
+    kind = np.uint8 if n_labels <= 256 else np.int32
+    out = np.zeros(len(scores), kind)
+    if not len(scores):
+        return out
+    first, size, doc = [], [], []
+    for d, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        step = z - a if z - a <= LONG else max(1, math.isqrt(z - a))
+        for x in range(a, z, max(step, 1)):
+            first.append(x)
+            size.append(min(step, z - x))
+            doc.append(d)
+    first, size, doc = np.array(first), np.array(size), np.array(doc)
+    head = np.append(True, doc[1:] != doc[:-1])
+    before = np.zeros((len(first), n_labels))
+    end = np.full(len(first), -1)
+    cut = np.flatnonzero(~head | np.append(~head[1:], False))
+    if len(cut):
+        known = np.full((n_labels, n_labels), -1e30)
+        np.fill_diagonal(known, 0.0)
+        through = _forward(scores, np.repeat(first[cut], n_labels), np.repeat(size[cut], n_labels), np.tile(known, (len(cut), 1)), switch, None).reshape(len(cut), n_labels, n_labels)
+        value, came = np.zeros(n_labels), np.zeros((len(cut), n_labels), np.int64)
+        for i, r in enumerate(cut.tolist()):
+            total = (np.zeros(n_labels) if head[r] else value)[:, None] + through[i]
+            came[i], value = total.argmax(0), total.max(0)
+            if i + 1 == len(cut) or head[cut[i + 1]]:
+                end[r] = value.argmax()
+        for i in range(len(cut) - 1, -1, -1):
+            if not head[cut[i]]:
+                before[cut[i]] = known[came[i, end[cut[i]]]]
+                end[cut[i - 1]] = came[i, end[cut[i]]]
+    choice = np.zeros(scores.shape, kind)
+    best = _forward(scores, first, size, before, switch, choice)
+    _backward(choice, first, size, np.where(end < 0, best.argmax(1), end), out)
     return out
 
 

@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -296,10 +297,11 @@ def _decode_slice(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> list[st
     return [raw[a + (raw[a : a + 1] == b" ") : b].decode("utf-8", "replace") if b > a else "" for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, decoded: bool = False, check: bool = False) -> DataFrame:
     """id, kept columns and ``ids`` (array of int) per row, as the model's own library encodes the text.
 
-    With ``decoded`` the ids are decoded at once, into ``decoded``. The driver
+    With ``decoded`` the ids are decoded at once, into ``decoded``; with
+    ``check``, ``round_trip`` says whether that gives the text back. The driver
     reads the model; tasks get its tables. Null and empty texts have no ids.
     U+2581 in a text counts as a space. Repeated rows are encoded alike;
     columns not named are dropped.
@@ -307,16 +309,20 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id"
     v = vocabulary(model_path)
     names = [id_col, *(keep or [])]
     fields = [docs.schema[x] for x in names]
+    more = [*(["decoded string"] if decoded else []), *(["round_trip boolean"] if check else [])]
 
     def run(batches):
         pairs = _Pairs(v)
         for rows, data, off in slices(batches, "_text", SLICE):
             ids, bounds = _encode_slice(v, pairs, data, off)
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            back = [pa.array(_decode_slice(v, ids.astype(np.int64), bounds), pa.string())] if decoded else []
-            yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(x)) for x in names), lists, *back], [*names, "ids", *(["decoded"] if decoded else [])])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ids array<int>", *(["decoded string"] if decoded else [])])
+            columns = [*(rows.column(rows.schema.get_field_index(x)) for x in names), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))]
+            if decoded or check:
+                back = pa.array(_decode_slice(v, ids.astype(np.int64), bounds), pa.string())
+                same = pc.equal(back, pc.fill_null(rows.column(rows.schema.get_field_index("_text")).cast(pa.string()), "")) if check else None
+                columns += ([back] if decoded else []) + ([same] if check else [])
+            yield pa.RecordBatch.from_arrays(columns, [*names, "ids", *(x.split()[0] for x in more)])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ids array<int>", *more])
     return docs.select(*names, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
@@ -348,12 +354,12 @@ def round_trip(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc
     ``ids_sha256``: ids in decimal, joined by commas. A null text counts as empty.
     """
     low, high = int(vocabulary(model_path).byte_ids.min()), int(vocabulary(model_path).byte_ids.max())
-    encoded = encode(docs.select(id_col, F.col(text_col).alias("_source")), model_path, id_col, "_source", ["_source"], decoded=True)
+    encoded = encode(docs, model_path, id_col, text_col, decoded=True, check=True)
     return encoded.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
         F.size(F.filter("ids", lambda i: i.between(low, high))).cast("long").alias("n_byte_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.coalesce("_source", F.lit(""))).alias("round_trip"),
+        "round_trip",
     )

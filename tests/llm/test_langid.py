@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -40,6 +41,24 @@ def test_viterbi_equals_brute_force():
         assert abs(value(got[a:b]) - best) < 1e-4
 
 
+def test_blocks_of_long_texts_change_nothing(monkeypatch):
+    rng = np.random.default_rng(7)
+    sizes = [0, 1, 2, 3, 50, 7, 400, 0, 90, 5]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    scores = rng.normal(size=(bounds[-1], 4)).astype(np.float32) * 2
+    whole = langid.viterbi(scores, bounds, 1.5)
+    monkeypatch.setattr(langid, "LONG", 5)
+    cut = langid.viterbi(scores, bounds, 1.5)
+    assert len(np.unique(whole)) == 4 and (whole == cut).all()
+
+
+def test_a_text_of_a_million_words_ends_soon():
+    scores = np.repeat(np.random.default_rng(1).normal(size=(1000, 3)), 1000, axis=0).astype(np.float32)
+    began = time.time()
+    got = langid.viterbi(scores, np.array([0, len(scores)]))
+    assert time.time() - began < 30 and (got[500::1000] == scores[500::1000].argmax(1)).mean() > 0.99
+
+
 def test_mixed_text_is_labelled_in_spans(spark):
     model = langid.fit(training(spark))
     assert model.languages == ["de", "en", "ru"]
