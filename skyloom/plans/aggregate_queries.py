@@ -375,7 +375,7 @@ def radial_profile(t):
     return t("pixels").withColumn("bin", b).filter("bin < 8").groupBy("bin").agg(r(F.avg("value_a"), 5).alias("mean_a"), r(F.avg(F.abs(F.col("value_a") - F.col("value_b"))), 7).alias("err"))
 
 
-BRIGHT = f"(SELECT n.*, g.i, 0.9 + g.i * 0.0175 AS wl, abs(g.f) * sens AS counts FROM {NESTED} n JOIN (SELECT sim, sed_index, i, f FROM {LONG}) g ON n.sim = g.sim AND n.catalog_index * 13 % 20 = g.sed_index JOIN {{sensitivity}} s ON s.sca = n.sca AND s.ord = n.ord AND s.i = g.i WHERE n.type = 'SER')"
+BRIGHT = f"(SELECT n.*, g.i, 0.9 + g.i * 0.0175 AS wl, abs(g.f) * sens AS counts FROM {NESTED} n JOIN (SELECT catalog_index AS c, sed_index FROM {{sources}}) q ON n.catalog_index = q.c JOIN (SELECT sim, sed_index, i, f FROM {LONG}) g ON n.sim = g.sim AND q.sed_index = g.sed_index JOIN {{sensitivity}} s ON s.sca = n.sca AND s.ord = n.ord AND s.i = g.i WHERE n.type = 'SER')"
 
 
 def events(t):

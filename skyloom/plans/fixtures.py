@@ -20,7 +20,7 @@ SELECT o_orderkey AS catalog_index,
   CASE WHEN o_orderkey % 10 = 0 THEN 'PSF' ELSE 'SER' END AS type,
   CAST(16.0031 AS DOUBLE) + CAST((o_orderkey * 31) % 1201 AS DOUBLE) / 100 AS mag,
   CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE CAST(1 + o_orderkey % 4 AS INT) END AS sim,
-  CAST((o_orderkey * 13) % 20 AS INT) AS sed_index,
+  CASE WHEN o_orderkey % 10 = 0 THEN CAST((o_orderkey * 13) % 20 AS INT) ELSE CAST((o_orderkey * 13) % (SELECT CAST(floor(count(*) / 4) AS BIGINT) + 2 FROM {embeddings}) AS INT) END AS sed_index,
   CASE WHEN o_orderkey % 10 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST((o_orderkey * 17) % 90 AS DOUBLE) / 100 END AS half_light_radius,
   CASE WHEN o_orderkey % 10 = 0 THEN pow(CAST(10 AS DOUBLE), -0.4 * (CAST(16.0031 AS DOUBLE) + CAST((o_orderkey * 31) % 1201 AS DOUBLE) / 100)) ELSE CAST(1 AS DOUBLE) END AS flux_scale,
   CAST(o_custkey % 18 AS INT) AS src_group,

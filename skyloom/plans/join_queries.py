@@ -300,12 +300,13 @@ def resume_filter(t):
     return t("sources").select("catalog_index").join(done, "catalog_index", "left_anti")
 
 
-@query("referential_check", "SELECT s.sim, count(*) FILTER (g.sim IS NULL) AS missing, min(s.sed_index) AS lo, max(s.sed_index) AS hi, count(*) FILTER (s.sed_index > 17) AS beyond FROM {sources} s LEFT JOIN {spectra} g ON s.sim = g.sim AND s.sed_index = g.sed_index WHERE s.type = 'SER' GROUP BY s.sim")
+@query("referential_check", "SELECT s.sim, count(*) FILTER (g.sim IS NULL) AS missing, min(s.sed_index) AS lo, max(s.sed_index) AS hi, count(*) FILTER (s.sed_index >= p.stored) AS beyond FROM {sources} s LEFT JOIN {spectra} g ON s.sim = g.sim AND s.sed_index = g.sed_index LEFT JOIN (SELECT sim, count(*) AS stored FROM {spectra} GROUP BY sim) p ON p.sim = s.sim WHERE s.type = 'SER' GROUP BY s.sim")
 def referential_check(t):
     """References per partition without an array, their range, and those beyond the stored rows."""
     g = t("spectra").select("sim", "sed_index", F.lit(True).alias("has"))
-    s = t("sources").filter("type = 'SER'").join(g, ["sim", "sed_index"], "left")
-    return s.groupBy("sim").agg(F.count_if(F.col("has").isNull()).alias("missing"), F.min("sed_index").alias("lo"), F.max("sed_index").alias("hi"), F.count_if(F.col("sed_index") > 17).alias("beyond"))
+    stored = t("spectra").groupBy("sim").agg(F.count("*").alias("stored"))
+    s = t("sources").filter("type = 'SER'").join(g, ["sim", "sed_index"], "left").join(sky.small(stored), "sim", "left")
+    return s.groupBy("sim").agg(F.count_if(F.col("has").isNull()).alias("missing"), F.min("sed_index").alias("lo"), F.max("sed_index").alias("hi"), F.count_if(F.col("sed_index") >= F.col("stored")).alias("beyond"))
 
 
 @query("provenance_check", "SELECT count(*) AS n, round(max(abs(a.ra - b.ra)), 6) AS d_ra, round(max(abs(a.dec - b.dec)), 6) AS d_dec, round(max(abs(a.mag - b.mag)), 6) AS d_mag FROM (SELECT * FROM {sources} QUALIFY count(*) OVER (PARTITION BY sim, mag) = 1) a JOIN (SELECT sim, mag, ra + 1e-4 AS ra, dec - 2e-4 AS dec FROM {sources} QUALIFY count(*) OVER (PARTITION BY sim, mag) = 1) b ON a.sim = b.sim AND a.mag = b.mag")

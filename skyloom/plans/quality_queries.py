@@ -219,10 +219,10 @@ def row_in_cell(t):
 
 @query("dense_template_index", "SELECT catalog_index, dense_rank() OVER (ORDER BY sed_index) - 1 AS dense FROM {sources} WHERE sed_index % 3 <> 1")
 def dense_template_index(t):
-    """Used template ids mapped to 0..k-1; the window runs over the few distinct ids."""
+    """Used ids of spectra mapped to 0..k-1, numbered by range."""
     s = t("sources").filter("sed_index % 3 <> 1")
-    ids = s.select("sed_index").distinct().withColumn("dense", (F.row_number().over(Window.orderBy("sed_index")) - 1).cast("long"))
-    return s.join(F.broadcast(ids), "sed_index").select("catalog_index", "dense")
+    ids = Q.row_ids(s.select("sed_index").distinct(), "sed_index", 1024).select("sed_index", F.col("row_id").alias("dense"))
+    return s.join(sky.small(ids), "sed_index").select("catalog_index", "dense")
 
 
 @query("catalog_row_id", "SELECT catalog_index, row_number() OVER (ORDER BY catalog_index) - 1 AS row_id FROM {sources} QUALIFY catalog_index % 3 = 0")
