@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.scratch import written
-from skyloom.llm.textops import ALNUM_WORD, U, prefix, slices, spans_hash, windows, words
+from skyloom.llm.textops import ALNUM_WORD, U, eights, slices, spans_hash, windows, words
 
 GRAM = 3
 RARE = 1e-7
@@ -48,7 +48,7 @@ def _keyed(df: DataFrame, text_col: str, *names: str) -> DataFrame:
 
 def _word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end, doc = words(data, off, ALNUM_WORD)
-    return spans_hash(prefix(data, True), start, end), doc
+    return spans_hash(eights(data, True), start, end), doc
 
 
 def item_words(items: DataFrame) -> DataFrame:

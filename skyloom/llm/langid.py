@@ -190,7 +190,8 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> n
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, spans: bool = True) -> DataFrame:
     """id, kept columns, ``lang_pred``, ``score`` and, if asked, ``spans`` (start byte, end byte, language).
 
-    ``lang_pred`` has the most letters of the text; ``score`` is their share.
+    ``lang_pred`` has the most letters of the text (characters, not bytes);
+    ``score`` is their share.
     Texts that are null or have no letter, and any text under a model without
     languages, are ``und`` with score 0 and no spans. Ties go to the language
     first in order. Repeated rows are judged alike.
@@ -213,7 +214,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 marks[~allowed[_scripts(data, start)]] -= 1e4
                 bounds = np.searchsorted(doc, np.arange(n + 1))
                 label = viterbi(marks, bounds)
-                weight = np.bincount(doc * len(table) + label, weights=end - start, minlength=n * len(table)).reshape(n, len(table))
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                weight = np.bincount(doc * len(table) + label, weights=chars[end] - chars[start], minlength=n * len(table)).reshape(n, len(table))
                 total = weight.sum(1)
                 has = (total > 0) & lettered
                 pred[has] = np.array(table, object)[weight.argmax(1)[has]]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.textops import ALNUM_WORD, U, fixed_hash, prefix, slices, spans_hash, words
+from skyloom.llm.textops import ALNUM_WORD, U, eights, fixed_hash, slices, spans_hash, words
 
 #: Phrases that the base rule looks for, word by word.
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
@@ -199,7 +199,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
         for rows, data, off in slices(batches, "_text"):
             n = rows.num_rows
             start, end, doc = words(data, off, ALNUM_WORD)
-            h = spans_hash(prefix(data, True), start, end)
+            h = spans_hash(eights(data, True), start, end)
             first = np.searchsorted(doc, np.arange(n + 1))
             found: list[list[dict]] = [[] for _ in range(n)]
             for label, phrase in phrases.items():

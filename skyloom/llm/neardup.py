@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.graph import components
 from skyloom.llm.scratch import written
-from skyloom.llm.textops import PLAIN_WORD, U, mix, prefix, slices, spans_hash, windows, words
+from skyloom.llm.textops import PLAIN_WORD, U, eights, mix, slices, spans_hash, windows, words
 
 CHUNKS, WIDTH, ERRORS = 8, 5, 1
 SYMBOLS = CHUNKS * WIDTH
@@ -43,7 +43,7 @@ def _sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.
     """Distinct shingle hashes of each document, sorted, in one array, and where each set begins."""
     n = len(off) - 1
     start, end, doc = words(data, off, PLAIN_WORD)
-    h = spans_hash(prefix(data, True), start, end)
+    h = spans_hash(eights(data, True), start, end)
     g, at = windows(h, doc, size)
     first = np.searchsorted(doc, np.arange(n + 1))
     begin = np.searchsorted(doc[at], np.arange(n + 1))

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.textops import U, mix, prefix, slices, spans_hash
+from skyloom.llm.textops import U, eights, mix, same_bytes, slices, spans_hash
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -275,7 +275,11 @@ def _encode_slice(v: Vocabulary, pairs: _Pairs, data: np.ndarray, off: np.ndarra
     head[bounds[:-1][bounds[:-1] < len(text)]] = True
     start = np.flatnonzero(head)
     stop = np.append(start[1:], len(text))
-    _, first, back = np.unique(spans_hash(prefix(text, False), start, stop), return_index=True, return_inverse=True)
+    view = eights(text, False)
+    _, first, back = np.unique(spans_hash(view, start, stop), return_index=True, return_inverse=True)
+    other = np.flatnonzero((stop - start != (stop - start)[first][back]) | ~same_bytes(view, start, start[first][back], stop - start))
+    back[other] = len(first) + np.arange(len(other))  # words of one hash that are not the same
+    first = np.concatenate([first, other])
     size = stop[first] - start[first] + 1
     begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     source = np.arange(begin[-1]) - np.repeat(begin[:-1] - start[first], size)

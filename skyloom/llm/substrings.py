@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.scratch import written
-from skyloom.llm.textops import U, mix, prefix, slices, spans_hash
+from skyloom.llm.textops import U, eights, mix, slices, spans_hash
 
 LENGTH = 400
 GRAM = 32
@@ -49,9 +49,9 @@ def _anchors(data: np.ndarray, off: np.ndarray, length: int):
     empty = np.zeros(0, np.int64)
     if len(data) < length:
         return empty, empty, empty
-    sums = prefix(data, False)
+    view = eights(data, False)
     at = np.arange(n)
-    key = (spans_hash(sums, at, at + GRAM) & ~_LOW) | at.astype(U)
+    key = (spans_hash(view, at, at + GRAM) & ~_LOW) | at.astype(U)
     padded = np.full(-(-n // w) * w, ~U(0))
     padded[:n] = key
     blocks = padded.reshape(-1, w)
@@ -87,10 +87,10 @@ def _segments(data: np.ndarray, off: np.ndarray, length: int):
         place, lo, hi = _anchors(part, bounds, length)
         if not len(lo):
             continue
-        sums = prefix(part, False)
+        view = eights(part, False)
         doc = np.searchsorted(bounds, lo, "right") - 1
         base = bounds[doc] - a
-        out.append((doc, spans_hash(sums, place, place + GRAM), spans_hash(sums, lo, hi + length), lo - base, hi - base, place - base))
+        out.append((doc, spans_hash(view, place, place + GRAM), spans_hash(view, lo, hi + length), lo - base, hi - base, place - base))
     if not out:
         z = np.zeros(0, np.int64)
         return z, np.zeros(0, U), np.zeros(0, U), z, z, z
@@ -108,8 +108,8 @@ def marks(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame
         for rows, data, off in slices(batches, "_text", 1 << 20):
             n = rows.num_rows
             doc, anchor, segment, lo, hi, place = _segments(data, off, length)
-            sums = prefix(data, False)
-            h1 = spans_hash(sums, off[:-1], off[1:])
+            view = eights(data, False)
+            h1 = spans_hash(view, off[:-1], off[1:])
             raw = data.tobytes()
             digests = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(off[:-1], off[1:], strict=True)]
             h2 = np.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], np.int64)
@@ -268,7 +268,7 @@ def halves(pieces: DataFrame, length: int) -> DataFrame:
             out: dict[str, list] = {x: [] for x in b.schema.names}
             spots: list[int] = []
             text = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
-            sums = prefix(text, False)
+            view = eights(text, False)
             at = 0
             starts, stops, tags = [], [], []
             for r in rows:
@@ -285,11 +285,11 @@ def halves(pieces: DataFrame, length: int) -> DataFrame:
                     stops.append(at + r["place"] - d1 + 1 + length)
                     tags.append(r["key"] * 1024 + d0)
                 at += len(r["bytes"])
-            core = spans_hash(sums, np.array(starts, np.int64), np.array(stops, np.int64))
+            core = spans_hash(view, np.array(starts, np.int64), np.array(stops, np.int64))
             tag = np.array([t % (1 << 64) for t in tags], U)
             out["key"] = mix(core ^ mix(tag)).view(np.int64)
             spot = np.array(spots, np.int64)
-            whole = spans_hash(sums, spot, spot + np.array([len(x) for x in out["bytes"]], np.int64))
+            whole = spans_hash(view, spot, spot + np.array([len(x) for x in out["bytes"]], np.int64))
             twin = mix(whole ^ mix(np.array(out["place"], np.int64).astype(U))).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(pa.array(out[f.name], f.type) for f in b.schema), pa.array(twin)], [*b.schema.names, "twin"])
 

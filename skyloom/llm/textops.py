@@ -8,14 +8,17 @@ the number of rows in a batch; a longer document is a slice of its own.
 
 from __future__ import annotations
 
+import hashlib
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 19
 U = np.uint64
-_PRIME = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_PRIME, -1, 1 << 64)
+#: Spans of up to so many bytes are hashed eight bytes at a time, all at once; longer ones by a digest each.
+_SHORT = 64
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,24 +40,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0xA0761D6478BD642F))
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[0x41:0x5B] = _BYTE[0x61:0x7B]
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        base = np.full(size, U(_PRIME if kind == "up" else _INVERSE), U)
-        base[0] = U(1)
-        have = np.multiply.accumulate(base)
-        if size <= 4 * SLICE_BYTES:
-            _powers[kind] = have
-    return have[:n]
-
-
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, and the offsets of each (nulls are empty)."""
     if isinstance(col, pa.ChunkedArray):
@@ -97,22 +82,69 @@ def words(data: np.ndarray, off: np.ndarray, kind: np.ndarray):
     return start, np.flatnonzero(last) + 1, np.searchsorted(off, start, "right") - 1
 
 
-def prefix(data: np.ndarray, lower: bool) -> np.ndarray:
-    """Running polynomial sums, from which the hash of any substring follows."""
-    out = np.zeros(len(data) + 1, U)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * _power("up", len(data)), out=out[1:])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+_TAIL = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+
+
+class Eights(NamedTuple):
+    """Text bytes, and from each place the next eight bytes as one number (zeros after the end)."""
+
+    data: np.ndarray
+    eight: np.ndarray
+
+
+def eights(data: np.ndarray, lower: bool) -> Eights:
+    """``data`` (ASCII letters lower-cased, if asked), readable eight bytes at a time."""
+    data = _LOWER[data] if lower else data
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    two = padded[:-1].astype(np.uint16) | (padded[1:].astype(np.uint16) << np.uint16(8))
+    four = two[:-2].astype(np.uint32) | (two[2:].astype(np.uint32) << np.uint32(16))
+    return Eights(data, four[:-4].astype(U) | (four[4:].astype(U) << U(32)))
+
+
+def spans_hash(text: Eights, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of substrings [start, end).
+
+    Two lanes take eight bytes a step, and no step is linear, so texts can't be
+    arranged to cancel out; long substrings get a cryptographic digest.
+    """
+    size = end - start
+    a = size.astype(U) * U(0xA0761D6478BD642F) + U(0x2545F4914F6CDD1D)
+    b = a ^ U(0x94D049BB133111EB)
+    long_ = np.flatnonzero(size > _SHORT)
+    some = slice(None) if not len(long_) and len(size) and size.min() >= 8 else np.flatnonzero((size > 0) & (size <= _SHORT))
+    k = 0
+    while len(left := size[some] - k):
+        word = text.eight[start[some] + k] & _TAIL[np.minimum(left, 8)]
+        x, y = (a[some] ^ word) * U(0xE7037ED1A0B428DB), (b[some] + word) * U(0x8EBC6AF09C88C6E3)
+        a[some], b[some] = x ^ (x >> U(32)), y ^ (y >> U(29))
+        k += 8
+        if left.min() <= 8:
+            some = (np.arange(len(size)) if isinstance(some, slice) else some)[left > 8]
+    out = mix(a ^ (b << U(23)) ^ (b >> U(41)))
+    for i in long_.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(text.data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
-def spans_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of substrings [start, end)."""
-    return mix((sums[end] - sums[start]) * _power("down", len(sums))[start] + (end - start).astype(U))
+def same_bytes(text: Eights, start: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from ``start`` and from ``other`` agree, for each."""
+    out = np.ones(len(size), bool)
+    some, k = np.flatnonzero((size > 0) & (start != other)), 0
+    while len(some):
+        mask = _TAIL[np.minimum(size[some] - k, 8)]
+        equal = (text.eight[start[some] + k] & mask) == (text.eight[other[some] + k] & mask)
+        out[some[~equal]] = False
+        k += 8
+        some = some[equal & (size[some] > k)]
+    return out
 
 
 def fixed_hash(word: str) -> int:
     """The hash that ``spans_hash`` gives a lower-cased word."""
     b = np.frombuffer(word.encode(), np.uint8)
-    return int(spans_hash(prefix(b, True), np.array([0]), np.array([len(b)]))[0])
+    return int(spans_hash(eights(b, True), np.array([0]), np.array([len(b)]))[0])
 
 
 def windows(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +193,8 @@ def doc_stats(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     hist = np.stack([np.bincount(data[a:b], minlength=256) for a, b in zip(off[:-1], off[1:], strict=True)]) if n else np.zeros((0, 256), np.int64)
     chars = hist[:, :0x80].sum(1) + hist[:, 0xC0:].sum(1)
     start, end, doc = words(data, off, PLAIN_WORD)
-    sums = prefix(data, False)
-    h = spans_hash(sums, start, end)
+    text = eights(data, False)
+    h = spans_hash(text, start, end)
     salt = mix(np.arange(n, dtype=U) + U(0x51ED))
     count = np.bincount(doc, minlength=n) if len(doc) else np.zeros(n, np.int64)
     _, later = repeated(h ^ salt[doc])
@@ -183,7 +215,7 @@ def doc_stats(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     stop = np.minimum(off[line_doc + 1], np.append(breaks, len(data))[np.searchsorted(breaks, line_start)])
     full = np.searchsorted(start, stop) > np.searchsorted(end, line_start, "right")
     line_start, line_doc, stop = line_start[full], line_doc[full], stop[full]
-    _, dup = repeated(spans_hash(sums, line_start, stop) ^ salt[line_doc])
+    _, dup = repeated(spans_hash(text, line_start, stop) ^ salt[line_doc])
     out[:, 0] = count
     out[:, 1] = chars - hist[:, SPACES].sum(1)
     out[:, 2] = hist[:, SYMBOLS].sum(1)

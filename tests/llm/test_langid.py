@@ -131,7 +131,7 @@ def plain(train, texts):
         if back and any(c.isalpha() for c in t):
             x = max(langs, key=lambda y: best[y])
             for w, came in zip(reversed(words(t)), reversed(back), strict=True):
-                letters[x] += len(w)
+                letters[x] += len(w.decode())
                 x = came[x]
             top = max(langs, key=lambda y: (letters[y], -langs.index(y)))
             out.append((top, letters[top] / sum(letters.values())))
@@ -152,6 +152,15 @@ def test_equals_word_by_word_computation(spark):
     assert all(abs(r["score"] - s) < 1e-9 for r, (_, s) in zip(got, want, strict=True))
 
 
+def test_letters_are_characters(spark):
+    """More letters of English than of Russian, in fewer bytes."""
+    en, ru = "the quick brown fox jumps over the lazy dog today", "быстрая коричневая лиса прыгает через"
+    count = lambda t: sum(c.isalpha() for c in t)
+    assert count(en) > count(ru) and len(en.encode()) < len(ru.encode())
+    row = langid.identify(documents(spark, [f"{en}. {ru}"]), langid.fit(training(spark))).first()
+    assert row["lang_pred"] == "en" and abs(row["score"] - count(en) / (count(en) + count(ru))) < 1e-9
+
+
 def test_clashing_columns_and_repeats(spark):
     docs = documents(spark, [EN, RU, None]).withColumns({c: F.lit("clash") for c in ("_text", "_lang", "lang_pred", "score", "spans")})
     model = langid.fit(training(spark).withColumn("_text", F.lit(1)))
