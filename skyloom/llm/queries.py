@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import chat, decontaminate, langid, licenses, neardup, pieces, pii, quality, rules, substrings
+from skyloom.llm import chat, clusters, decontaminate, langid, licenses, neardup, ngram_join, pieces, pii, quality, rules, substrings, whitening
 from skyloom.llm.scratch import bounded_batches, written
 
 
@@ -73,6 +73,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings")).drop("scanned")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -84,8 +96,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": neardup.COMPONENTS_SQL,
     "op9_chat_formatting": chat.DIGEST_SQL,
+    "op11_centroid_clustering": clusters.rounds_sql(),
+    "op13_ngram_jaccard_join": ngram_join.COMPONENTS_SQL,
 }

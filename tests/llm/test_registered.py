@@ -11,10 +11,10 @@ import sentencepiece
 
 from skyloom.llm import pieces, queries
 
-from . import test_licenses, test_neardup, test_pii, test_rules, test_substrings
+from . import test_clusters, test_licenses, test_neardup, test_pii, test_rules, test_substrings, test_whitening
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "labels", "benchmark", "conversations")
+TABLES = ("documents", "labels", "benchmark", "conversations", "embeddings")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -138,3 +138,18 @@ def test_op10_equals_the_library(out, texts):
     for i, r in once_each(out("op10_sentencepiece"), texts).items():
         ids = model.encode(texts[i] or "")
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_op11_equals_brute_force(out, duck):
+    rows = duck.execute("select vec_id, embedding from embeddings").fetchall()
+    assert sorted((tuple(r) for r in out("op11_centroid_clustering")), key=str) == test_clusters.brute(rows)
+
+
+def test_op12_equals_numpy(out, duck):
+    test_whitening.check(duck.execute("select vec_id, embedding from embeddings").fetchall(), out("op12_embedding_whitening"))
+
+
+def test_op13_equals_brute_force(out, texts):
+    ids = sorted(texts)
+    want = [(ids[i], n, ids[c]) for i, n, c, _ in test_neardup.brute([texts[i] for i in ids], 4, 85)]
+    assert sorted(map(tuple, out("op13_ngram_jaccard_join"))) == want
