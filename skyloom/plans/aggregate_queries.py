@@ -7,12 +7,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import scalar as S
+from skyloom.operators import cells, spectra
 from skyloom.operators import pixels as P
-from skyloom.operators import spectra
+from skyloom.operators.cells import sky_cells
 from skyloom.operators.quantiles import exact_quantiles
 from skyloom.plans.join_queries import galaxies
 from skyloom.plans.registry import query
-from skyloom.plans.scalar_queries import NESTED, nested, r, traced_sql
+from skyloom.plans.scalar_queries import NESTED, nested, r, sky_cell_sql, traced_sql
+from skyloom.sources import readers
 
 GRAD = "CASE WHEN lag(wavelength) OVER w IS NULL THEN lead(wavelength) OVER w - wavelength WHEN lead(wavelength) OVER w IS NULL THEN wavelength - lag(wavelength) OVER w ELSE (lead(wavelength) OVER w - lag(wavelength) OVER w) / 2 END"
 WEIGHT = f"(SELECT i, wavelength, transmission * wavelength * {GRAD} AS w FROM {{bandpass}} WINDOW w AS (ORDER BY wavelength))"
@@ -277,19 +279,35 @@ def fixed_cells(t):
     return t("cells").groupBy(S.cell_parent("pix", 5).alias("cell")).agg(F.count("*").alias("n"))
 
 
-LADDER = "SELECT catalog_index, pix, CASE " + " ".join(f"WHEN count(*) OVER (PARTITION BY pix // {4**s}) <= 120 THEN {7 - s}" for s in (5, 4, 3, 2, 1)) + " ELSE 7 END AS k FROM {cells}"
+#: Orders of the cover, bytes of a row and of a cell.
+COVER = (2, 9, 256.0, 30720.0)
+FINE = f"fine AS MATERIALIZED ({sky_cell_sql('ra', 'dec', COVER[1]).replace('{rows}', '(SELECT catalog_index, ra, dec FROM {sources})')})"
+COUNTS = "counts AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {o} AS ord, cell // {4 ** (COVER[1] - o)} AS cell, count(*) AS n FROM fine GROUP BY 2" for o in range(COVER[0], COVER[1] + 1)) + ")"
+FITS = f"SELECT c.ord, c.cell::BIGINT AS cell, c.n, c.n * {COVER[2]} AS est_bytes, c.n * {COVER[2]} > {COVER[3]} AS oversize FROM counts c LEFT JOIN counts p ON p.ord = c.ord - 1 AND p.cell = c.cell // 4 WHERE (c.n * {COVER[2]} <= {COVER[3]} OR c.ord = {COVER[1]}) AND (c.ord = {COVER[0]} OR p.n * {COVER[2]} > {COVER[3]})"
 
 
-@query("adaptive_cells", f"SELECT k, pix // pow(4, 7 - k)::BIGINT AS cell, count(*) AS n FROM ({LADDER}) GROUP BY 1, 2")
+def covered(t):
+    fine = readers.kept(sky_cells(t("sources"), COVER[1]).select("catalog_index", "fine"))
+    return fine, cells.cover(fine, "fine", *COVER)
+
+
+@query("adaptive_cells", f"WITH {FINE}, {COUNTS} {FITS}")
 def adaptive_cells(t):
-    """Each row in the coarsest cell, orders 2 to 7, that holds at most 120 rows (the finest if none does); counts are made once over all orders."""
-    steps = [5, 4, 3, 2, 1]
-    at = F.explode(F.array(*(F.struct(F.lit(7 - s).alias("k"), S.cell_parent("pix", s).alias("cell")) for s in steps))).alias("c")
-    rows = t("cells").select("catalog_index", "pix")
-    counts = rows.select(at).groupBy("c.k", "c.cell").agg(F.count("*").alias("n")).filter("n <= 120").select("k", "cell")
-    fits = rows.select("catalog_index", "pix", at).select("catalog_index", "pix", "c.*").join(counts, ["k", "cell"]).groupBy("catalog_index").agg(F.min("k").alias("k"))
-    best = rows.join(fits, "catalog_index", "left").withColumn("k", F.coalesce("k", F.lit(7)))
-    return best.groupBy("k", F.floor(F.col("pix") / F.pow(F.lit(4), 7 - F.col("k"))).cast("long").alias("cell")).agg(F.count("*").alias("n"))
+    """Cells split by bytes until they fit; those of the finest order that don't are oversize."""
+    return covered(t)[1].select("ord", "cell", F.col("n_rows").alias("n"), "est_bytes", "oversize")
+
+
+@query("adaptive_placement", f"WITH {FINE}, {COUNTS}, cover AS ({FITS}) SELECT catalog_index, c.ord, 4 * pow(4, c.ord)::BIGINT + c.cell AS hp_uniq FROM fine f JOIN cover c ON f.cell // pow(4, {COVER[1]} - c.ord)::BIGINT = c.cell")
+def adaptive_placement(t):
+    """The cell of the cover that each source lies in, by ranges of finest cells."""
+    fine, plan = covered(t)
+    return cells.placed(fine, "fine", readers.kept(plan), *COVER[:2]).select("catalog_index", "ord", "hp_uniq")
+
+
+@query("oversize_cells", f"WITH {FINE}, {COUNTS}, cover AS ({FITS}) SELECT ord, count(*) AS n_cells, count(*) FILTER (oversize) AS n_oversize, max(est_bytes) AS largest FROM cover GROUP BY ord")
+def oversize_cells(t):
+    """Cells of each order in the cover, and how many are over the target because they can't be split further."""
+    return covered(t)[1].groupBy("ord").agg(F.count("*").alias("n_cells"), F.count_if("oversize").alias("n_oversize"), F.max("est_bytes").alias("largest"))
 
 
 @query("image_diff", "SELECT sca, round(sum(a), 3) AS total, round((sum(b) - sum(a)) / sum(a), 9) AS rel, round(max(abs(b - a)), 6) AS worst, count(*) FILTER (abs(b - a) > 1e-8 + 5e-5 * abs(a)) AS failing FROM (SELECT sca, y, x, sum(a) AS a, sum(b) AS b FROM (SELECT sca, y, x, value_a AS a, 0 AS b FROM {pixels} WHERE (x + y) % 9 <> 0 UNION ALL SELECT sca, y, x, 0, value_b FROM {pixels} WHERE (x + y) % 11 <> 0) GROUP BY ALL) GROUP BY sca")
@@ -387,7 +405,7 @@ def events(t):
     return df.select("catalog_index", "sca", "ord", "i", px.alias("px"), py.alias("py"), (F.col("f") * F.col("sens")).alias("weight"))
 
 
-@query("dispersed_events", f"SELECT catalog_index, count(*) AS n, round(min(px), 3) AS x0, round(max(px), 3) AS x1, round(min(py), 3) AS y0, round(max(py), 3) AS y1, round(sum(counts), 4) AS counts FROM {traced_sql(BRIGHT, 'wl')} GROUP BY catalog_index")
+@query("dispersed_events", f"WITH at AS MATERIALIZED (SELECT catalog_index, px, py, counts FROM {traced_sql(BRIGHT, 'wl')}) SELECT catalog_index, count(*) AS n, round(min(px), 3) AS x0, round(max(px), 3) AS x1, round(min(py), 3) AS y0, round(max(py), 3) AS y1, round(sum(counts), 4) AS counts FROM at GROUP BY catalog_index")
 def dispersed_events(t):
     """The events of each source: how many, the box they fill, and their counts."""
     e = events(t).groupBy("catalog_index")

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import scalar as S
-from skyloom.operators import cuts, footprint, sky, spectra
+from skyloom.operators import cells, cuts, footprint, sky, spectra
+from skyloom.operators.cells import sky_cells
 from skyloom.plans.registry import query
 from skyloom.plans.scalar_queries import FPA_SQL, HAV, NESTED, focal, nested, r, traced_sql
+from skyloom.sources import readers
 
 RULES = [
     {"column": "flux_scale", "op": "mag_le", "value": 26.0, "types": ["PSF"]},
@@ -129,16 +131,39 @@ def sed_lookup(t):
     return looked_up(t).select("catalog_index", r(F.aggregate("flux", F.lit(0.0), lambda a, f: a + f), 4).alias("total"))
 
 
+#: Orders of cells in the layout, bytes of a spectrum, and bytes wanted in a cell.
+COARSEST, FINEST, ROW_BYTES, TARGET = 4, 8, 256.0, 131072.0
+
+
+def laid_out(t):
+    """Spectra of all galaxies, in files by sky cell: (session, folder, plan, galaxies with their cell)."""
+    galaxy = readers.kept(sky_cells(t("sources").filter("type = 'SER'"), FINEST).select("catalog_index", "ra", "dec", "sim", "sed_index", "flux_scale", "fine"))
+    plan = readers.kept(cells.cover(galaxy, "fine", COARSEST, FINEST, ROW_BYTES, TARGET))
+    spectra_of = cells.placed(galaxy, "fine", plan, COARSEST, FINEST).join(galaxies(t), ["sim", "sed_index"])
+    path = readers.shared_folder(plan.sparkSession)
+    cells.write_cells(spectra_of.select("hp_uniq", "catalog_index", "flux"), path, "catalog_index", "catalog_index")
+    return plan.sparkSession, path, plan, galaxy
+
+
 @query("sed_lookup_cells", TOTAL)
 def sed_lookup_cells(t):
-    """The same lookup when spectra are laid out by sky cell and row in the cell."""
-    df = t("sources").filter("type = 'SER'").join(t("cells").select("catalog_index", "pix"), "catalog_index")
-    w = Window.partitionBy("pix").orderBy("catalog_index")
-    rows = df.withColumn("hp_row", F.row_number().over(w) - 1)
-    stored = rows.join(galaxies(t), ["sim", "sed_index"]).select("pix", "hp_row", "flux")
-    galaxy = rows.join(stored, ["pix", "hp_row"]).select("catalog_index", F.transform("flux", lambda f: f * F.col("flux_scale")).alias("flux"))
+    """The same lookup when spectra are laid out by sky cell: cells of the catalog's sources, then rows of those files."""
+    spark, path, plan, galaxy = laid_out(t)
+    wanted = cells.placed(galaxy, "fine", plan, COARSEST, FINEST).select("hp_uniq", "catalog_index", "flux_scale")
+    found = cells.read_cells(spark, path, wanted, "catalog_index").select("catalog_index", F.transform("flux", lambda f: f * F.col("flux_scale")).alias("flux"))
     stars = spectra.sed_lookup(t("sources").filter("type = 'PSF'"), templates(t), galaxies(t))
-    return stars.unionByName(galaxy).select("catalog_index", r(F.aggregate("flux", F.lit(0.0), lambda a, f: a + f), 4).alias("total"))
+    return stars.unionByName(found).select("catalog_index", r(F.aggregate("flux", F.lit(0.0), lambda a, f: a + f), 4).alias("total"))
+
+
+@query("pointing_seds", f"SELECT pointing_id, count(*) AS n, round(sum(total), 2) AS total FROM (SELECT s.catalog_index, p.pointing_id, q.total FROM {{sources}} s JOIN {{pointings}} p ON {HAV.format(r1='s.ra', d1='s.dec', r2='p.ra0', d2='p.dec0')} <= 0.15 JOIN ({TOTAL}) q ON q.catalog_index = s.catalog_index WHERE s.type = 'SER') GROUP BY pointing_id")
+def pointing_seds(t):
+    """Spectra of the galaxies around each pointing, read from the files of the cells that they are in, and no others."""
+    spark, path, plan, galaxy = laid_out(t)
+    near = sky.cone_join(galaxy, t("pointings"), 0.15).select("pointing_id", "catalog_index", "flux_scale", "fine")
+    near = cells.placed(near, "fine", plan, COARSEST, FINEST).select("hp_uniq", "catalog_index", "flux_scale", "pointing_id")
+    total = F.aggregate("flux", F.lit(0.0), lambda a, f: a + f) * F.col("flux_scale")
+    found = cells.read_cells(spark, path, near, "catalog_index").select("pointing_id", r(total, 4).alias("total"))
+    return found.groupBy("pointing_id").agg(F.count("*").alias("n"), r(F.sum("total"), 2).alias("total"))
 
 
 @query("cone_search", f"SELECT catalog_index, round({HAV.format(r1='ra', d1='dec', r2='10.0', d2='0.0')}, 6) AS sep FROM {{sources}} WHERE {HAV.format(r1='ra', d1='dec', r2='10.0', d2='0.0')} <= 0.4")
@@ -246,12 +271,15 @@ def before_after_join(t):
     return old.join(new, ["catalog_index", "sca"]).dropDuplicates(["catalog_index", "sca"]).select("catalog_index", "sca", r(dx).alias("dx"), r(F.hypot(dx, F.col("d_disp_old") / 10)).alias("dr"))
 
 
-ROLLS = "(SELECT catalog_index % 499 AS src, catalog_index % 4 AS roll, sca, mag FROM {manifest})"
+#: Sources seen in about fifteen rows each, however many there are; an odd number of them, so that each is seen in all rolls.
+ROLLS = "(SELECT catalog_index % (SELECT count(*) // 30 * 2 + 1 FROM {manifest}) AS src, catalog_index % 4 AS roll, sca, mag FROM {manifest})"
 DOMINANT = f"(SELECT roll, arg_max(sca, n * 100 - sca) AS sca FROM (SELECT roll, sca, count(*) AS n FROM {ROLLS} GROUP BY 1, 2) GROUP BY roll)"
 
 
 def rolls(t):
-    return t("manifest").select((F.col("catalog_index") % 499).alias("src"), (F.col("catalog_index") % 4).alias("roll"), "sca", "mag")
+    m = t("manifest")
+    several = m.agg(F.expr("count(*) div 30 * 2 + 1").alias("several"))
+    return m.crossJoin(F.broadcast(several)).select((F.col("catalog_index") % F.col("several")).alias("src"), (F.col("catalog_index") % 4).alias("roll"), "sca", "mag")
 
 
 def dominant(t):
