@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.operators.quantiles import numbered
+
 
 def count_checks(df: DataFrame, checks: list[tuple[str, str]]) -> DataFrame:
     """(issue, n): rows that fail each condition; one aggregation for all."""
@@ -36,14 +38,6 @@ def layout_verified(old: DataFrame, new: DataFrame, noted: DataFrame, key: str,
     return df.select(key, "planned", "stored", *names, agree.alias("ok"))
 
 
-def row_ids(df: DataFrame, key: str, width: int) -> DataFrame:
-    """``row_id``: the row's number in order of a whole-number key, from 0, without sorting all rows in one task.
-
-    Ranks within ranges of ``width`` keys, plus the running count of the ranges
-    before; only one row a range goes through the single-task window.
-    """
-    part = df.withColumn("_range", F.floor(F.col(key) / width))
-    counts = part.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = part.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1)
-    return ranked.join(before, "_range").withColumn("row_id", F.col("_before") + F.col("_k")).drop("_range", "_before", "_k")
+def row_ids(df: DataFrame, key: str) -> DataFrame:
+    """``row_id``: the row's number in order of a key of any spread, from 0, without sorting all rows in one task."""
+    return numbered(df, [key], "row_id")

@@ -6,55 +6,76 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.operators.sky import small
+from skyloom.sources.readers import kept
 
-#: Ranges of equal width that the values of a group are dealt to.
-RANGES = 4096
+#: Approximate quantiles are off by about one rank in so many.
+ACCURACY = 10_000
 
 
-def _ranged(df: DataFrame, keys: list[str], value: Column) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``_v`` and ``_range``, one row per group with its count ``_n``). Null and NaN values are left out."""
-    rows = df.withColumn("_v", value.cast("double")).filter("_v is not null and not isnan(_v)")
-    ends = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
-    placed = rows.join(small(ends), keys) if keys else rows.crossJoin(F.broadcast(ends))
-    share = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    return placed.withColumn("_range", F.coalesce(F.least(F.floor(share * RANGES), F.lit(RANGES - 1)), F.lit(0)).cast("int")), ends
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: the row's number, from 0, in the order of all rows by ``order`` (ties in any order).
+
+    Rows are dealt to ranges by sampled bounds, sorted within them and written;
+    what a range adds is the count of the ranges before. So the one window
+    without a partition sees a row a range, whatever the values are.
+    """
+    placed = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+    before = rows_before(placed)
+    out = placed.withColumn("_part", F.shiftrightunsigned("_place", 33)).join(small(before), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1)).drop("_part", "_place", "_before")
 
 
-def _before(counts: DataFrame, keys: list[str], count: str, order: str) -> DataFrame:
-    """Adds ``_before``: the running total of ``count`` over the rows before, within a group."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_before", F.coalesce(F.sum(count).over(w), F.lit(0)))
+def rows_before(placed: DataFrame) -> DataFrame:
+    """(_part, _before): of each range, the rows in the ranges before."""
+    parts = placed.groupBy(F.shiftrightunsigned("_place", 33).alias("_part")).agg(F.count("*").alias("_rows"))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("_part", F.coalesce(F.sum("_rows").over(w), F.lit(0)).alias("_before"))
 
 
 def ranks(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
-    """Adds ``rank`` (from 0, by value then ``tie``) and ``n`` (rows of the group).
+    """Adds ``rank`` (from 0, by value then ``tie``) and ``n`` (rows of the group). Null and NaN values are left out.
 
-    Rows are ranked within ranges of values; what a range adds is the count of
-    the ranges before. The window over ranges sees at most RANGES rows a group.
+    All rows are numbered by group, value and tie; a group's ranks start at its smallest number.
     """
-    placed, _ = _ranged(df, keys, F.col(value))
-    counts = _before(placed.groupBy(*keys, "_range", "_n").agg(F.count("*").alias("_c")), keys, "_c", "_range")
-    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_v", tie)) - 1
-    joined = placed.withColumn("_own", own).join(counts.select(*keys, "_range", "_before"), [*keys, "_range"])
-    return joined.select(*df.columns, (F.col("_before") + F.col("_own")).alias("rank"), F.col("_n").alias("n"))
+    rows = df.withColumn("_v", F.col(value).cast("double")).filter("_v is not null and not isnan(_v)")
+    placed = numbered(rows, [*keys, "_v", tie], "_at")
+    groups = placed.groupBy(*keys).agg(F.min("_at").alias("_first"), F.count("*").alias("n"))
+    joined = placed.join(small(groups), keys) if keys else placed.crossJoin(F.broadcast(groups))
+    return joined.select(*df.columns, (F.col("_at") - F.col("_first")).alias("rank"), "n")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: Column, shares: list[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: Column, shares: list[float], slack: float = 2 / ACCURACY) -> DataFrame:
     """Keys and ``q``: the linear-interpolated quantiles at each share, as an array. Groups without a value are left out.
 
-    A histogram of each group shows which ranges hold the wanted ranks; only
-    the distinct values of those ranges are then ordered.
+    A mergeable sketch brackets each quantile; one more pass counts what lies
+    below the bracket and each distinct value within it, so only values near a
+    quantile are ordered, however the others are spread. The values next to a
+    bracket are kept too. A quantile that its bracket misses is looked for
+    again, in wider brackets.
     """
-    placed, _ = _ranged(df.select(*keys, value.alias("_x")), keys, F.col("_x"))
-    top = lambda p: p * (F.col("_n") - 1)
-    wanted = F.array_distinct(F.array(*(f(top(p)).cast("long") for p in shares for f in (F.floor, F.ceil))))
-    within = lambda a, b: F.filter(wanted, lambda r: (r >= a) & (r < b))
-    hist = _before(placed.groupBy(*keys, "_range", "_n").agg(F.count("*").alias("_c")), keys, "_c", "_range")
-    hit = hist.filter(F.size(within(F.col("_before"), F.col("_before") + F.col("_c"))) > 0).select(*keys, "_range", F.col("_before").alias("_base"))
-    values = placed.join(small(hit), [*keys, "_range"]).groupBy(*keys, "_range", "_base", "_n", "_v").agg(F.count("*").alias("_c"))
-    values = _before(values, [*keys, "_range"], "_c", "_v").withColumn("_before", F.col("_before") + F.col("_base"))
-    found = values.select(*keys, "_n", "_v", F.explode(within(F.col("_before"), F.col("_before") + F.col("_c"))).alias("_r"))
-    at = found.groupBy(*keys, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))
-    low = lambda p: F.col("_at")[F.floor(top(p)).cast("long")]
-    high = lambda p: F.col("_at")[F.ceil(top(p)).cast("long")]
-    return at.select(*keys, F.array(*(low(p) + (top(p) - F.floor(top(p))) * (high(p) - low(p)) for p in shares)).alias("q"))
+    rows = df.select(*keys, value.cast("double").alias("_v")).filter("_v is not null and not isnan(_v)")
+    ends = [min(max(e, 0.0), 1.0) for p in shares for e in (p - slack, p + slack)]
+    bounds = kept(rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_e")))
+    met = rows.join(small(bounds), keys) if keys else rows.crossJoin(F.broadcast(bounds))
+    low, high = (lambda i: F.col("_e")[2 * i], lambda i: F.col("_e")[2 * i + 1]) if slack < 1 else (lambda i: F.lit(float("-inf")), lambda i: F.lit(float("inf")))
+    side = lambda i: F.when(F.col("_v") < low(i), -1).when(F.col("_v") > high(i), 1).otherwise(0)
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p).alias("share"), side(i).alias("side")) for i, p in enumerate(shares)))).alias("_s")
+    met = met.select(*keys, "_n", "_v", each).select(*keys, "_n", "_v", "_s.*")
+    group = [*keys, "_n", "i", "share"]
+    counts = met.groupBy(*group, "side", F.when(F.col("side") == 0, F.col("_v")).alias("_in")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys, "i").orderBy("side", "_in").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).withColumn("_at", F.when(F.col("side") < 0, F.col("_hi")).otherwise(F.col("_lo")))
+    first = F.when(F.col("side") < 0, F.col("_before") + F.col("_c") - 1).otherwise(F.col("_before"))
+    stop = F.when(F.col("side") > 0, F.col("_before") + 1).otherwise(F.col("_before") + F.col("_c"))
+    place = F.col("share") * (F.col("_n") - 1)
+    at = lambda rank: F.max(F.when((first <= rank) & (rank < stop), F.col("_at")))
+    found = counts.groupBy(*group).agg(at(F.floor(place)).alias("_a"), at(F.ceil(place)).alias("_b"))
+    found = kept(found.select(*keys, "i", (F.col("_a") + (place - F.floor(place)) * (F.col("_b") - F.col("_a"))).alias("q")))
+    if slack < 1 and found.filter("q is null").limit(1).count():
+        return exact_quantiles(df, keys, value, shares, max(16 * slack, 2 / ACCURACY))
+    return found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("q")).filter(F.size("q") > 0).select(*keys, F.transform("q", lambda x: x["q"]).alias("q"))
+
+
+def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Keys and the exact median of a column, under ``name``."""
+    return exact_quantiles(df, keys, F.col(value), [0.5]).select(*keys, F.col("q")[0].alias(name))

@@ -10,7 +10,8 @@ from skyloom.functions import scalar as S
 from skyloom.operators import cells, spectra
 from skyloom.operators import pixels as P
 from skyloom.operators.cells import sky_cells
-from skyloom.operators.quantiles import exact_quantiles
+from skyloom.operators.quantiles import exact_quantiles, medians
+from skyloom.operators.sky import small
 from skyloom.plans.join_queries import galaxies
 from skyloom.plans.registry import query
 from skyloom.plans.scalar_queries import NESTED, nested, r, sky_cell_sql, traced_sql
@@ -179,14 +180,14 @@ def catalog_totals(t):
 
 @query("residual_by_sca", "SELECT sca, round(median(d_disp_old), 6) AS med FROM {residuals} GROUP BY sca")
 def residual_by_sca(t):
-    return t("residuals").groupBy("sca").agg(r(F.median("d_disp_old")).alias("med"))
+    return medians(t("residuals"), ["sca"], "d_disp_old", "med").withColumn("med", r(F.col("med")))
 
 
 def robust(d, keys):
-    """Median, median absolute deviation, rms and largest absolute value of ``x`` per group; ranks are found by range, not in one task."""
+    """Median, median absolute deviation, rms and largest absolute value of ``x`` per group; ``d`` is a written table, as it is read several times."""
     of = lambda df, extra: df.groupBy(*keys).agg(*extra)
     med = exact_quantiles(d, keys, F.col("x"), [0.5]).select(*keys, F.col("q")[0].alias("med"))
-    both = d.join(F.broadcast(med), keys) if keys else d.crossJoin(F.broadcast(med))
+    both = d.join(small(med), keys) if keys else d.crossJoin(F.broadcast(med))
     mad = exact_quantiles(both, keys, F.abs(F.col("x") - F.col("med")), [0.5]).select(*keys, F.col("q")[0].alias("mad"))
     rest = of(d, [F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), F.max(F.abs("x")).alias("worst"), F.count("*").alias("n")])
     join = lambda a, b: a.join(b, keys) if keys else a.crossJoin(b)
@@ -194,7 +195,7 @@ def robust(d, keys):
 
 
 def old_residuals(t):
-    return t("residuals").select("sca", F.col("d_disp_old").alias("x")).filter(~F.isnan("x"))
+    return readers.kept(t("residuals").select("sca", F.col("d_disp_old").alias("x")).filter(~F.isnan("x")))
 
 
 @query("robust_summary", "WITH m AS (SELECT median(d_disp_old) AS med FROM {residuals}) SELECT round(any_value(med), 6) AS med, round(median(abs(d_disp_old - med)), 6) AS mad, round(sqrt(avg(d_disp_old * d_disp_old)), 6) AS rms, round(max(abs(d_disp_old)), 6) AS worst FROM {residuals}, m")
@@ -204,14 +205,14 @@ def robust_summary(t):
 
 @query("robust_summary_total", "WITH d AS (SELECT sca, d_disp_old AS x FROM {residuals} UNION ALL SELECT 0, d_disp_old FROM {residuals}), m AS (SELECT sca, median(x) AS med FROM d GROUP BY sca) SELECT sca, round(any_value(med), 6) AS med, round(median(abs(x - med)), 6) AS mad, round(sqrt(avg(x * x)), 6) AS rms, round(max(abs(x)), 6) AS worst, count(*) AS n FROM d JOIN m USING (sca) GROUP BY sca")
 def robust_summary_total(t):
-    """Per detector and, as detector 0, over all."""
+    """Per detector and, as detector 0, over all, in the same passes over one written table."""
     d = old_residuals(t)
-    return robust(d, ["sca"]).unionByName(robust(d, []).withColumn("sca", F.lit(0)))
+    return robust(d.unionByName(d.withColumn("sca", F.lit(0))), ["sca"])
 
 
 @query("shift_quantiles", "WITH d AS (SELECT sca, abs(d_disp_new - d_disp_old) AS d FROM {residuals}), m AS (SELECT sca, median(d) AS med FROM d GROUP BY sca) SELECT round(median(d), 6) AS med, round(quantile_cont(d, 0.95), 6) AS p95, round(max(d), 6) AS worst, (SELECT round(min(med), 6) FROM m) AS lo, (SELECT round(max(med), 6) FROM m) AS hi FROM d")
 def shift_quantiles(t):
-    d = t("residuals").select("sca", F.abs(F.col("d_disp_new") - F.col("d_disp_old")).alias("d"))
+    d = readers.kept(t("residuals").select("sca", F.abs(F.col("d_disp_new") - F.col("d_disp_old")).alias("d")))
     q = exact_quantiles(d, [], F.col("d"), [0.5, 0.95, 1.0]).select(*(r(F.col("q")[i]).alias(c) for i, c in enumerate(("med", "p95", "worst"))))
     m = exact_quantiles(d, ["sca"], F.col("d"), [0.5]).agg(r(F.min(F.col("q")[0])).alias("lo"), r(F.max(F.col("q")[0])).alias("hi"))
     return q.crossJoin(F.broadcast(m))
@@ -219,17 +220,18 @@ def shift_quantiles(t):
 
 @query("blast_radius", "SELECT variant, round(max(abs(b - a)), 6) AS radius FROM (SELECT sca, catalog_index % 3 AS variant, median(d_disp_old) AS a, median(d_disp_new) AS b FROM {residuals} GROUP BY 1, 2) GROUP BY variant")
 def blast_radius(t):
-    d = t("residuals").withColumn("variant", F.col("catalog_index") % 3)
-    old = d.groupBy("sca", "variant").agg(F.median("d_disp_old").alias("a"))
-    new = d.groupBy("sca", "variant").agg(F.median("d_disp_new").alias("b"))
+    d = readers.kept(t("residuals").withColumn("variant", F.col("catalog_index") % 3))
+    old = medians(d, ["sca", "variant"], "d_disp_old", "a")
+    new = medians(d, ["sca", "variant"], "d_disp_new", "b")
     return old.join(new, ["sca", "variant"]).groupBy("variant").agg(r(F.max(F.abs(F.col("b") - F.col("a")))).alias("radius"))
 
 
 @query("describe_by_group", "SELECT sca, count(*) AS n, round(avg(d_disp_old), 6) AS mean, round(stddev_samp(d_disp_old), 6) AS std, round(min(d_disp_old), 6) AS lo, round(quantile_cont(d_disp_old, 0.25), 6) AS q1, round(median(d_disp_old), 6) AS q2, round(quantile_cont(d_disp_old, 0.75), 6) AS q3, round(max(d_disp_old), 6) AS hi FROM {residuals} GROUP BY sca")
 def describe_by_group(t):
-    x = F.col("d_disp_old")
-    q = lambda p: r(F.percentile(x, F.lit(p)))
-    return t("residuals").groupBy("sca").agg(F.count("*").alias("n"), r(F.avg(x)).alias("mean"), r(F.stddev_samp(x)).alias("std"), r(F.min(x)).alias("lo"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), r(F.max(x)).alias("hi"))
+    d, x = readers.kept(t("residuals").select("sca", "d_disp_old")), F.col("d_disp_old")
+    q = exact_quantiles(d, ["sca"], x, [0.25, 0.5, 0.75]).select("sca", *(r(F.col("q")[i]).alias(f"q{i + 1}") for i in range(3)))
+    rest = d.groupBy("sca").agg(F.count("*").alias("n"), r(F.avg(x)).alias("mean"), r(F.stddev_samp(x)).alias("std"), r(F.min(x)).alias("lo"), r(F.max(x)).alias("hi"))
+    return rest.join(q, "sca")
 
 
 @query("poly_smoothness")
@@ -283,7 +285,7 @@ def fixed_cells(t):
 COVER = (2, 9, 256.0, 30720.0)
 FINE = f"fine AS MATERIALIZED ({sky_cell_sql('ra', 'dec', COVER[1]).replace('{rows}', '(SELECT catalog_index, ra, dec FROM {sources})')})"
 COUNTS = "counts AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {o} AS ord, cell // {4 ** (COVER[1] - o)} AS cell, count(*) AS n FROM fine GROUP BY 2" for o in range(COVER[0], COVER[1] + 1)) + ")"
-FITS = f"SELECT c.ord, c.cell::BIGINT AS cell, c.n, c.n * {COVER[2]} AS est_bytes, c.n * {COVER[2]} > {COVER[3]} AS oversize FROM counts c LEFT JOIN counts p ON p.ord = c.ord - 1 AND p.cell = c.cell // 4 WHERE (c.n * {COVER[2]} <= {COVER[3]} OR c.ord = {COVER[1]}) AND (c.ord = {COVER[0]} OR p.n * {COVER[2]} > {COVER[3]})"
+FITS = f"SELECT c.ord, c.cell::BIGINT AS cell, c.n, CAST(c.n * {COVER[2]} AS DOUBLE) AS est_bytes, c.n * {COVER[2]} > {COVER[3]} AS oversize FROM counts c LEFT JOIN counts p ON p.ord = c.ord - 1 AND p.cell = c.cell // 4 WHERE (c.n * {COVER[2]} <= {COVER[3]} OR c.ord = {COVER[1]}) AND (c.ord = {COVER[0]} OR p.n * {COVER[2]} > {COVER[3]})"
 
 
 def covered(t):
@@ -405,7 +407,7 @@ def events(t):
     return df.select("catalog_index", "sca", "ord", "i", px.alias("px"), py.alias("py"), (F.col("f") * F.col("sens")).alias("weight"))
 
 
-@query("dispersed_events", f"WITH at AS MATERIALIZED (SELECT catalog_index, px, py, counts FROM {traced_sql(BRIGHT, 'wl')}) SELECT catalog_index, count(*) AS n, round(min(px), 3) AS x0, round(max(px), 3) AS x1, round(min(py), 3) AS y0, round(max(py), 3) AS y1, round(sum(counts), 4) AS counts FROM at GROUP BY catalog_index")
+@query("dispersed_events", f"WITH hits AS MATERIALIZED (SELECT catalog_index, px, py, counts FROM {traced_sql(BRIGHT, 'wl')}) SELECT catalog_index, count(*) AS n, round(min(px), 3) AS x0, round(max(px), 3) AS x1, round(min(py), 3) AS y0, round(max(py), 3) AS y1, round(sum(counts), 4) AS counts FROM hits GROUP BY catalog_index")
 def dispersed_events(t):
     """The events of each source: how many, the box they fill, and their counts."""
     e = events(t).groupBy("catalog_index")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import scalar as S
 from skyloom.operators import cells, cuts, footprint, sky, spectra
 from skyloom.operators.cells import sky_cells
+from skyloom.operators.quantiles import medians
 from skyloom.plans.registry import query
 from skyloom.plans.scalar_queries import FPA_SQL, HAV, NESTED, focal, nested, r, traced_sql
 from skyloom.sources import readers
@@ -412,12 +413,13 @@ def grid_interp_trilinear(t):
 @query("shift_vs_residual", "SELECT round(corr(a, b), 6) AS r, count(*) AS n FROM (SELECT sca, avg(value_b - value_a) AS a FROM {pixels} GROUP BY sca) JOIN (SELECT sca, median(d_disp_old) AS b FROM {residuals} GROUP BY sca) USING (sca)")
 def shift_vs_residual(t):
     a = t("pixels").groupBy("sca").agg(F.avg(F.col("value_b") - F.col("value_a")).alias("a"))
-    b = t("residuals").groupBy("sca").agg(F.median("d_disp_old").alias("b"))
+    b = medians(t("residuals"), ["sca"], "d_disp_old", "b")
     return a.join(b, "sca").agg(r(F.corr("a", "b")).alias("r"), F.count("*").alias("n"))
 
 
 @query("wave_transfer", "SELECT round(corr(a, b), 6) AS r, round(max(abs(a - b)), 6) AS worst FROM (SELECT sca, median(d_disp_old) AS a, median(d_disp_new) AS b FROM {residuals} GROUP BY sca)")
 def wave_transfer(t):
-    a = t("residuals").groupBy("sca").agg(F.median("d_disp_old").alias("a"))
-    b = t("residuals").groupBy("sca").agg(F.median("d_disp_new").alias("b"))
+    d = readers.kept(t("residuals"))
+    a = medians(d, ["sca"], "d_disp_old", "a")
+    b = medians(d, ["sca"], "d_disp_new", "b")
     return a.join(b, "sca").agg(r(F.corr("a", "b")).alias("r"), r(F.max(F.abs(F.col("a") - F.col("b")))).alias("worst"))

@@ -221,14 +221,14 @@ def row_in_cell(t):
 def dense_template_index(t):
     """Used ids of spectra mapped to 0..k-1, numbered by range."""
     s = t("sources").filter("sed_index % 3 <> 1")
-    ids = Q.row_ids(s.select("sed_index").distinct(), "sed_index", 1024).select("sed_index", F.col("row_id").alias("dense"))
+    ids = Q.row_ids(s.select("sed_index").distinct(), "sed_index").select("sed_index", F.col("row_id").alias("dense"))
     return s.join(sky.small(ids), "sed_index").select("catalog_index", "dense")
 
 
 @query("catalog_row_id", "SELECT catalog_index, row_number() OVER (ORDER BY catalog_index) - 1 AS row_id FROM {sources} QUALIFY catalog_index % 3 = 0")
 def catalog_row_id(t):
     """Row numbers made once, before cuts: ranks within key ranges plus the rows before each range."""
-    return Q.row_ids(t("sources"), "catalog_index", 1024).filter("catalog_index % 3 = 0").select("catalog_index", "row_id")
+    return Q.row_ids(t("sources"), "catalog_index").filter("catalog_index % 3 = 0").select("catalog_index", "row_id")
 
 
 @query("first_per_source", "SELECT src, sca, catalog_index FROM (SELECT catalog_index % 499 AS src, sca, catalog_index, row_number() OVER (PARTITION BY catalog_index % 499, sca ORDER BY catalog_index) AS n FROM {manifest}) WHERE n = 1")

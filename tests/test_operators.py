@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import scalar as S
 from skyloom.operators import cuts, footprint, pixels, quality, sky, spectra
-from skyloom.operators.quantiles import exact_quantiles, ranks
+from skyloom.operators.quantiles import exact_quantiles, ranks, rows_before
 from skyloom.sources import readers
 
 NAN = float("nan")
@@ -62,7 +62,13 @@ def test_sky_cells_nest_and_cover_equal_areas(spark):
 
 def test_row_ids(spark):
     df = spark.range(5000).select((F.col("id") * 3).alias("catalog_index")).repartition(7)
-    assert df.transform(lambda d: quality.row_ids(d, "catalog_index", 64)).filter("row_id <> catalog_index / 3").count() == 0
+    assert quality.row_ids(df, "catalog_index").filter("row_id <> catalog_index / 3").count() == 0
+    sparse = spark.range(5000).select(F.xxhash64("id").alias("catalog_index")).repartition(7)
+    got = [r["catalog_index"] for r in quality.row_ids(sparse, "catalog_index").orderBy("row_id").collect()]
+    assert got == sorted(r["catalog_index"] for r in sparse.collect())
+    placed = sparse.repartitionByRange("catalog_index").withColumn("_place", F.monotonically_increasing_id())
+    assert rows_before(placed).count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert quality.row_ids(sparse.limit(0), "catalog_index").count() == 0
 
 
 def test_cones_over_the_meridian_and_the_poles(spark):
@@ -173,6 +179,15 @@ def test_quantiles_and_ranks_with_ties_gaps_and_nan(spark):
         assert all(ranked[k, i] == (n, len(order)) for n, i in enumerate(order))
 
 
+def test_quantiles_with_an_outlier_and_brackets_that_miss(spark):
+    rng = np.random.default_rng(5)
+    values = [*rng.normal(size=30_000).tolist(), 1e300]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    shares = [0.01, 0.5, 0.999]
+    for slack in (2e-4, 0.0, 1.0):
+        assert np.allclose(exact_quantiles(df, [], F.col("v"), shares, slack).first()["q"], np.quantile(values, shares), rtol=1e-12)
+
+
 def test_nearest_within_equals_brute_force_up_to_the_poles(spark):
     rng = np.random.default_rng(4)
     place = lambda n, dec: list(zip(range(n), rng.uniform(0, 360, n).tolist(), dec(n).tolist(), strict=True))
