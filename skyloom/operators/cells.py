@@ -85,10 +85,13 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
 def read_cells(spark: SparkSession, path: str, wanted: DataFrame, row: str | None = None) -> DataFrame:
     """Stored rows of the cells in ``wanted`` (hp_uniq and, if given, ``row``, a place in the cell); other columns of ``wanted`` are added.
 
-    Cells are partitions of the files, so a filter on ``wanted`` prunes files before they are read.
+    Cells are partitions of the files. The wanted cells, in the partitions' own
+    type and under a comparison, let Spark prune files by them at run time.
     """
+    rows = spark.read.parquet(f"{path}/rows")
+    cell = F.col("hp_uniq").try_cast(rows.schema["hp_uniq"].dataType)
     on = ["hp_uniq", *([row] if row else [])]
-    return spark.read.parquet(f"{path}/rows").join(small(wanted), on)
+    return rows.join(small(wanted.withColumn("hp_uniq", cell).filter("hp_uniq > 0")), on)
 
 
 def verify(spark: SparkSession, path: str, plan: DataFrame, original: DataFrame, key: str) -> DataFrame:

@@ -407,7 +407,14 @@ def events(t):
     return df.select("catalog_index", "sca", "ord", "i", px.alias("px"), py.alias("py"), (F.col("f") * F.col("sens")).alias("weight"))
 
 
-@query("dispersed_events", f"WITH hits AS MATERIALIZED (SELECT catalog_index, px, py, counts FROM {traced_sql(BRIGHT, 'wl')}) SELECT catalog_index, count(*) AS n, round(min(px), 3) AS x0, round(max(px), 3) AS x1, round(min(py), 3) AS y0, round(max(py), 3) AS y1, round(sum(counts), 4) AS counts FROM hits GROUP BY catalog_index")
+#: Weights of all events are made once, before positions, so that DuckDB computes a trace once a row.
+WEIGHTS = f"""g AS MATERIALIZED (SELECT sim, sed_index, i, abs(f) AS f FROM {LONG}), se AS MATERIALIZED (SELECT sca, ord, i, sens FROM {{sensitivity}}),
+src AS MATERIALIZED (SELECT n.*, q.sed_index AS sed FROM {NESTED} n JOIN (SELECT catalog_index AS c, sed_index FROM {{sources}}) q ON n.catalog_index = q.c WHERE n.type = 'SER'),
+k AS MATERIALIZED (SELECT catalog_index AS c, g.i, g.f * se.sens AS counts FROM src n JOIN g ON n.sim = g.sim AND n.sed = g.sed_index JOIN se ON se.sca = n.sca AND se.ord = n.ord AND se.i = g.i),
+hits AS MATERIALIZED (SELECT catalog_index, px, py, counts FROM {traced_sql("(SELECT src.*, k.counts, 0.9 + k.i * 0.0175 AS wl FROM src JOIN k ON src.catalog_index = k.c)", "wl")})"""
+
+
+@query("dispersed_events", f"WITH {WEIGHTS} SELECT catalog_index, count(*) AS n, round(min(px), 3) AS x0, round(max(px), 3) AS x1, round(min(py), 3) AS y0, round(max(py), 3) AS y1, round(sum(counts), 4) AS counts FROM hits GROUP BY catalog_index")
 def dispersed_events(t):
     """The events of each source: how many, the box they fill, and their counts."""
     e = events(t).groupBy("catalog_index")

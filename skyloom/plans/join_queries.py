@@ -137,19 +137,20 @@ COARSEST, FINEST, ROW_BYTES, TARGET = 4, 8, 256.0, 131072.0
 
 
 def laid_out(t):
-    """Spectra of all galaxies, in files by sky cell: (session, folder, plan, galaxies with their cell)."""
+    """Spectra of all galaxies, in files by sky cell: (session, folder, plan, galaxies with their cell, rows as they were before)."""
     galaxy = readers.kept(sky_cells(t("sources").filter("type = 'SER'"), FINEST).select("catalog_index", "ra", "dec", "sim", "sed_index", "flux_scale", "fine"))
-    plan = readers.kept(cells.cover(galaxy, "fine", COARSEST, FINEST, ROW_BYTES, TARGET))
-    spectra_of = cells.placed(galaxy, "fine", plan, COARSEST, FINEST).join(galaxies(t), ["sim", "sed_index"])
+    rows = readers.kept(galaxy.join(galaxies(t), ["sim", "sed_index"]).select("catalog_index", "fine", "flux"))
+    plan = readers.kept(cells.cover(rows, "fine", COARSEST, FINEST, ROW_BYTES, TARGET))
+    rows = cells.placed(rows, "fine", plan, COARSEST, FINEST).select("hp_uniq", "catalog_index", "flux")
     path = readers.shared_folder(plan.sparkSession)
-    cells.write_cells(spectra_of.select("hp_uniq", "catalog_index", "flux"), path, "catalog_index", "catalog_index")
-    return plan.sparkSession, path, plan, galaxy
+    cells.write_cells(rows, path, "catalog_index", "catalog_index")
+    return plan.sparkSession, path, plan, galaxy, rows
 
 
 @query("sed_lookup_cells", TOTAL)
 def sed_lookup_cells(t):
     """The same lookup when spectra are laid out by sky cell: cells of the catalog's sources, then rows of those files."""
-    spark, path, plan, galaxy = laid_out(t)
+    spark, path, plan, galaxy, _ = laid_out(t)
     wanted = cells.placed(galaxy, "fine", plan, COARSEST, FINEST).select("hp_uniq", "catalog_index", "flux_scale")
     found = cells.read_cells(spark, path, wanted, "catalog_index").select("catalog_index", F.transform("flux", lambda f: f * F.col("flux_scale")).alias("flux"))
     stars = spectra.sed_lookup(t("sources").filter("type = 'PSF'"), templates(t), galaxies(t))
@@ -159,7 +160,7 @@ def sed_lookup_cells(t):
 @query("pointing_seds", f"SELECT pointing_id, count(*) AS n, round(sum(total), 2) AS total FROM (SELECT s.catalog_index, p.pointing_id, q.total FROM {{sources}} s JOIN {{pointings}} p ON {HAV.format(r1='s.ra', d1='s.dec', r2='p.ra0', d2='p.dec0')} <= 0.15 JOIN ({TOTAL}) q ON q.catalog_index = s.catalog_index WHERE s.type = 'SER') GROUP BY pointing_id")
 def pointing_seds(t):
     """Spectra of the galaxies around each pointing, read from the files of the cells that they are in, and no others."""
-    spark, path, plan, galaxy = laid_out(t)
+    spark, path, plan, galaxy, _ = laid_out(t)
     near = sky.cone_join(galaxy, t("pointings"), 0.15).select("pointing_id", "catalog_index", "flux_scale", "fine")
     near = cells.placed(near, "fine", plan, COARSEST, FINEST).select("hp_uniq", "catalog_index", "flux_scale", "pointing_id")
     total = F.aggregate("flux", F.lit(0.0), lambda a, f: a + f) * F.col("flux_scale")

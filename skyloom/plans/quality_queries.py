@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import scalar as S
 from skyloom.operators import quality as Q
-from skyloom.operators import sky, spectra
+from skyloom.operators import cells, sky, spectra
 from skyloom.operators.quantiles import ranks
-from skyloom.plans.join_queries import LINE_ROWS
+from skyloom.plans.join_queries import COARSEST, FINEST, LINE_ROWS, ROW_BYTES, TARGET, laid_out
 from skyloom.plans.registry import query
-from skyloom.plans.scalar_queries import NESTED, nested, r, traced_sql
+from skyloom.plans.scalar_queries import NESTED, nested, r, sky_cell_sql, traced_sql
 from skyloom.sources import readers
 
 REQUIRED = ("ra", "dec", "type", "n", "half_light_radius", "pa", "ba", "sed_index", "flux_scale", "sim")
@@ -91,18 +91,20 @@ def spectra_diff(t):
     return df.select("vec_id", r(F.array_max(pairs)).alias("worst"))
 
 
-LAID = "(SELECT c.catalog_index, c.pix // 4096 AS cell, s.embedding FROM {cells} c JOIN {spectra} s USING (sim, sed_index))"
-STORED = f"(SELECT catalog_index, cell, CASE WHEN catalog_index % 500 = 10 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM {LAID} WHERE catalog_index % 1000 <> 7)"
-SAMPLE = "(catalog_index * 69621 + 42) % 2147483647 % 10 < 3"
+#: Galaxies with a spectrum, their cells at the finest order of the layout, and the layout's cover.
+LAID = "(SELECT catalog_index, ra, dec FROM {sources} JOIN {spectra} USING (sim, sed_index) WHERE type = 'SER')"
+FINE = f"fine AS MATERIALIZED ({sky_cell_sql('ra', 'dec', FINEST).replace('{rows}', LAID)})"
+COUNTS = "counts AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {o} AS ord, cell // {4 ** (FINEST - o)} AS cell, count(*) AS planned, count(*) FILTER (catalog_index % 7 = 3) AS lost FROM fine GROUP BY 2" for o in range(COARSEST, FINEST + 1)) + ")"
+PLANNED = f"SELECT 4 * pow(4, c.ord)::BIGINT + c.cell::BIGINT AS hp_uniq, c.planned, CASE WHEN hp_uniq % 13 = 7 AND c.lost < c.planned THEN c.lost ELSE 0 END AS lost FROM counts c LEFT JOIN counts p ON p.ord = c.ord - 1 AND p.cell = c.cell // 4 WHERE (c.planned * {ROW_BYTES} <= {TARGET} OR c.ord = {FINEST}) AND (c.ord = {COARSEST} OR p.planned * {ROW_BYTES} > {TARGET})"
 
 
-@query("repartition_verify", f"WITH old AS {LAID}, new AS {STORED}, p AS (SELECT cell, count(*) AS planned FROM old GROUP BY 1), s AS (SELECT cell, count(*) AS stored FROM new GROUP BY 1), n AS (SELECT cell, count(*) + (cell % 13 = 5)::INT AS noted FROM new GROUP BY 1), d AS (SELECT new.cell, count(*) AS sampled, count(*) FILTER (old.embedding IS DISTINCT FROM new.embedding) AS differ FROM new JOIN old USING (catalog_index) WHERE {SAMPLE} GROUP BY 1) SELECT coalesce(p.cell, s.cell) AS cell, coalesce(planned, 0) AS planned, coalesce(stored, 0) AS stored, coalesce(noted, 0) AS noted, coalesce(sampled, 0) AS sampled, coalesce(differ, 0) AS differ, coalesce(planned, 0) = coalesce(stored, 0) AND coalesce(stored, 0) = coalesce(noted, 0) AND coalesce(differ, 0) = 0 AS ok FROM p FULL JOIN s ON p.cell = s.cell LEFT JOIN n ON n.cell = s.cell LEFT JOIN d ON d.cell = s.cell")
+@query("repartition_verify", f"WITH {FINE}, {COUNTS}, p AS ({PLANNED}) SELECT hp_uniq, planned, planned - lost AS stored, planned AS noted, lost = 0 AND hp_uniq % 13 <> 5 AS same, same AS ok FROM p")
 def repartition_verify(t):
-    """Per cell: rows planned, stored and noted beside the stored ones; of a seeded sample of rows, those that differ from the original in any bit."""
-    old = t("cells").join(t("spectra"), ["sim", "sed_index"]).select("catalog_index", S.cell_parent("pix", 6).alias("cell"), "embedding")
-    new = old.filter("catalog_index % 1000 <> 7").withColumn("embedding", F.when(F.col("catalog_index") % 500 == 10, F.reverse("embedding")).otherwise(F.col("embedding")))
-    noted = new.groupBy("cell").agg((F.count("*") + (F.col("cell") % 13 == 5).cast("int")).alias("noted"))
-    return Q.layout_verified(old, new, noted, "cell", "catalog_index", "embedding", F.expr(SAMPLE))
+    """A written layout with some cells damaged on purpose (rows lost, spectra turned round): per cell, rows planned, stored and noted, and whether the contents are the original's."""
+    spark, path, plan, _, rows = laid_out(t)
+    hurt = cells.stored(spark, path).filter("hp_uniq % 13 = 5 or (hp_uniq % 13 = 7 and catalog_index % 7 <> 3)")
+    cells.replace_cells(readers.kept(hurt.withColumn("flux", F.when(F.col("hp_uniq") % 13 == 5, F.reverse("flux")).otherwise(F.col("flux")))), path)
+    return cells.verify(spark, path, plan, rows, "catalog_index")
 
 
 OFFS = f"(SELECT a.catalog_index, a.wl, a.px - b.px AS dx, a.py - b.py AS dy FROM {traced_sql('(SELECT * FROM ' + NESTED + ', (VALUES (1.0), (1.3), (1.6)) w(wl))', 'wl')} a JOIN {traced_sql('(SELECT * REPLACE (d1 * 1.001 AS d1) FROM ' + NESTED + ', (VALUES (1.0), (1.3), (1.6)) w(wl))', 'wl')} b USING (catalog_index, wl))"

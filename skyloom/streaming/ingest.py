@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 
 def incremental_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema, key: str) -> None:
-    """Append rows of new files under ``source`` to ``target``, leaving out keys already there; ends when all files are read.
+    """Append rows of new files under ``source`` to ``target``, leaving out keys that came before; ends when all files are read.
 
-    Files are tracked by the stream's checkpoint, keys by an anti-join with the
-    target, so a rerun adds nothing. A key repeated in a batch is kept once.
+    Files are tracked by the stream's checkpoint, keys by its state store, which
+    is partitioned by key: a batch reads its own files, never the target,
+    however late they are. Of rows that share a key one is kept; rows without a
+    key are left out. Each batch has a folder of its own (column ``batch``) that
+    it overwrites, so a batch repeated after a failure adds nothing. For more
+    keys than fit in executors' memory set the RocksDB state store.
     """
 
-    def append(batch: DataFrame, _: int) -> None:
-        fresh = batch.filter(F.col(key).isNotNull()).dropDuplicates([key])
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            fresh = fresh.join(spark.read.schema(schema).parquet(target).select(key), key, "left_anti")
-        fresh.select(*(f.name for f in schema.fields)).write.mode("append").parquet(target)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    stream = spark.readStream.schema(schema).parquet(source)
-    stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    fresh = spark.readStream.schema(schema).parquet(source).filter(F.col(key).isNotNull()).dropDuplicates([key])
+    fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
