@@ -157,7 +157,7 @@ def sed_lookup_cells(t):
     return stars.unionByName(found).select("catalog_index", r(F.aggregate("flux", F.lit(0.0), lambda a, f: a + f), 4).alias("total"))
 
 
-@query("pointing_seds", f"SELECT pointing_id, count(*) AS n, round(sum(total), 2) AS total FROM (SELECT s.catalog_index, p.pointing_id, q.total FROM {{sources}} s JOIN {{pointings}} p ON {HAV.format(r1='s.ra', d1='s.dec', r2='p.ra0', d2='p.dec0')} <= 0.15 JOIN ({TOTAL}) q ON q.catalog_index = s.catalog_index WHERE s.type = 'SER') GROUP BY pointing_id")
+@query("pointing_seds", f"SELECT pointing_id, count(*) AS n, round(sum(total), 4) AS total FROM (SELECT s.catalog_index, p.pointing_id, q.total FROM {{sources}} s JOIN {{pointings}} p ON {HAV.format(r1='s.ra', d1='s.dec', r2='p.ra0', d2='p.dec0')} <= 0.15 JOIN ({TOTAL}) q ON q.catalog_index = s.catalog_index WHERE s.type = 'SER') GROUP BY pointing_id")
 def pointing_seds(t):
     """Spectra of the galaxies around each pointing, read from the files of the cells that they are in, and no others."""
     spark, path, plan, galaxy, _ = laid_out(t)
@@ -165,7 +165,7 @@ def pointing_seds(t):
     near = cells.placed(near, "fine", plan, COARSEST, FINEST).select("hp_uniq", "catalog_index", "flux_scale", "pointing_id")
     total = F.aggregate("flux", F.lit(0.0), lambda a, f: a + f) * F.col("flux_scale")
     found = cells.read_cells(spark, path, near, "catalog_index").select("pointing_id", r(total, 4).alias("total"))
-    return found.groupBy("pointing_id").agg(F.count("*").alias("n"), r(F.sum("total"), 2).alias("total"))
+    return found.groupBy("pointing_id").agg(F.count("*").alias("n"), r(F.sum("total"), 4).alias("total"))
 
 
 @query("cone_search", f"SELECT catalog_index, round({HAV.format(r1='ra', d1='dec', r2='10.0', d2='0.0')}, 6) AS sep FROM {{sources}} WHERE {HAV.format(r1='ra', d1='dec', r2='10.0', d2='0.0')} <= 0.4")
