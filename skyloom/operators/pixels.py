@@ -53,17 +53,76 @@ def cutout(trace: DataFrame, pixels: DataFrame, half: int, value: str = "value_a
     return at.join(pixels.select("sca", "y", "x", F.col(value).alias("_v")), ["sca", "y", "x"], "left").withColumn("value", F.coalesce("_v", F.lit(0.0)))
 
 
-def boxes(places: DataFrame, pixels: DataFrame, along: int, across: int, value: str = "value_a") -> DataFrame:
-    """Pixels of a box around each place (src, sca, tx, ty), with their offsets dy and dx; equi-join on exploded boxes."""
-    cells = places.select("src", "sca", "tx", "ty", F.explode(F.sequence(F.lit(-along), F.lit(along))).alias("dy")).withColumn("dx", F.explode(F.sequence(F.lit(-across), F.lit(across))))
-    cells = cells.withColumns({"y": F.col("ty") + F.col("dy"), "x": F.col("tx") + F.col("dx")})
-    return cells.join(pixels.select("sca", "y", "x", F.col(value).alias("v")), ["sca", "y", "x"]).select("src", "dy", "dx", "v")
-
-
-def measure(places: DataFrame, pixels: DataFrame, along: int, across: int) -> DataFrame:
-    """Line flux and centroid along the dispersion above a linear baseline fitted off the line."""
-    core = along // 2
-    prof = boxes(places, pixels, along, across).groupBy("src", "dy").agg(F.sum("v").alias("s"))
-    base = prof.filter(F.abs("dy") > core).groupBy("src").agg(F.regr_slope("s", "dy").alias("m"), F.regr_intercept("s", "dy").alias("c"))
-    e = prof.filter(F.abs("dy") <= core).join(base, "src").withColumn("e", F.greatest(F.col("s") - F.col("m") * F.col("dy") - F.col("c"), F.lit(0.0)))
-    return e.groupBy("src").agg((F.sum(F.col("dy") * F.col("e")) / F.sum("e")).alias("d_disp"), F.sum("e").alias("line")).filter("line > 0")
+def tiles(pixels: DataFrame, size: int, halo: int, value: str = "value_a") -> DataFrame:
+    """(sca, ty, tx, rows): dense tiles of ``size`` pixels with a halo around, as arrays of rows; absent pixels are 0, tiles without pixels absent.
+
+    A pixel goes to the few tiles whose halo holds it; pixels given twice are
+    summed. All groupings keep the tile's partitioning, so there is one shuffle.
+    """
+    wide = size + 2 * halo
+    over = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / size).cast("int"), F.floor((F.col(c) + halo) / size).cast("int")))
+    df = pixels.select("sca", "y", "x", F.col(value).cast("double").alias("v"), over("y").alias("ty")).withColumn("tx", over("x")).repartition("sca", "ty", "tx")
+    df = df.select("sca", "ty", "tx", (F.col("y") - F.col("ty") * size + halo).alias("ly"), (F.col("x") - F.col("tx") * size + halo).alias("lx"), "v")
+    keys = ["sca", "ty", "tx"]
+    filled = lambda at, v, none: F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda i: F.coalesce(F.try_element_at(F.map_from_entries(F.collect_list(F.struct(at, v))), i), none))
+    rows = df.groupBy(*keys, "ly", "lx").agg(F.sum("v").alias("v")).groupBy(*keys, "ly").agg(filled("lx", "v", F.lit(0.0)).alias("row"))
+    return rows.groupBy(*keys).agg(filled("ly", "row", F.array_repeat(F.lit(0.0), wide)).alias("rows"))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
+def profiles(places: DataFrame, pixels: DataFrame, image: int, half: int, narrow: int, size: int = 16) -> DataFrame:
+    """``places`` (sca, y, x as fractions of pixels, and columns of their own) with their box's profiles over rows and over columns.
+
+    ``rows`` sums, for each of the 2 half + 1 rows of a box, the 2 narrow + 1
+    middle columns; ``cols`` the other way round. A place joins one tile, which
+    holds its whole box. Boxes that leave the image, or whose tile and halo
+    have no pixel at all, are dropped: nothing can be measured there.
+    """
+    mid = lambda c: F.floor(F.col(c) + 0.5).cast("int")
+    inside = lambda c: c.between(half, image - 1 - half)
+    # Exploded, so that no filter repeats what places are made of further down the plan.
+    spot = F.filter(F.array(F.struct(mid("y").alias("_yc"), mid("x").alias("_xc"))), lambda c: inside(c["_yc"]) & inside(c["_xc"]))
+    p = places.withColumn("_spot", F.explode(spot)).select(*places.columns, "_spot.*")
+    p = p.withColumns({"ty": F.floor(F.col("_yc") / size).cast("int"), "tx": F.floor(F.col("_xc") / size).cast("int")})
+    box = p.join(tiles(pixels, size, half).withColumnRenamed("rows", "_tile"), ["sca", "ty", "tx"])
+    part = lambda a, start, n: F.slice(a, start, F.lit(n))
+    first = lambda at, tile: F.col(at) - F.col(tile) * size + 1
+    down = F.transform(part(F.col("_tile"), first("_yc", "ty"), 2 * half + 1), lambda row: total(part(row, first("_xc", "tx") + half - narrow, 2 * narrow + 1)))
+    middle = F.transform(part(F.col("_tile"), first("_yc", "ty") + half - narrow, 2 * narrow + 1), lambda row: part(row, first("_xc", "tx"), 2 * half + 1))
+    beside = F.aggregate(middle, F.array_repeat(F.lit(0.0), 2 * half + 1), lambda a, row: F.zip_with(a, row, lambda u, v: u + v))
+    return box.select(*places.columns, (F.col("y") - F.col("_yc")).alias("_fy"), (F.col("x") - F.col("_xc")).alias("_fx"), down.alias("rows"), beside.alias("cols"))
+
+
+def above_baseline(profile: str, shift: str, half: int, core: int) -> Column:
+    """(w, tw): flux within ``core`` of the predicted place above a linear baseline fitted to what lies outside, and its sum weighted by place."""
+    once = lambda value, f: F.transform(F.array(value), f)[0]
+    zeros = lambda *names: F.struct(*(F.lit(0.0).alias(n) for n in names))
+    points = F.transform(F.col(profile), lambda s, i: F.struct((i - half - F.col(shift)).alias("t"), s.alias("s")))
+
+    def fitted(a: Column, p: Column) -> Column:
+        more = {"n": F.lit(1.0), "t": p["t"], "tt": p["t"] * p["t"], "s": p["s"], "ts": p["t"] * p["s"]}
+        return F.when(F.abs(p["t"]) > core, F.struct(*((a[k] + v).alias(k) for k, v in more.items()))).otherwise(a)
+
+    def line(b: Column) -> Column:
+        slope = (b["n"] * b["ts"] - b["t"] * b["s"]) / (b["n"] * b["tt"] - b["t"] * b["t"])
+        return once(slope, lambda m: F.struct(m.alias("m"), ((b["s"] - m * b["t"]) / b["n"]).alias("c")))
+
+    def excess(pts: Column, b: Column) -> Column:
+        over = F.transform(F.filter(pts, lambda p: F.abs(p["t"]) <= core), lambda p: F.struct(p["t"].alias("t"), F.greatest(p["s"] - b["m"] * p["t"] - b["c"], F.lit(0.0)).alias("e")))
+        return F.aggregate(over, zeros("w", "tw"), lambda a, p: F.struct((a["w"] + p["e"]).alias("w"), (a["tw"] + p["t"] * p["e"]).alias("tw")))
+
+    return once(points, lambda pts: once(F.aggregate(pts, zeros("n", "t", "tt", "s", "ts"), fitted), lambda sums: once(line(sums), lambda b: excess(pts, b))))
+
+
+def measure(boxes: DataFrame, half: int, core: int) -> DataFrame:
+    """Of :func:`profiles`: centroids along (rows) and across (columns) the dispersion, as residuals from the predicted place, and the line's flux.
+
+    Places without flux above the baseline, on either axis, are dropped.
+    """
+    both = F.struct(above_baseline("rows", "_fy", half, core).alias("a"), above_baseline("cols", "_fx", half, core).alias("c"))
+    # Exploded, so that no filter repeats the work further down the plan.
+    e = boxes.withColumn("_m", F.explode(F.filter(F.array(both), lambda m: (m["a"]["w"] > 1e-6) & (m["c"]["w"] > 1e-6))))
+    return e.withColumns({"along": F.expr("_m.a.tw / _m.a.w"), "across": F.expr("_m.c.tw / _m.c.w"), "flux": F.col("_m.a.w")}).drop("_m", "_fy", "_fx", "rows", "cols")

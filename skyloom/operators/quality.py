@@ -30,3 +30,9 @@ def counts_agree(planned: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 def row_ids(df: DataFrame, key: str) -> DataFrame:
     """``row_id``: the row's number in order of a key of any spread, from 0, without sorting all rows in one task."""
     return numbered(df, [key], "row_id")
+
+
+def campaigns(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """New minus old of each value, for keys that both hold. Tables bucketed by the keys (``readers.bucketed``) meet without a shuffle."""
+    a, b = (df.select(*keys, *(F.col(v).alias(f"{v}_{s}") for v in values)) for df, s in ((old, "old"), (new, "new")))
+    return a.hint("merge").join(b, keys).select(*keys, *((F.col(f"{v}_new") - F.col(f"{v}_old")).alias(v) for v in values))

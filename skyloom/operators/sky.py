@@ -129,10 +129,30 @@ def isolated_sources(df: DataFrame, radius: float, halvings: int = 4) -> DataFra
 
 
 def separated_top_n(df: DataFrame, n: int, radius: float) -> DataFrame:
-    """The n brightest among sources that are the brightest within a radius. (A greedy pick in order of brightness may keep more.)"""
-    rows = df.select("catalog_index", "sca", "ord", "xsca", "ysca", "mag")
+    """The n brightest of a greedy pick: in order of brightness, a source stays if none that stays lies within the radius.
+
+    Detectors and orders are apart. Each round picks all sources that have no
+    brighter one left within the radius, and drops those near a pick: the greedy
+    pick, in parallel. What is fainter than n picks cannot be among them and
+    goes too. Ties go to the smaller id; rows that share an id do not exclude
+    each other; sources without a magnitude are left out, and those without a
+    place have no neighbours.
+    """
+    columns = ["catalog_index", "sca", "ord", "xsca", "ysca", "mag"]
+    alive = kept(df.select(*columns).filter("mag is not null"))
     brighter = (F.col("mag2") < F.col("mag")) | ((F.col("mag2") == F.col("mag")) & (F.col("other") < F.col("id")))
-    return without_neighbour(rows, rows, radius, brighter).orderBy("mag", "catalog_index").limit(n).select("catalog_index", "mag")
+    picked: list[DataFrame] = []
+    while True:
+        free = kept(without_neighbour(alive, alive, radius, brighter))
+        if picked and free.isEmpty():
+            break
+        picked.append(free)
+        best = reduce(DataFrame.union, picked).orderBy("mag", "catalog_index").limit(n)
+        end = best.agg(F.count("*").alias("n"), F.max("mag").alias("mag")).first()
+        same = reduce(lambda x, y: x & y, [alive[c].eqNullSafe(free[c]) for c in columns])
+        left = without_neighbour(alive.join(free, same, "left_anti"), free, radius)
+        alive = kept(left if end["n"] < n else left.filter(F.col("mag") <= end["mag"]))
+    return best.select("catalog_index", "mag")
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import scalar as S
-from skyloom.operators import cells, spectra
+from skyloom.operators import cells, fits, spectra
 from skyloom.operators import pixels as P
 from skyloom.operators.cells import sky_cells
 from skyloom.operators.quantiles import exact_quantiles, medians
 from skyloom.operators.sky import small
-from skyloom.plans.join_queries import galaxies
+from skyloom.plans.join_queries import TRUTH, galaxies, line_truth_rows
 from skyloom.plans.registry import query
 from skyloom.plans.scalar_queries import NESTED, nested, r, sky_cell_sql, traced_sql
 from skyloom.sources import readers
@@ -234,24 +233,25 @@ def describe_by_group(t):
     return rest.join(q, "sca")
 
 
-@query("poly_smoothness")
+SURFACE = [(i, j) for i in range(4) for j in range(4 - i)]
+SURFACE_SQL = f"SELECT sca, mag / 10 AS d, [{', '.join(f'pow((xsca - 2044) / 2300, {i}) * pow((ysca - 2044) / 2300, {j})' for i, j in SURFACE)}] AS f FROM {{manifest}}"
+SYSTEM = ", ".join("[" + ", ".join([f"sum(f[{i}] * f[{j}])" + (" + 1e-9" if i == j else "") for j in range(1, 11)] + [f"sum(f[{i}] * d)"]) + "]" for i in range(1, 11))
+SMOOTH = f"""WITH RECURSIVE p AS MATERIALIZED ({SURFACE_SQL}),
+g AS (SELECT sca, 1 AS k, m FROM (SELECT sca, [{SYSTEM}] AS m FROM p GROUP BY sca HAVING count(*) >= 40)
+UNION ALL SELECT sca, k + 1, [CASE WHEN i = k THEN [v / m[k][k] FOR v IN a] ELSE [a[j] - a[k] / m[k][k] * m[k][j] FOR j IN range(1, 12)] END FOR a, i IN m] FROM g WHERE k <= 10)
+SELECT sca, round(sqrt(avg(pow(d - list_sum([f[j] * m[j][11] FOR j IN range(1, 11)]), 2))), 5) AS rms, count(*) AS n FROM p JOIN g USING (sca) WHERE k = 11 GROUP BY sca"""
+
+
+@query("poly_smoothness", SMOOTH)
 def poly_smoothness(t):
-    """Rms about a bivariate cubic of each detector's residuals. Sums of normal equations per detector; one small solve each."""
+    """Rms about a bivariate cubic of each detector's residuals. Sums of normal equations per detector, one small solve each; no Python."""
     u, v = (F.col("xsca") - 2044) / 2300, (F.col("ysca") - 2044) / 2300
-    m = t("manifest").select("catalog_index", "sca", u.alias("u"), v.alias("v"), (F.col("mag") / 10).alias("d"))
-    terms = [F.pow("u", F.lit(i)) * F.pow("v", F.lit(j)) for i in range(4) for j in range(4 - i)]
-    m = m.withColumn("f", F.array(*terms))
-    sums = [F.sum(F.col("f")[i] * F.col("f")[j]).alias(f"a{i}_{j}") for i in range(10) for j in range(i, 10)] + [F.sum(F.col("f")[i] * F.col("d")).alias(f"b{i}") for i in range(10)]
-    groups = m.groupBy("sca").agg(F.count("*").alias("n"), *sums).filter("n >= 40")
-
-    def solve(key, pdf):
-        row = pdf.iloc[0]
-        a = np.array([[row[f"a{min(i, j)}_{max(i, j)}"] for j in range(10)] for i in range(10)])
-        return pdf.assign(w=[np.linalg.solve(a + 1e-9 * np.eye(10), np.array([row[f"b{i}"] for i in range(10)])).tolist()])[["sca", "w"]]
-
-    fit = groups.groupBy("sca").applyInPandas(solve, "sca int, w array<double>")
+    terms = F.array(*(F.pow(u, F.lit(i)) * F.pow(v, F.lit(j)) for i, j in SURFACE))
+    m = t("manifest").select("sca", (F.col("mag") / 10).alias("d"), terms.alias("f"))
+    fit = m.groupBy("sca").agg(F.count("*").alias("n"), fits.normal_equations(F.col("f"), len(SURFACE), F.col("d"), 1e-9).alias("s"))
+    fit = small(fit.filter("n >= 40").select("sca", fits.solved(F.col("s"), len(SURFACE)).alias("w")))
     model = F.aggregate(F.zip_with("f", "w", lambda f, w: f * w), F.lit(0.0), lambda a, x: a + x)
-    return m.join(F.broadcast(fit), "sca").groupBy("sca").agg(r(F.sqrt(F.avg(F.pow(F.col("d") - model, 2))), 5).alias("rms"), F.count("*").alias("n"))
+    return m.join(fit, "sca").groupBy("sca").agg(r(F.sqrt(F.avg(F.pow(F.col("d") - model, 2))), 5).alias("rms"), F.count("*").alias("n"))
 
 
 @query("linear_baseline", "SELECT sca, round(regr_slope(value_a, x), 6) AS slope, round(regr_intercept(value_a, x), 4) AS level FROM {pixels} WHERE abs(x - 32) > 5 GROUP BY sca")
@@ -456,20 +456,32 @@ def expected_vs_extracted(t):
     return extracted(t).join(g, ["src", "i"]).groupBy("src").agg(F.count("*").alias("n"), r(F.percentile(F.col("flux") - 100 * F.col("f"), F.lit(0.5)), 4).alias("level"))
 
 
-BOX = "(SELECT o.src, p.y - o.ty AS dy, p.x - o.tx AS dx, p.value_a AS v FROM (SELECT * FROM " + TR + " WHERE i IN (10, 30, 50)) o JOIN {pixels} p ON p.sca = o.sca AND abs(p.y - o.ty) <= 6 AND abs(p.x - o.tx) <= 3)"
+#: Lines of all sources on the binned images, 63.9 pixels of a detector to one, counted from 0.
+SPOTS = f"(SELECT catalog_index, sca, ord, line_id, x_pred / 63.9::DOUBLE - 0.5 AS x, y_pred / 63.9::DOUBLE - 0.5 AS y FROM ({TRUTH}) WHERE on_detector)"
+PROFILES = f"""o AS MATERIALIZED (SELECT *, row_number() OVER () AS id, floor(x + 0.5)::INT AS xc, floor(y + 0.5)::INT AS yc FROM {SPOTS} WHERE floor(x + 0.5) BETWEEN 8 AND 55 AND floor(y + 0.5) BETWEEN 8 AND 55),
+px AS MATERIALIZED (SELECT * FROM {{pixels}}), k AS (SELECT unnest(range(-8, 9))::INT AS d),
+b AS MATERIALIZED (SELECT o.id, k.d AS dy, p.x - o.xc AS dx, p.value_a AS v FROM o, k, px p WHERE p.sca = o.sca AND p.y = o.yc + k.d AND p.x BETWEEN o.xc - 8 AND o.xc + 8),
+sums AS (SELECT 0 AS axis, id, dy AS d, sum(v) AS s FROM b WHERE abs(dx) <= 3 GROUP BY id, dy UNION ALL SELECT 1, id, dx, sum(v) FROM b WHERE abs(dy) <= 3 GROUP BY id, dx),
+prof AS MATERIALIZED (SELECT a.axis, o.id, k.d - CASE a.axis WHEN 0 THEN o.y - o.yc ELSE o.x - o.xc END AS t, coalesce(s, 0) AS s FROM o CROSS JOIN k CROSS JOIN (VALUES (0), (1)) a(axis) LEFT JOIN sums u ON u.axis = a.axis AND u.id = o.id AND u.d = k.d)"""
+
+
+def spots(t):
+    at = lambda c: F.col(c) / 63.9 - 0.5
+    return line_truth_rows(t).filter("on_detector").select("catalog_index", "sca", "ord", "line_id", at("x_pred").alias("x"), at("y_pred").alias("y"))
 
 
-@query("measure_lines", f"WITH prof AS (SELECT src, dy, sum(v) AS s FROM {BOX} GROUP BY 1, 2), base AS (SELECT src, regr_slope(s, dy) AS m, regr_intercept(s, dy) AS c FROM prof WHERE abs(dy) > 3 GROUP BY 1), sub AS (SELECT src, dy, greatest(s - m * dy - c, 0) AS e FROM prof JOIN base USING (src) WHERE abs(dy) <= 3) SELECT src, round(sum(dy * e) / sum(e), 5) AS d_disp, round(sum(e), 3) AS line FROM sub GROUP BY src HAVING sum(e) > 0")
+@query("measure_lines", f"WITH {PROFILES}, base AS (SELECT axis, id, regr_slope(s, t) AS m, regr_intercept(s, t) AS c FROM prof WHERE abs(t) > 4 GROUP BY 1, 2), e AS (SELECT axis, id, sum(t * e) / sum(e) AS at, sum(e) AS flux FROM (SELECT axis, id, t, greatest(s - m * t - c, 0) AS e FROM prof JOIN base USING (axis, id) WHERE abs(t) <= 4) GROUP BY 1, 2 HAVING sum(e) > 1e-6) SELECT catalog_index, sca, ord, line_id, round(a.at, 4) AS along, round(c.at, 4) AS across, round(a.flux, 3) AS flux FROM o JOIN e a ON a.id = o.id AND a.axis = 0 JOIN e c ON c.id = o.id AND c.axis = 1")
 def measure_lines(t):
-    """Box around each place, collapsed across, linear baseline taken off, centroid along."""
-    o = traces(t).filter("i in (10, 30, 50)")
-    return P.measure(o, t("pixels"), 6, 3).select("src", r(F.col("d_disp"), 5).alias("d_disp"), r(F.col("line"), 3).alias("line"))
+    """Every line of every source: a box collapsed along and across, linear baseline taken off, centroids from the predicted place."""
+    m = P.measure(P.profiles(spots(t), t("pixels"), 64, 8, 3), 8, 4)
+    return m.select("catalog_index", "sca", "ord", "line_id", r(F.col("along"), 4).alias("along"), r(F.col("across"), 4).alias("across"), r(F.col("flux"), 3).alias("flux"))
 
 
-@query("cross_profile_peak", f"SELECT src, round(max(s) / sum(s), 6) AS peak FROM (SELECT src, dx, sum(v) AS s FROM {BOX} GROUP BY 1, 2) GROUP BY src")
+@query("cross_profile_peak", f"WITH {PROFILES} SELECT catalog_index, sca, ord, line_id, round(max(s) / sum(s), 6) AS peak FROM o JOIN prof USING (id) WHERE axis = 1 GROUP BY ALL HAVING sum(s) > 0")
 def cross_profile_peak(t):
-    o = traces(t).filter("i in (10, 30, 50)")
-    return P.boxes(o, t("pixels"), 6, 3).groupBy("src", "dx").agg(F.sum("v").alias("s")).groupBy("src").agg(r(F.max("s") / F.sum("s")).alias("peak"))
+    """Share of the cross profile's flux in its highest pixel, at every line of every source."""
+    p = P.profiles(spots(t), t("pixels"), 64, 8, 3).withColumn("total", P.total(F.col("cols"))).filter("total > 0")
+    return p.select("catalog_index", "sca", "ord", "line_id", r(F.array_max("cols") / F.col("total")).alias("peak"))
 
 
 @query("continuum_budget", "SELECT curve, line_id, round(level, 5) AS level, round(level * amp_rel / sqrt(level * 190 + 100) * 190, 5) AS snr, amp_rel AS contrast, level * (1 + amp_rel) * 190 < 8000 AS fits FROM (SELECT s.curve, l.line_id, l.amp_rel, s.sens * 25 AS level FROM {curves} s JOIN {lines} l ON s.wavelength = l.center_a - l.center_a % 200)")

@@ -49,6 +49,14 @@ SELECT l_orderkey AS catalog_index, CAST(1 + l_suppkey % 18 AS INT) AS sca,
   min((l_extendedprice - 50000) / 1000000) AS d_disp_old,
   min((l_extendedprice - 50000) / 1000000 + l_tax / 100) AS d_disp_new
 FROM {lineitem} GROUP BY 1, 2""",
+    "campaign_old": """
+SELECT l_orderkey AS catalog_index, CAST(1 + l_suppkey % 18 AS INT) AS sca, CAST(l_linenumber % 3 AS INT) AS ord, CAST(l_partkey % 5 AS INT) AS line_id,
+  min(l_extendedprice / 25) AS xsca, min(l_quantity * 80) AS ysca
+FROM {lineitem} WHERE l_discount < 0.075 GROUP BY 1, 2, 3, 4""",
+    "campaign_new": """
+SELECT l_orderkey AS catalog_index, CAST(1 + l_suppkey % 18 AS INT) AS sca, CAST(l_linenumber % 3 AS INT) AS ord, CAST(l_partkey % 5 AS INT) AS line_id,
+  min(l_extendedprice / 25 + l_tax) AS xsca, min(l_quantity * 80 - l_tax / 2) AS ysca
+FROM {lineitem} WHERE l_discount > 0.015 GROUP BY 1, 2, 3, 4""",
     "calibration": """
 SELECT CAST(n_nationkey + 1 AS INT) AS sca, ord, CAST(2044.5 AS DOUBLE) AS crpix, CAST(0.11 AS DOUBLE) AS pixel_scale, CAST(100.0 AS DOUBLE) AS plate_scale,
   (CAST(n_nationkey % 6 AS DOUBLE) - 2.5) * 44.0 AS xcen, (CAST(floor(n_nationkey / 6) AS DOUBLE) - 1.0) * 44.0 AS ycen,
@@ -126,4 +134,6 @@ def with_views(sql: str) -> str:
     body = plain(sql).strip()
     if not ctes:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     return f"WITH {ctes}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes} {body}"

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import scalar as S
-from skyloom.operators import cells, cuts, footprint, sky, spectra
+from skyloom.operators import cells, cuts, footprint, quality, sky, spectra
 from skyloom.operators.cells import sky_cells
 from skyloom.operators.quantiles import medians
 from skyloom.plans.registry import query
@@ -265,12 +265,16 @@ def line_truth(t):
     return line_truth_rows(t)
 
 
-@query("before_after_join", "SELECT catalog_index, sca, round(d_disp_new - d_disp_old, 6) AS dx, round(hypot_, 6) AS dr FROM (SELECT *, sqrt(pow(d_disp_new - d_disp_old, 2) + pow(d_disp_old / 10, 2)) AS hypot_ FROM {residuals})")
+CAMPAIGN_KEYS = ["catalog_index", "sca", "ord", "line_id"]
+
+
+@query("before_after_join", "SELECT catalog_index, sca, round(dx, 6) AS dx, round(dy, 6) AS dy, round(sqrt(dx * dx + dy * dy), 6) AS dr FROM (SELECT catalog_index, sca, n.xsca - o.xsca AS dx, n.ysca - o.ysca AS dy FROM {campaign_old} o JOIN {campaign_new} n USING (catalog_index, sca, ord, line_id) QUALIFY row_number() OVER (PARTITION BY catalog_index, sca ORDER BY ord, line_id) = 1)")
 def before_after_join(t):
-    old = t("residuals").select("catalog_index", "sca", "d_disp_old")
-    new = t("residuals").select("catalog_index", "sca", "d_disp_new")
-    dx = F.col("d_disp_new") - F.col("d_disp_old")
-    return old.join(new, ["catalog_index", "sca"]).dropDuplicates(["catalog_index", "sca"]).select("catalog_index", "sca", r(dx).alias("dx"), r(F.hypot(dx, F.col("d_disp_old") / 10)).alias("dr"))
+    """Shift of each source on a detector between two campaigns, from the first order and line that both hold. Both are bucketed by their keys."""
+    old, new = (readers.bucketed(t(v), CAMPAIGN_KEYS, 16) for v in ("campaign_old", "campaign_new"))
+    d = quality.campaigns(old, new, CAMPAIGN_KEYS, ["xsca", "ysca"])
+    first = d.groupBy("catalog_index", "sca").agg(F.min_by(F.struct("xsca", "ysca"), F.struct("ord", "line_id")).alias("d"))
+    return first.select("catalog_index", "sca", r(F.col("d.xsca")).alias("dx"), r(F.col("d.ysca")).alias("dy"), r(F.hypot("d.xsca", "d.ysca")).alias("dr"))
 
 
 #: Sources seen in about fifteen rows each, however many there are; an odd number of them, so that each is seen in all rolls.
@@ -319,7 +323,15 @@ def isolated_sources(t):
     return sky.isolated_sources(t("manifest"), 800.0)
 
 
-@query("separated_top_n", "SELECT catalog_index, mag FROM {manifest} a WHERE NOT EXISTS (SELECT 1 FROM {manifest} b WHERE a.sca = b.sca AND a.ord = b.ord AND a.catalog_index <> b.catalog_index AND sqrt(pow(a.xsca - b.xsca, 2) + pow(a.ysca - b.ysca, 2)) <= 300 AND (b.mag < a.mag OR (b.mag = a.mag AND b.catalog_index < a.catalog_index))) ORDER BY mag, catalog_index LIMIT 40")
+#: The greedy pick one source at a time: the k-th brightest of each detector and order against all that stayed before it.
+PICK = """WITH RECURSIVE m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY sca, ord ORDER BY mag, catalog_index) AS k FROM {manifest}),
+pick AS (SELECT sca, ord, k, catalog_index, mag, true AS stays, [struct_pack(x := xsca, y := ysca)] AS before FROM m WHERE k = 1
+UNION ALL SELECT sca, ord, k, catalog_index, mag, stays, CASE WHEN stays THEN list_append(before, struct_pack(x := xsca, y := ysca)) ELSE before END
+FROM (SELECT m.*, p.before, len([q FOR q IN p.before IF sqrt(pow(q.x - m.xsca, 2) + pow(q.y - m.ysca, 2)) <= 300]) = 0 AS stays FROM pick p JOIN m ON m.sca = p.sca AND m.ord = p.ord AND m.k = p.k + 1))
+SELECT catalog_index, mag FROM pick WHERE stays ORDER BY mag, catalog_index LIMIT 40"""
+
+
+@query("separated_top_n", PICK)
 def separated_top_n(t):
     return sky.separated_top_n(t("manifest"), 40, 300.0)
 

@@ -67,6 +67,14 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """``df`` written as a table bucketed and sorted by its keys, under the shared folder; the session's catalog knows it by a name of its own."""
+    path = shared_folder(df.sparkSession)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def _fields(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
     """Blank-separated words of each line that is not empty or a comment; with a header, without the first line of each file."""
     lines = spark.read.schema("value string").csv(path, sep="\x01", header=True) if header else spark.read.text(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.functions import scalar as S
-from skyloom.operators import cuts, footprint, pixels, quality, sky, spectra
+from skyloom.operators import cuts, fits, footprint, pixels, quality, sky, spectra
 from skyloom.operators.quantiles import exact_quantiles, ranks, rows_before
 from skyloom.sources import readers
 
@@ -206,7 +206,7 @@ def test_isolated_ladder_and_separated(spark):
     assert got == [(5, 800.0), (6, 800.0), (6, 800.0)]
     crowd = df.filter("catalog_index < 5")
     assert sorted((r["catalog_index"], r["radius"]) for r in sky.isolated_sources(crowd, 800.0).collect()) == [(3, 200.0), (4, 200.0)]
-    assert [r["catalog_index"] for r in sky.separated_top_n(df.filter("catalog_index < 6"), 9, 300.0).collect()] == [5, 4, 2]
+    assert [r["catalog_index"] for r in sky.separated_top_n(df.filter("catalog_index < 6"), 9, 300.0).collect()] == [5, 4, 2]  # 3 is near 4, and 1 near 2
 
 
 def test_interpolation_of_clustered_samples(spark):
@@ -236,3 +236,76 @@ def test_cells_miss_no_detector(spark):
     got = footprint.detector_overlap(src, calibration, waves).select("id", "sca", "ord")
     found = sorted(map(tuple, got.collect()))
     assert found == sorted(map(tuple, want.collect())) and len(found) > 500
+
+
+def test_separated_equals_greedy_pick(spark):
+    """Crowded places, ties in brightness, repeated rows, chains of neighbours, missing values."""
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(1, 3)), "1", float(rng.uniform(0, 900)), float(rng.uniform(0, 900)), float(rng.integers(0, 40))) for i in range(400)]
+    rows += [(1000 + i, 3, "1", 90.0 * i, 0.0, float(i)) for i in range(60)] + [(1059, 3, "1", 90.0 * 59, 0.0, 59.0)]
+    stays: list[tuple] = []
+    for row in sorted(rows, key=lambda x: (x[5], x[0])):
+        if all(k[0] == row[0] or k[1:3] != row[1:3] or math.hypot(k[3] - row[3], k[4] - row[4]) > 100 for k in stays):
+            stays.append(row)
+    extra = [(2000, 1, "1", None, 5.0, 0.5), (2001, 1, "1", 5.0, 5.0, None)]
+    df = spark.createDataFrame(rows + extra, "catalog_index long, sca int, ord string, xsca double, ysca double, mag double").withColumn("id", F.lit("clash"))
+    want = sorted([(k[5], k[0]) for k in stays] + [(0.5, 2000)])
+    for n in (1, 7, 60, 10_000):
+        assert [(r["mag"], r["catalog_index"]) for r in sky.separated_top_n(df, n, 100.0).collect()] == want[:n]
+    assert sky.separated_top_n(df.limit(0), 5, 100.0).collect() == []
+
+
+def test_fit_equals_least_squares(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(300, 10))
+    y = x @ np.arange(10) + rng.normal(size=300)
+    df = spark.createDataFrame([(k, x[i].tolist(), float(y[i])) for k in (1, 2) for i in range(300) if i % k == 0], "k int, f array<double>, y double")
+    fit = df.groupBy("k").agg(fits.normal_equations(F.col("f"), 10, F.col("y")).alias("s")).select("k", fits.solved(F.col("s"), 10).alias("w"))
+    assert "Python" not in fit._jdf.queryExecution().executedPlan().toString()
+    for row in fit.collect():
+        assert np.allclose(row["w"], np.linalg.lstsq(x[:: row["k"]], y[:: row["k"]], rcond=None)[0], atol=1e-9)
+    flat = df.withColumn("f", F.array(*[F.lit(1.0)] * 10)).groupBy("k").agg(fits.normal_equations(F.col("f"), 10, F.col("y")).alias("s"))
+    assert flat.select(fits.solved(F.col("s"), 10).alias("w")).first()["w"][0] is None
+
+
+def test_campaigns_meet_without_a_shuffle(spark):
+    keys = ["catalog_index", "sca", "ord", "line_id"]
+    old = spark.range(400).select(F.col("id").alias("catalog_index"), (F.col("id") % 18).alias("sca"), (F.col("id") % 3).alias("ord"), (F.col("id") % 5).alias("line_id"), (F.col("id") * 1.0).alias("x"), F.lit("a").alias("note"))
+    new = old.filter("catalog_index % 7 <> 0").withColumn("x", F.col("x") + F.col("sca")).unionByName(old.filter("catalog_index = 1").withColumn("line_id", F.lit(None)))
+    got = quality.campaigns(readers.bucketed(old, keys, 4), readers.bucketed(new, keys, 4), keys, ["x"])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["catalog_index"], r["x"]) for r in got.collect()) == [(i, float(i % 18)) for i in range(400) if i % 7]
+
+
+def brute_line(image, x, y, half, narrow, core):
+    """Residuals along and across, and flux, from a dense image; None off the image or without flux."""
+    xc, yc = math.floor(x + 0.5), math.floor(y + 0.5)
+    if min(xc, yc) < half or max(xc, yc) + half >= len(image):
+        return None
+    box, out = image[yc - half : yc + half + 1, xc - half : xc + half + 1], []
+    mid = slice(half - narrow, half + narrow + 1)
+    for profile, shift in ((box[:, mid].sum(1), y - yc), (box[mid].sum(0), x - xc)):
+        t = np.arange(2 * half + 1) - half - shift
+        near = np.abs(t) <= core
+        e = np.clip(profile - np.polyval(np.polyfit(t[~near], profile[~near], 1), t), 0, None)[near]
+        if e.sum() <= 1e-6:
+            return None
+        out += [(e * t[near]).sum() / e.sum(), e.sum()]
+    return out[0], out[2], out[1]
+
+
+def test_measured_lines_equal_dense_image(spark):
+    rng = np.random.default_rng(11)
+    image = np.where(rng.uniform(size=(50, 50)) < 0.4, rng.uniform(0, 3, (50, 50)), 0.0)
+    image[20:24, 30:33] += 50
+    image[33:, :17] = 0
+    pix = [(1, j, i, float(v)) for (j, i), v in np.ndenumerate(image) if v] + [(2, 3, 3, 1.0), (1, 21, 31, 25.0), (1, 21, 31, -25.0)]
+    places = [(k, 1, float(rng.uniform(-3, 53)), float(rng.uniform(-3, 53))) for k in range(300)] + [(300, 1, 31.2, 21.5), (301, 1, 8.0, 41.0), (302, 2, 25.0, 25.0), (303, 9, 25.0, 25.0), (304, 1, None, 3.0)]
+    at = spark.createDataFrame(places, "id int, sca int, x double, y double")
+    df = spark.createDataFrame(pix, "sca int, y int, x int, value_a double")
+    got = {r["id"]: (r["along"], r["across"], r["flux"]) for r in pixels.measure(pixels.profiles(at, df, 50, 8, 3), 8, 4).collect()}
+    want = {k: brute_line(image, x, y, 8, 3, 4) for k, s, x, y in places if s == 1 and x is not None}
+    want = {k: v for k, v in want.items() if v}
+    assert set(got) == set(want) and len(want) > 50 and 300 in got
+    assert all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+    assert pixels.measure(pixels.profiles(at, df.limit(0), 50, 8, 3), 8, 4).collect() == []
