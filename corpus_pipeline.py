@@ -17,10 +17,28 @@ from skyloom.llm.scratch import bounded_batches, written
 FEW_IDS = 500_000
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with every row's key in doc_id: its id, or for rows without one a number beyond all ids; the id itself moves to ``_own``.
+
+    Ids are integers, far enough below 2**63 for the numbers to follow. Rows
+    without an id are written once with their numbers, so that a lost executor
+    does not number them anew.
+    """
+    lost = docs.filter("doc_id is null")
+    with_ids = docs.filter("doc_id is not null").withColumn("_own", F.col("doc_id"))
+    if lost.isEmpty():
+        return with_ids
+    last = docs.agg(F.max("doc_id")).first()[0]
+    first = 0 if last is None else max(last + 1, 0)
+    numbered = written(lost.withColumn("_own", F.col("doc_id")).withColumn("doc_id", F.lit(first) + F.monotonically_increasing_id()), "numbered")
+    return with_ids.unionByName(numbered)
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``ids``; rows without an id stay."""
+    """Rows of :func:`keyed` documents whose key is not in ``ids``, with their own ids again."""
     ids = written(ids.select("doc_id").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_anti")
+    return left.withColumn("doc_id", F.col("_own")).select(*(c for c in docs.columns if c != "_own"))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +49,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked by five-word shingles at 0.8."""
+    """Keeps the document with the smallest id of each group linked by five-word shingles at 0.8; those without an id come after all others."""
+    docs = keyed(docs)
     return without(docs, neardup.near_duplicates(docs, shingle=5, percent=80).filter(~F.col("kept")))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, also edited."""
+    docs = keyed(docs)
     return without(docs, decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
