@@ -65,3 +65,18 @@ def test_empty_tables_null_ids_and_repeats(spark, tmp_path):
         bench.write.parquet(f"{at}/benchmark.parquet")
         out = corpus_pipeline.run(spark, at).collect()
         assert len(out) == count and all(r["round_trip"] for r in out)
+
+
+def test_rows_without_an_id_are_judged_like_others(spark, tmp_path):
+    """Copies among themselves and of rows with ids go, as do benchmark passages; one of each group stays, with its null id."""
+    spark.createDataFrame([(1, prose(9000, 25))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    some = documents(spark, [prose(1, 40), prose(2, 40)])
+    texts = [prose(1, 40), prose(3, 40), prose(3, 40), prose(9000, 25), prose(4, 40), None]
+    lost = spark.createDataFrame([(None, text, None, None, None) for text in texts], some.schema)
+    docs = some.union(lost)
+    single = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert single.columns == docs.columns
+    rows = sorted(((r["doc_id"], r["text"]) for r in single.collect()), key=str)
+    assert rows == sorted([(0, prose(1, 40)), (1, prose(2, 40)), (None, prose(3, 40)), (None, prose(9000, 25)), (None, prose(4, 40)), (None, None)], key=str)
+    clean = corpus_pipeline.decontaminated(spark, single, str(tmp_path))
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == [x for x in rows if x[1] != prose(9000, 25)]
