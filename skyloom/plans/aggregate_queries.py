@@ -154,12 +154,13 @@ def snr_table(t):
     return df.select("mag", "n_exp", r(F.col("s") * n / F.sqrt(F.col("s") * n + 100 * n), 4).alias("snr"))
 
 
-@query("counts_per_bin", f"SELECT vec_id, round(sum(f * sens * 200), 4) AS counts FROM {LONG} JOIN {{sensitivity}} USING (i) WHERE sca = 1 AND ord = '1' GROUP BY vec_id")
+@query("counts_per_bin", f"SELECT vec_id, sca, ord, round(sum(f * sens * 200), 4) AS counts FROM {LONG} JOIN {{sensitivity}} USING (i) GROUP BY ALL")
 def counts_per_bin(t):
-    sens = t("sensitivity").filter("sca = 1 and ord = '1'").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "sens"))), lambda x: x["sens"]).alias("s"))
+    """Counts of each spectrum through each detector's and order's curve, of which there are 54."""
+    sens = t("sensitivity").groupBy("sca", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "sens"))), lambda x: x["sens"]).alias("s"))
     df = t("spectra").crossJoin(F.broadcast(sens))
     c = F.zip_with(spectra.flux_array("embedding"), "s", lambda f, s: f * s * 200)
-    return df.select("vec_id", r(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4).alias("counts"))
+    return df.select("vec_id", "sca", "ord", r(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4).alias("counts"))
 
 
 @query("response_peak", "SELECT curve, round(max(sens), 6) AS peak, arg_max(wavelength, sens * 1e9 + wavelength) AS at, round(avg(sens) / max(sens), 6) AS relative FROM {curves} GROUP BY curve")
@@ -438,11 +439,17 @@ def cutout_along_trace(t):
     return P.cutout(traces(t), t("pixels"), 2).select("src", "i", "k", r(F.col("value"), 4).alias("value"))
 
 
-EXTRACT = f"SELECT src, i, round(sum(coalesce(value_a, 0)) * 2.5, 4) AS flux FROM {TR} t CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) o(k) LEFT JOIN {{pixels}} p ON p.sca = t.sca AND p.x = t.tx + k AND p.y = t.ty GROUP BY src, i"
+#: One trace for each source.
+ALL_TR = "(SELECT catalog_index AS src, i, (1 + catalog_index % 18)::INT AS sca, ((i + catalog_index) % 64)::INT AS ty, i AS tx FROM {sources}, (SELECT unnest(range(0, 64))::INT AS i))"
+EXTRACT = f"SELECT src, i, round(sum(coalesce(value_a, 0)) * 2.5, 4) AS flux FROM {ALL_TR} t CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) o(k) LEFT JOIN {{pixels}} p ON p.sca = t.sca AND p.x = t.tx + k AND p.y = t.ty GROUP BY src, i"
 
 
 def extracted(t):
-    return P.cutout(traces(t), t("pixels"), 2).groupBy("src", "i").agg(r(F.sum("value") * 2.5, 4).alias("flux"))
+    """Spectrum of each source: sums across its trace."""
+    c = F.col("catalog_index")
+    df = t("sources").select(c.alias("src"), (1 + c % 18).cast("int").alias("sca"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
+    df = df.withColumn("ty", ((F.col("i") + F.col("src")) % 64).cast("int")).withColumn("tx", F.col("i"))
+    return P.cutout(df, t("pixels"), 2).groupBy("src", "i").agg(r(F.sum("value") * 2.5, 4).alias("flux"))
 
 
 @query("extract_spectrum", EXTRACT)
@@ -452,7 +459,7 @@ def extract_spectrum(t):
 
 @query("expected_vs_extracted", f"SELECT src, count(*) AS n, round(quantile_cont(flux - 100 * f, 0.5), 4) AS level FROM ({EXTRACT}) e JOIN {LONG} g ON g.vec_id = e.src AND g.i = e.i GROUP BY src")
 def expected_vs_extracted(t):
-    g = t("spectra").select(F.col("vec_id").cast("int").alias("src"), F.posexplode(spectra.flux_array("embedding")).alias("i", "f"))
+    g = t("spectra").select(F.col("vec_id").alias("src"), F.posexplode(spectra.flux_array("embedding")).alias("i", "f"))
     return extracted(t).join(g, ["src", "i"]).groupBy("src").agg(F.count("*").alias("n"), r(F.percentile(F.col("flux") - 100 * F.col("f"), F.lit(0.5)), 4).alias("level"))
 
 
