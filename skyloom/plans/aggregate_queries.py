@@ -114,24 +114,25 @@ def sed_scrub_report(t):
     return df.filter("zeroed > 0")
 
 
-RATE = "(SELECT sca, mag, sum(p) AS rate FROM (SELECT sca, mag, (lead(wavelength) OVER w - wavelength) * (lead(v) OVER w + v) / 2 AS p FROM (SELECT sca, m.mag, wavelength, sens * 3.631e-20 * 2.99792458e18 / (wavelength * wavelength) * pow(10, -0.4 * m.mag) * 1e12 AS v FROM {sensitivity}, (SELECT DISTINCT floor(mag) AS mag FROM {sources} WHERE mag < 22) m WHERE ord = '1') WINDOW w AS (PARTITION BY sca, mag ORDER BY wavelength)) GROUP BY sca, mag)"
+RATE = "(SELECT sca, ord, mag, sum(p) AS rate FROM (SELECT sca, ord, mag, (lead(wavelength) OVER w - wavelength) * (lead(v) OVER w + v) / 2 AS p FROM (SELECT sca, ord, m.mag, wavelength, sens * 3.631e-20 * 2.99792458e18 / (wavelength * wavelength) * pow(10, -0.4 * m.mag) * 1e12 AS v FROM {sensitivity}, (SELECT DISTINCT floor(mag) AS mag FROM {sources}) m) WINDOW w AS (PARTITION BY sca, ord, mag ORDER BY wavelength)) GROUP BY ALL)"
 
 
 def rates(t):
-    mags = t("sources").filter("mag < 22").select(F.floor("mag").cast("double").alias("mag")).distinct()
+    """Count rate of a flat source of each whole magnitude, on each detector and order."""
+    mags = small(t("sources").select(F.floor("mag").cast("double").alias("mag")).distinct())
     v = F.col("sens") * S.flat_ab_flam("wavelength", "mag") * 1e12
-    df = t("sensitivity").filter("ord = '1'").crossJoin(F.broadcast(mags)).withColumn("v", v)
-    return spectra.trapezoid(df, ["sca", "mag"], "wavelength", "v", "rate")
+    return spectra.trapezoid(t("sensitivity").crossJoin(mags).withColumn("v", v), ["sca", "ord", "mag"], "wavelength", "v", "rate")
 
 
-@query("count_rate", f"SELECT sca, mag, round(rate, 3) AS rate FROM {RATE}")
+@query("count_rate", f"SELECT sca, ord, mag, round(rate, 3) AS rate FROM {RATE}")
 def count_rate(t):
-    return rates(t).select("sca", "mag", r(F.col("rate"), 3).alias("rate"))
+    return rates(t).select("sca", "ord", "mag", r(F.col("rate"), 3).alias("rate"))
 
 
-@query("median_over_detectors", f"SELECT mag, round(median(rate), 3) AS rate FROM {RATE} GROUP BY mag")
+@query("median_over_detectors", f"SELECT ord, mag, round(median(rate), 3) AS rate FROM {RATE} GROUP BY ord, mag")
 def median_over_detectors(t):
-    return rates(t).groupBy("mag").agg(r(F.percentile("rate", F.lit(0.5)), 3).alias("rate"))
+    """Over the 18 detectors, so each group has as many values."""
+    return rates(t).groupBy("ord", "mag").agg(r(F.percentile("rate", F.lit(0.5)), 3).alias("rate"))
 
 
 AT_REF = "(SELECT sca, ord, y0 + (15510 - x0) / (x1 - x0) * (y1 - y0) AS sens FROM (SELECT sca, ord, wavelength AS x0, sens AS y0, lead(wavelength) OVER w AS x1, lead(sens) OVER w AS y1 FROM {sensitivity} WINDOW w AS (PARTITION BY sca, ord ORDER BY wavelength)) WHERE 15510 >= x0 AND 15510 < x1)"
@@ -146,12 +147,12 @@ def rate_per_resel(t):
     return df.select("sca", "ord", "mag", r(F.col("value") * S.flat_ab_flam("at", "mag") * 1e12 * 20, 5).alias("rate"))
 
 
-@query("snr_table", f"SELECT mag, n_exp, round(s * n_exp / sqrt(s * n_exp + 100 * n_exp), 4) AS snr FROM (SELECT mag, median(rate) * 190 AS s FROM {RATE} GROUP BY mag), (VALUES (1), (8), (32)) e(n_exp)")
+@query("snr_table", f"SELECT ord, mag, n_exp, round(s * n_exp / sqrt(s * n_exp + 100 * n_exp), 4) AS snr FROM (SELECT ord, mag, median(rate) * 190 AS s FROM {RATE} GROUP BY ord, mag), (VALUES (1), (8), (32)) e(n_exp)")
 def snr_table(t):
-    s = rates(t).groupBy("mag").agg((F.percentile("rate", F.lit(0.5)) * 190).alias("s"))
+    s = rates(t).groupBy("ord", "mag").agg((F.percentile("rate", F.lit(0.5)) * 190).alias("s"))
     df = s.withColumn("n_exp", F.explode(F.array(F.lit(1), F.lit(8), F.lit(32))))
     n = F.col("n_exp")
-    return df.select("mag", "n_exp", r(F.col("s") * n / F.sqrt(F.col("s") * n + 100 * n), 4).alias("snr"))
+    return df.select("ord", "mag", "n_exp", r(F.col("s") * n / F.sqrt(F.col("s") * n + 100 * n), 4).alias("snr"))
 
 
 @query("counts_per_bin", f"SELECT vec_id, sca, ord, round(sum(f * sens * 200), 4) AS counts FROM {LONG} JOIN {{sensitivity}} USING (i) GROUP BY ALL")
