@@ -1,7 +1,9 @@
 """Joins on crowded skies and repeated places: equal to brute force, without a broadcast of what a plan repeats, and without all pairs."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from skyloom.functions import scalar as S
 from skyloom.operators import sky
 
 PLACED = "catalog_index long, sca int, ord string, xsca double, ysca double, mag double"
@@ -35,3 +37,22 @@ def test_counted_sides_are_not_broadcast_by_estimate(spark, monkeypatch):
     monkeypatch.setattr(sky, "FEW", 10)
     got = sky.cone_join(many, few, 0.5)
     assert "BroadcastHashJoin" not in plan(got) and got.count() == 30
+
+
+def crowded(rng, n, names):
+    """Half of the rows at three places, half of the rest within a thousandth of a degree."""
+    at = np.concatenate([np.repeat(rng.uniform(10, 11, (3, 2)), n // 6, 0), 10.5 + rng.uniform(0, 1e-3, (n // 4, 2)), rng.uniform(10, 11, (n // 4, 2))])
+    return [(int(i), float(x), float(y - 10)) for i, (x, y) in zip(rng.permutation(len(at)), at, strict=True)], f"{names[0]} long, {names[1]} double, {names[2]} double"
+
+
+def test_nearest_match_searches_places_once_and_small_first(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    cat = spark.createDataFrame(*crowded(rng, 1200, ("catalog_index", "ra", "dec")))
+    targets = spark.createDataFrame(*crowded(rng, 600, ("k", "ra0", "dec0")))
+    pairs, join = [], sky.cone_join
+    monkeypatch.setattr(sky, "cone_join", lambda *a: (pairs.append(join(*a).count()), join(*a))[1])
+    got = {r["k"]: (r["sep_arcsec"], r["catalog_index"]) for r in sky.nearest_match(targets, cat, "k").collect()}
+    sep = (S.haversine("ra", "dec", "ra0", "dec0")).alias("sep")
+    want = {r["k"]: (r["m"]["sep"] * 3600, r["m"]["catalog_index"]) for r in targets.crossJoin(cat).groupBy("k").agg(F.min(F.struct(sep, "catalog_index")).alias("m")).collect()}
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    assert sum(pairs) < 20 * 1800  # all pairs within the first radius: over 100,000
