@@ -56,3 +56,16 @@ def test_nearest_match_searches_places_once_and_small_first(spark, monkeypatch):
     want = {r["k"]: (r["m"]["sep"] * 3600, r["m"]["catalog_index"]) for r in targets.crossJoin(cat).groupBy("k").agg(F.min(F.struct(sep, "catalog_index")).alias("m")).collect()}
     assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
     assert sum(pairs) < 20 * 1800  # all pairs within the first radius: over 100,000
+
+
+def test_nearest_within_searches_places_once_and_small_first(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    b = spark.createDataFrame(*crowded(rng, 1200, ("id_b", "ra_b", "dec_b")))
+    a = spark.createDataFrame(*crowded(rng, 600, ("id_a", "ra_a", "dec_a")))
+    pairs, join = [], sky.pairs_within
+    monkeypatch.setattr(sky, "pairs_within", lambda *x: (pairs.append(join(*x).count()), join(*x))[1])
+    got = sorted(map(tuple, sky.nearest_within(a, b, 0.05).collect()))
+    d = F.sqrt(F.pow((F.col("ra_a") - F.col("ra_b")) * F.cos(F.radians("dec_a")), 2) + F.pow(F.col("dec_a") - F.col("dec_b"), 2)).alias("d")
+    want = a.crossJoin(b).withColumn("d", d).filter("d <= 0.05").groupBy("id_a").agg(F.min(F.struct("d", "id_b")).alias("m")).select("id_a", "m.id_b", "m.d")
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 300
+    assert sum(pairs) < 20 * 1800
