@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.operators.sky import small
+from skyloom.sources.readers import kept
+
 
 def bin_floor(points: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Sum of weights per pixel; array index is floor(x - 0.5), what falls outside is dropped."""
@@ -53,6 +56,15 @@ def cutout(trace: DataFrame, pixels: DataFrame, half: int, value: str = "value_a
     return at.join(pixels.select("sca", "y", "x", F.col(value).alias("_v")), ["sca", "y", "x"], "left").withColumn("value", F.coalesce("_v", F.lit(0.0)))
 
 
+def sums_across(pixels: DataFrame, half: int, value: str = "value_a") -> DataFrame:
+    """(sca, y, x, total): at each place, the sum of the (2 half + 1) values across; places without a pixel among these are absent.
+
+    At most (2 half + 1) rows a pixel, however many traces run over the image; written, as each trace reads it.
+    """
+    x = F.explode(F.sequence(F.col("x") - half, F.col("x") + half)).alias("x")
+    return kept(pixels.select("sca", "y", F.col(value).alias("_v"), x).groupBy("sca", "y", "x").agg(F.sum("_v").alias("total")))
+
+
 def tiles(pixels: DataFrame, size: int, halo: int, value: str = "value_a") -> DataFrame:
     """(sca, ty, tx, rows): dense tiles of ``size`` pixels with a halo around, as arrays of rows; absent pixels are 0, tiles without pixels absent.
 

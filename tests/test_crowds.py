@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import scalar as S
 from skyloom.operators import sky
+from skyloom.plans import aggregate_queries
 
 PLACED = "catalog_index long, sca int, ord string, xsca double, ysca double, mag double"
 
@@ -69,3 +70,21 @@ def test_nearest_within_searches_places_once_and_small_first(spark, monkeypatch)
     want = a.crossJoin(b).withColumn("d", d).filter("d <= 0.05").groupBy("id_a").agg(F.min(F.struct("d", "id_b")).alias("m")).select("id_a", "m.id_b", "m.d")
     assert got == sorted(map(tuple, want.collect())) and len(got) > 300
     assert sum(pairs) < 20 * 1800
+
+
+def test_extraction_makes_one_row_a_sample(spark):
+    """Fluxes equal a loop's, also for repeated ids and absent pixels; samples are neither repeated nor shuffled."""
+    rng = np.random.default_rng(24)
+    pix = {(int(s), int(y), int(x)): float(rng.integers(1, 50)) for s, y, x in zip(rng.integers(1, 19, 9000), rng.integers(0, 64, 9000), rng.integers(0, 64, 9000), strict=True)}
+    ids = [*range(40), 39, 39]
+    views = {
+        "sources": spark.createDataFrame([(i,) for i in ids], "catalog_index long"),
+        "pixels": spark.createDataFrame([(*k, v) for k, v in pix.items()], "sca int, y int, x int, value_a double"),
+        "spectra": spark.createDataFrame([(i, [0.5, -1.5, 2.5]) for i in range(30, 60)], "vec_id long, embedding array<float>"),
+    }
+    out = aggregate_queries.extract_spectrum(views.__getitem__)
+    want = {(c, i): ids.count(c) * 2.5 * sum(pix.get((1 + c % 18, (i + c) % 64, i + k), 0.0) for k in range(-2, 3)) for c in ids for i in range(64)}
+    assert {(r["src"], r["i"]): r["flux"] for r in out.collect()} == want and out.count() == len(want)
+    assert plan(out).split("Generate explode")[0].count("Exchange hashpartitioning") == 0  # above the samples, nothing is shuffled
+    level = {r["src"]: (r["n"], r["level"]) for r in aggregate_queries.expected_vs_extracted(views.__getitem__).collect()}
+    assert level == {c: (3, float(np.median([want[c, i] - 100 * f for i, f in enumerate((0.5, 1.5, 2.5))]))) for c in range(30, 40)}
