@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import scalar as S
+from skyloom.operators.quantiles import numbered
 from skyloom.operators.sky import small
 
+#: Rows that a task sorts and writes.
+RANGE = 100_000
+
 
 def cover(points: DataFrame, cell: str, coarsest: int, finest: int, row_bytes: float, target_bytes: float) -> DataFrame:
     """(ord, cell, n_rows, est_bytes, oversize, start, stop): the cells, from ``coarsest`` to ``finest``, that together hold all points.
@@ -55,15 +59,27 @@ def _uniq():
     return F.expr("shiftleft(4L, 2 * ord) + cell")
 
 
+def in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` dealt to tasks of about RANGE rows by ranges of hp_uniq and ``order``, and sorted there: a crowded cell is several tasks' work."""
+    ranges = max(1, -(-rows.count() // RANGE))
+    return rows.repartitionByRange(ranges, "hp_uniq", *order).sortWithinPartitions("hp_uniq", *order)
+
+
+def in_cells(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with ``hp_row``, a row's place in its cell (ties of ``order`` in any order)."""
+    at = numbered(rows, ["hp_uniq", order], "_at")
+    first = at.groupBy("hp_uniq").agg(F.min("_at").alias("_first"))
+    return at.join(small(first), "hp_uniq").withColumn("hp_row", (F.col("_at") - F.col("_first")).cast("int")).select(*rows.columns, "hp_row")
+
+
 def write_cells(rows: DataFrame, path: str, key: str, order: str) -> None:
     """``rows`` (with hp_uniq) as files by cell, sorted within: ``hp_row`` is the row's place in its cell. Beside them, what was written.
 
     The notes have each cell's rows and the order-free checksum of their
-    contents. A cell holds what the plan lets it hold, so a task's share is
-    bounded by the plan's target.
+    contents. Rows that bring their ``hp_row`` (see :func:`in_cells`, best made
+    before wide columns are joined) keep it. No task holds a whole cell.
     """
-    numbered = rows.withColumn("hp_row", F.row_number().over(Window.partitionBy("hp_uniq").orderBy(order)) - 1)
-    numbered.repartition("hp_uniq").sortWithinPartitions("hp_uniq", "hp_row").write.partitionBy("hp_uniq").parquet(f"{path}/rows")
+    in_ranges(rows if "hp_row" in rows.columns else in_cells(rows, order), ["hp_row"]).write.partitionBy("hp_uniq").parquet(f"{path}/rows")
     summed(rows, key).withColumnRenamed("n", "noted").write.parquet(f"{path}/notes")
 
 
@@ -75,7 +91,7 @@ def summed(rows: DataFrame, key: str) -> DataFrame:
 
 def replace_cells(rows: DataFrame, path: str) -> None:
     """Replace the stored cells that ``rows`` (as stored, with hp_row) holds; others, and the notes, stay."""
-    rows.repartition("hp_uniq").write.partitionBy("hp_uniq").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{path}/rows")
+    in_ranges(rows, ["hp_row"]).write.partitionBy("hp_uniq").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{path}/rows")
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:

@@ -72,3 +72,18 @@ def test_ingest_meets_late_and_repeated_files(spark):
         make(rows)
         incremental_ingest(spark, f"{root}/new", f"{root}/done", f"{root}/state", fields, "id")
     assert sorted(r["id"] for r in spark.read.parquet(f"{root}/done").collect()) == [1, 2, 3]
+
+
+def test_a_crowded_cell_is_written_by_several_tasks(spark, points, monkeypatch):
+    monkeypatch.setattr(cells, "RANGE", 100)
+    plan = readers.kept(cells.cover(points, "fine", LOW, HIGH, 10.0, 500.0))
+    rows = cells.placed(points, "fine", plan, LOW, HIGH).select("hp_uniq", "id", "v")
+    path = readers.shared_folder(spark)
+    cells.write_cells(rows, path, "id", "id")
+    assert cells.verify(spark, path, plan, rows, "id").filter("not ok").count() == 0
+    found = cells.stored(spark, path).select("hp_uniq", "hp_row", "id", F.input_file_name().alias("f")).collect()
+    crowd = [r for r in found if r["hp_uniq"] == Counter(r["hp_uniq"] for r in found).most_common(1)[0][0]]
+    assert len(crowd) >= 300 and len({r["f"] for r in crowd}) >= 3
+    assert max(Counter(r["f"].rsplit("/", 1)[1].split("-c")[0] for r in found).values()) < 200  # files of a task share a name
+    for cell in {r["hp_uniq"] for r in found}:
+        assert [r["hp_row"] for r in sorted((r for r in found if r["hp_uniq"] == cell), key=lambda r: r["id"])] == list(range(sum(r["hp_uniq"] == cell for r in found)))
