@@ -11,9 +11,10 @@ the chance that none is, is about 2e-5.)
 Pairs that share a key are not written out. Equal sets are one node. In each
 key's group every member is linked to the first, if confirmed; in groups that
 then hold several components, members of others to one drawn by hash. Where
-several are still left, pairs across components are compared, in packs; members
-of a crowded group are first grouped anew, by their rarest shingles. This loses
-no link that matters for the components, and a group never meets in one task.
+several are still left, pairs across components are compared; members of
+crowded groups, of any size, go down prefix trees of their sets instead
+(``ngram_join``), so that no pair of theirs is written. This loses no link
+that matters for the components, and a group never meets in one task.
 """
 
 from __future__ import annotations
@@ -24,45 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.graph import components
+from skyloom.llm.ngram_join import by_prefix, links_across
 from skyloom.llm.scratch import written
-from skyloom.llm.textops import PLAIN_WORD, U, eights, mix, slices, spans_hash, windows, words
+from skyloom.llm.textops import U, mix, shingled, slices
 
 CHUNKS, WIDTH, ERRORS = 8, 5, 1
 SYMBOLS = CHUNKS * WIDTH
 PACKED = [f"s{i}" for i in range(SYMBOLS // 4)]
 #: Up to so many ids are sent to every task; beyond, the join shuffles.
 FEW_IDS = 500_000
-#: Members of one key's group in one pack; packs are compared two at a time.
+#: Members of a group that are compared two by two; larger groups are crowded.
 BLOCK = 512
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * U(2) + U(1)
 _ADD = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 
 
-def _sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each document, sorted, in one array, and where each set begins."""
-    n = len(off) - 1
-    start, end, doc = words(data, off, PLAIN_WORD)
-    h = spans_hash(eights(data, True), start, end)
-    g, at = windows(h, doc, size)
-    first = np.searchsorted(doc, np.arange(n + 1))
-    begin = np.searchsorted(doc[at], np.arange(n + 1))
-    out = []
-    for i in range(n):
-        if first[i] == first[i + 1]:
-            out.append(np.zeros(0, U))
-        elif first[i + 1] - first[i] < size:
-            x = U(0x1234567)
-            few = np.array([x], U)
-            for w in h[first[i] : first[i + 1]]:
-                few = mix(few * U(0x9E3779B97F4A7C15) + w)
-            out.append(few)
-        else:
-            out.append(np.unique(g[begin[i] : begin[i + 1]]))
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
-    return (np.concatenate(out) if out else np.zeros(0, U)), bounds
-
-
 def signatures(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``n_shingles``, ``h1, h2`` (128-bit hash of the set), and the signature, four symbols in each of PACKED.
 
@@ -72,7 +50,7 @@ def signatures(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for rows, data, off in slices(batches, "_text"):
-            values, bounds = _sets(data, off, shingle)
+            values, bounds = shingled(data, off, shingle)
             size = np.diff(bounds)
             has = np.flatnonzero(size)
             begin = bounds[:-1][has]
@@ -118,7 +96,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str = "d
 
     def run(batches):
         for rows, data, off in slices(batches, "_text"):
-            values, bounds = _sets(data, off, shingle)
+            values, bounds = shingled(data, off, shingle)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))], ["node", "set"])
 
     return mine.mapInArrow(run, "node long, set array<long>")
@@ -129,70 +107,42 @@ def _symbols(packed: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(packed.astype("<i8")).view("<u2")
 
 
-def near_members(packs: DataFrame, percent: int) -> DataFrame:
-    """(key, part, other, node, component): members of two packs (left, right) with a partner in another component.
+def near_members(groups: DataFrame, percent: int) -> DataFrame:
+    """(key, node, component): members of groups (key, slot, members) with a partner in another component.
 
-    A partner's size allows the similarity, and a key of signatures (slot 0 or
-    more) is the first that the two share, so that a pair counts in one group
-    only.
+    A partner's size allows the similarity, and the group's key is the first
+    that the two share, so that a pair counts in one group only.
     """
 
-    def unpack(column):
-        off = column.offsets.to_numpy()
-        f = column.values.flatten()
-        node, component, n = (x.to_numpy() for x in f[:3])
-        return off, (node, component, n, _symbols(np.stack([x.to_numpy() for x in f[3:]], axis=1)))
-
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lo, left = unpack(batch.column(0))
-            ro, right = unpack(batch.column(1))
-            keys, part, other, slots = (batch.column(i).to_numpy() for i in range(2, 6))
-            found: list[tuple] = []
+            keys, slots = (batch.column(i).to_numpy() for i in range(2))
+            off, fields = batch.column(2).offsets.to_numpy(), batch.column(2).values.flatten()
+            node, comp, size = (x.to_numpy() for x in fields[:3])
+            sig = _symbols(np.stack([x.to_numpy() for x in fields[3:]], axis=1))
+            found = []
             for r in range(batch.num_rows):
-                nodes, comps, sizes, sigs = (x[ro[r] : ro[r + 1]] for x in right)
-                hit: dict[int, int] = {}
-                for at in range(lo[r], lo[r + 1], 128):
-                    node, comp, size, sig = (x[at : min(at + 128, lo[r + 1])] for x in left)
-                    small, large = np.minimum(size[:, None], sizes), np.maximum(size[:, None], sizes)
-                    i, j = np.nonzero((comp[:, None] != comps) & (100 * small >= percent * large))
+                end = off[r + 1]
+                near = np.zeros(end - off[r], bool)
+                for at in range(off[r], end, 128):
+                    some, rest = slice(at, min(at + 128, end)), slice(at, end)
+                    small, large = np.minimum(size[some, None], size[rest]), np.maximum(size[some, None], size[rest])
+                    i, j = np.nonzero((comp[some, None] != comp[rest]) & (100 * small >= percent * large))
                     for k in range(0, len(i), 1 << 16):
-                        x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                        if slots[r] >= 0:
-                            differ = (sig[x] != sigs[y]).reshape(-1, CHUNKS, WIDTH)
-                            first = (differ.sum(2) <= ERRORS).argmax(1)
-                            spot = differ[np.arange(len(x)), first].argmax(1)
-                            own = first * WIDTH + spot == slots[r]
-                            x, y = x[own], y[own]
-                        hit |= dict(zip(node[x].tolist(), comp[x].tolist(), strict=True)) | dict(zip(nodes[y].tolist(), comps[y].tolist(), strict=True))
-                found += [(keys[r], part[r], other[r], n, c) for n, c in hit.items()]
-            cols = list(zip(*found, strict=True)) if found else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "part", "other", "node", "component"])
-
-    return packs.select("left", "right", "key", "part", "other", "slot").mapInArrow(run, "key long, part long, other long, node long, component long")
-
-
-def by_rare_shingles(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, slot, node, component, size): the nodes of crowded groups (node, component) grouped anew, by shingles; only groups of several components.
-
-    Over one order of all shingles, the rarest first, two sets that are similar
-    enough share one of the first n - ceil(percent n / 100) + 1 of each. What
-    many texts have in common, such as a frame around different contents, comes
-    last in that order, so these groups are small where those by signature were
-    not. ``slot`` is -1.
-    """
-    own = written(crowded.distinct().join(sets, "node"), "crowded")
-    shingles = own.select("node", F.explode("set").alias("key"))
-    common = written(shingles.groupBy("key").agg(F.count("*").alias("shared")).filter("shared > 1"), "common")
-    ordered = shingles.join(common, "key", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("shared", F.lit(1)).alias("shared"), "key"))).alias("all"))
-    n = F.size("all")
-    first = F.slice("all", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
-    rows = ordered.select("node", F.explode(F.filter(first, lambda x: x["shared"] > 1)).alias("x")).select("node", "x.key").join(own.select("node", "component"), "node")
-    rows = written(rows, "rare")
-    mixed = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2")
-    return rows.join(mixed.select("key", "size"), "key").select("key", F.lit(-1).alias("slot"), "node", "component", "size")
+                        x, y = at + i[k : k + (1 << 16)], at + j[k : k + (1 << 16)]
+                        differ = (sig[x] != sig[y]).reshape(-1, CHUNKS, WIDTH)
+                        first = (differ.sum(2) <= ERRORS).argmax(1)
+                        spot = differ[np.arange(len(x)), first].argmax(1)
+                        own = first * WIDTH + spot == slots[r]
+                        near[x[own] - off[r]] = near[y[own] - off[r]] = True
+                found.append(off[r] + np.flatnonzero(near))
+            group = np.repeat(keys, [len(x) for x in found])
+            at = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(node[at], pa.int64()), pa.array(comp[at], pa.int64())], ["key", "node", "component"])
+
+    return groups.select("key", "slot", "members").mapInArrow(run, "key long, node long, component long")
 
 
 def similar_pairs(groups: DataFrame, percent: int) -> DataFrame:
@@ -237,6 +187,15 @@ def similar_pairs(groups: DataFrame, percent: int) -> DataFrame:
     return groups.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
+def among_crowded(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of ``crowded`` (node, component) as far as any links between its nodes do."""
+    links = crowded.select(F.col("component").alias("a"), F.col("node").alias("b")).filter("a <> b")
+    if crowded.isEmpty():
+        return links
+    own = written(sets.join(crowded.select("node"), "node", "left_semi").select("node", F.size("set").cast("long").alias("n"), F.col("set").alias("grams")), "grams")
+    return links_across(*by_prefix(own, percent), links, percent)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough."""
     one = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
@@ -282,19 +241,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     links = links.union(linked(open_.filter("component <> rep_component").select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b"))))
     labels = components(links)
     open_ = across_components(labels).select("key", "slot", "node", "component", "size")
-    crowded = open_.filter(F.col("size") > BLOCK).select("node", "component")
-    if not crowded.isEmpty():
-        open_ = open_.filter(F.col("size") <= BLOCK).union(by_rare_shingles(crowded, sets, percent).select(open_.columns))
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    pack = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).alias("part")
-    packs = open_.join(signed, "node").withColumn("parts", parts).groupBy("key", "slot", "parts", pack).agg(F.collect_list(F.struct("node", "component", "n", *PACKED)).alias("left"))
-    packs = written(packs.withColumn("slot", F.col("slot").cast("long")), "packs")
-    large = packs.filter("parts > 1")
-    others = large.select("key", F.col("part").alias("other"), F.col("left").alias("right"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).filter("part < other")
-    both = packs.select("left", F.col("left").alias("right"), "key", "part", F.col("part").alias("other"), "slot").union(large.join(others, ["key", "part"]).select("left", "right", "key", "part", "other", "slot"))
-    close = written(near_members(both, percent), "close")
-    groups = close.join(sets, "node").groupBy("key", "part", "other").agg(F.collect_list(F.struct("node", "component", "set")).alias("members"))
-    more = written(similar_pairs(groups, percent), "links")
+    crowded = open_.filter(F.col("size") > BLOCK).select("node", "component").distinct()
+    more = among_crowded(written(crowded, "crowded"), sets, percent)
+    members = open_.filter(F.col("size") <= BLOCK).join(signed, "node").groupBy("key", F.col("slot").cast("long").alias("slot")).agg(F.collect_list(F.struct("node", "component", "n", *PACKED)).alias("members"))
+    close = written(near_members(members, percent), "close")
+    groups = close.join(sets, "node").groupBy("key").agg(F.collect_list(F.struct("node", "component", "set")).alias("members"))
+    more = written(similar_pairs(groups, percent).union(more), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
     found = written(nodes.join(labels, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component_id")), "found")

@@ -29,9 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.graph import components
-from skyloom.llm.neardup import _sets
 from skyloom.llm.scratch import written
-from skyloom.llm.textops import U, mix, slices
+from skyloom.llm.textops import U, mix, shingled, slices
 
 #: Share of a set, in percent, that the filter looks at beyond the prefix of the join.
 AHEAD = 10
@@ -58,7 +57,7 @@ def prefixes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
 
     def run(batches):
         for rows, data, off in slices(batches, "_text"):
-            values, bounds = _sets(data, off, shingle)
+            values, bounds = shingled(data, off, shingle)
             n = np.diff(bounds)
             has = np.flatnonzero(n)
             h = np.zeros((2, len(n)), U)
@@ -80,7 +79,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str, text_
 
     def run(batches):
         for rows, data, off in slices(batches, "_text"):
-            values, bounds = _sets(data, off, shingle)
+            values, bounds = shingled(data, off, shingle)
             grams = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(bounds)), grams], ["node", "n", "grams"])
 
@@ -247,6 +246,28 @@ def packed(members: DataFrame, pairs: bool) -> DataFrame:
     return own.withColumn("other", F.greatest("part", "met")).withColumn("part", F.least("part", "met"))
 
 
+def by_prefix(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of sets (node, n, grams): groups (node, n, key, home) by the n-grams in their prefixes, and (node, n, set) of what nodes share, in the global order."""
+    own = F.ceil(F.col("n") * percent / 100)
+    ordered = shared_grams(sets, "grams").groupBy("node", "n").agg(F.sort_array(F.collect_list("key")).alias("set"))
+    ordered = written(ordered.filter(F.size("set") >= own), "ordered")
+    kept = F.slice("set", 1, (F.size("set") - own + 1).cast("int"))
+    postings = ordered.select("node", "n", F.explode(kept).alias("key"), F.element_at(kept, 1).alias("home"))
+    several = postings.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    return written(postings.join(several, "key"), "postings"), ordered.select("node", "n", "set")
+
+
+def links_across(postings: DataFrame, sized: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """``links`` and those that join what components these leave, as far as any link does; groups and sets as :func:`by_prefix` gives them."""
+    for turn in range(2):
+        placed = _open(postings, components(links))
+        drawn = placed.groupBy("key", "component").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "key", F.lit(turn))).alias("x"))
+        drawn = drawn.join(_once(drawn, "component"), "key").select("key", "component", "x.*")
+        links = links.union(written(group_links(packed(drawn.join(sized, ["node", "n"]), False), percent), "links"))
+    placed = _open(postings, components(links))
+    return links.union(written(group_links(packed(placed.join(_once(placed, "node"), "key").join(sized, ["node", "n"]), True), percent), "links"))
+
+
 def linked(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``n_shingles``, ``component_id``, one row for each row of ``docs``.
 
@@ -266,22 +287,10 @@ def linked(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col: str = "
     counts = shared_grams(written(of_nodes, "first"), "first").groupBy("node", "n").agg(F.count("*").alias("c"))
     able = written(counts.filter(F.col("c") >= F.ceil(own * AHEAD / 100)).select("node").distinct(), "able")
     sets = written(whole_sets(docs, able, shingle, id_col, text_col), "sets")
-    ordered = shared_grams(sets, "grams").groupBy("node", "n").agg(F.sort_array(F.collect_list("key")).alias("set"))
-    ordered = written(ordered.filter(F.size("set") >= own), "ordered")
-    kept = F.slice("set", 1, (F.size("set") - own + 1).cast("int"))
-    postings = ordered.select("node", "n", F.explode(kept).alias("key"), F.element_at(kept, 1).alias("home"))
-    several = postings.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    postings = written(postings.join(several, "key"), "postings")
-    sized = ordered.select("node", "n", "set")
+    postings, sized = by_prefix(sets, percent)
     home = postings.filter("key = home").select("node", "n", "key").join(sized, ["node", "n"]).withColumn("component", F.col("node"))
     links = written(group_links(packed(home, False), percent).union(_of_one_id(first, nodes, id_col)), "links")
-    for turn in range(2):
-        placed = _open(postings, components(links))
-        drawn = placed.groupBy("key", "component").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "key", F.lit(turn))).alias("x"))
-        drawn = drawn.join(_once(drawn, "component"), "key").select("key", "component", "x.*")
-        links = links.union(written(group_links(packed(drawn.join(sized, ["node", "n"]), False), percent), "links"))
-    placed = _open(postings, components(links))
-    links = links.union(written(group_links(packed(placed.join(_once(placed, "node"), "key").join(sized, ["node", "n"]), True), percent), "links"))
+    links = links_across(postings, sized, links, percent)
     found = nodes.join(components(links), "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component_id"))
     out = first.select(id_col, "n", "h1", "h2").join(found, ["h1", "h2", "n"], "left")
     return out.select(id_col, F.col("n").alias("n_shingles"), F.when(F.col(id_col).isNotNull(), F.coalesce("component_id", id_col)).alias("component_id"))

@@ -158,6 +158,30 @@ def windows(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return mix(g[at]), at
 
 
+def shingled(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each document, sorted, in one array, and where each set begins."""
+    n = len(off) - 1
+    start, end, doc = words(data, off, PLAIN_WORD)
+    h = spans_hash(eights(data, True), start, end)
+    g, at = windows(h, doc, size)
+    first = np.searchsorted(doc, np.arange(n + 1))
+    begin = np.searchsorted(doc[at], np.arange(n + 1))
+    out = []
+    for i in range(n):
+        if first[i] == first[i + 1]:
+            out.append(np.zeros(0, U))
+        elif first[i + 1] - first[i] < size:
+            x = U(0x1234567)
+            few = np.array([x], U)
+            for w in h[first[i] : first[i + 1]]:
+                few = mix(few * U(0x9E3779B97F4A7C15) + w)
+            out.append(few)
+        else:
+            out.append(np.unique(g[begin[i] : begin[i + 1]]))
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
+    return (np.concatenate(out) if out else np.zeros(0, U)), bounds
+
+
 def by_doc(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, weights=values, minlength=n).astype(np.int64) if len(doc) else np.zeros(n, np.int64)
 

@@ -92,6 +92,28 @@ def test_group_of_several_components_and_packs(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == brute(texts, 2, 80)
 
 
+def test_rows_of_crowded_groups_do_not_multiply(spark, monkeypatch):
+    """However many times BLOCK a group holds, none of its members becomes a row for each part of it."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rows = {}
+
+    def written(df, name):
+        out = keep(df, name)
+        rows[name] = out.count()
+        return out
+
+    keep = neardup.written
+    monkeypatch.setattr(neardup, "written", written)
+    rng = random.Random(11)
+    shared = prose(3, 100)
+    texts = [f"{edited(rng, shared, 0.03)} {prose(2000 + i, 22)}" for i in range(150)]
+    texts += [edited(rng, shared, 0.04) for _ in range(50)]
+    out = neardup.near_duplicates(documents(spark, texts), shingle=2)
+    assert sorted(map(tuple, out.collect())) == brute(texts, 2, 80)
+    assert rows["crowded"] > 0
+    assert rows["close"] <= rows["members"]
+
+
 def test_empty_and_null_ids(spark):
     assert neardup.near_duplicates(documents(spark, []), shingle=5).count() == 0
     docs = documents(spark, ["a b c", "a b c"]).unionByName(spark.createDataFrame([(None, "a b c", None, None, None)], documents(spark, []).schema))
