@@ -20,6 +20,20 @@ def held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
+def terms() -> dict[str, Column]:
+    """What a trace is made of at a place (xf, yf), whatever the wavelength: its reference position, and the coefficients of each power."""
+    out = {"x_ref": S.poly2d("xf", "yf", F.col("x_ij")), "y_ref": S.poly2d("xf", "yf", F.col("y_ij"))}
+    return out | {f"{n}{k}": S.poly2d("xf", "yf", F.col(f"{n}_ijk")[k]) for n in "cd" for k in range(S.POWERS)}
+
+
+def traced(df: DataFrame, wavelength: Column) -> DataFrame:
+    """``df``, which has :func:`terms` of each place, with the pixels px, py of light of a wavelength (micron), made once a row."""
+    c, d = ([F.col(f"{n}{k}") for k in range(S.POWERS)] for n in "cd")
+    df = held(held(df, {"t": S.wl_transform(wavelength, "wl_ref", "kind")}), {"along": S.horner(F.col("t"), d)})
+    px, py = S.mpa_sca(F.col("x_ref") + S.horner(F.col("along"), c), F.col("y_ref") + F.col("along"))
+    return held(df, {"px": px, "py": py})
+
+
 class Bounds:
     """Lower and upper bounds over a cell, as SQL, of columns that are made step by step so that no expression grows."""
 
@@ -80,9 +94,7 @@ def detector_overlap(sources: DataFrame, calibration: DataFrame, waves: tuple[fl
     fine = cells.join(F.broadcast(kept(coarse)), ["cx", "cy"]).join(F.broadcast(calibration), ["sca", "ord"])
     met = kept(cells_met(fine, CELL, waves, low, high))
     pairs = rows.join(small(met), ["gx", "gy"]).join(F.broadcast(calibration), ["sca", "ord"])
-    terms = {"x_ref": S.poly2d("xf", "yf", F.col("x_ij")), "y_ref": S.poly2d("xf", "yf", F.col("y_ij"))}
-    terms |= {f"{n}{k}": S.poly2d("xf", "yf", F.col(f"{n}_ijk")[k]) for n in "cd" for k in range(S.POWERS)}
-    df = held(pairs, terms)
+    df = held(pairs, terms())
     coefficients = {n: [F.col(f"{n}{k}") for k in range(S.POWERS)] for n in "cd"}
     df = held(df, {f"along{w}": S.horner(S.wl_transform(F.lit(wave), "wl_ref", "kind"), coefficients["d"]) for w, wave in enumerate(waves)})
     along = [F.col(f"along{w}") for w in range(len(waves))]

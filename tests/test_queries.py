@@ -43,3 +43,10 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["line_truth", "measure_lines", "cross_profile_peak"])
+def test_lines_are_traced_once(spark, name):
+    """What a place is used for doesn't repeat its trace, which takes one logarithm."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LOG10(") == 1
