@@ -107,6 +107,17 @@ def test_op6_equals_brute_force(out, texts):
     assert sorted(tuple(r[:5]) for r in out("op6_suffix_array_dedup")) == want
 
 
+def test_op6_spans_cut_the_text(out, texts):
+    for i, r in once_each(out("op6_suffix_array_dedup"), texts).items():
+        spans = [tuple(map(int, s.split(":"))) for s in filter(None, r["spans"].split(","))]
+        raw, at, left = (texts[i] or "").encode(), 0, b""
+        for a, z in spans:
+            left, at = left + raw[at:a], z
+        left += raw[at:]
+        assert len(spans) == r["n_spans"] and sum(z - a for a, z in spans) == r["n_removed"]
+        assert hashlib.sha256(left).hexdigest() == r["kept_sha256"]
+
+
 def test_op7_base_equals_brute_force(out, texts):
     for i, r in once_each(out("op7_quality_rules"), texts).items():
         n, *rest = test_rules.brute(texts[i])
