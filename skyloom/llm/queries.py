@@ -49,8 +49,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.repeated_substrings(table(spark, sf_dir, "documents"))
-    spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["stop"])), ",")
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", spans.alias("spans"))
+    listed = lambda runs: F.array_join(F.transform(runs, lambda r: F.concat_ws(":", r["start"], r["stop"])), ",")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", listed("removed").alias("spans"), F.size("passages").cast("long").alias("n_passages"), listed("passages").alias("passages"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

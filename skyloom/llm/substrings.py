@@ -29,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.scratch import written
-from skyloom.llm.textops import U, eights, mix, slices, spans_hash
+from skyloom.llm.textops import PLAIN_WORD, U, eights, grams_hash, mix, rolled, slices, spans_hash, windows, words
 
 LENGTH = 400
 GRAM = 32
+#: Passages are of so many words or more; their anchors are strings of FEW_WORDS words.
+WORDS = 50
+FEW_WORDS = 16
 CROWD = 100
 #: Up to so many row keys are sent to every task; beyond, the join shuffles.
 FEW_IDS = 500_000
@@ -42,16 +45,14 @@ _PIECE = 1 << 23
 _LOW = U((1 << 24) - 1)
 
 
-def _anchors(data: np.ndarray, off: np.ndarray, length: int):
-    """Anchor place, first and last window of each segment, over all documents of a slice (at most 2**24 bytes)."""
-    n = len(data) - GRAM + 1
-    w = length - GRAM + 1
-    empty = np.zeros(0, np.int64)
-    if len(data) < length:
+def _anchors(hashes: np.ndarray, off: np.ndarray, length: int, gram: int):
+    """Anchor place, first and last window of each segment, over all documents of a slice (at most 2**24 symbols); ``hashes`` are of all strings of ``gram`` symbols."""
+    n = len(hashes)
+    w = length - gram + 1
+    if n < w:
+        empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    view = eights(data, False)
-    at = np.arange(n)
-    key = (spans_hash(view, at, at + GRAM) & ~_LOW) | at.astype(U)
+    key = (hashes & ~_LOW) | np.arange(n).astype(U)
     padded = np.full(-(-n // w) * w, ~U(0))
     padded[:n] = key
     blocks = padded.reshape(-1, w)
@@ -59,7 +60,7 @@ def _anchors(data: np.ndarray, off: np.ndarray, length: int):
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     m = n - w + 1
     least = (np.minimum(behind[:m], ahead[w - 1 : w - 1 + m]) & _LOW).astype(np.int64)
-    inside = np.zeros(len(data) + 1, np.int32)
+    inside = np.zeros(n + gram, np.int32)
     for a, b in zip(off[:-1], off[1:], strict=True):
         if b - a >= length:
             inside[a] += 1
@@ -76,32 +77,53 @@ def _anchors(data: np.ndarray, off: np.ndarray, length: int):
     return least[lo], lo, np.flatnonzero(stop)
 
 
+def _pieces(n: int, off: np.ndarray, length: int):
+    """(first and last symbol, bounds of documents) of what is worked on at a time: a whole slice, or parts of one long document."""
+    if n <= _PIECE * 2:
+        return [(0, n, off)]
+    ends = [(a, min(a + _PIECE + length - 1, n)) for a in range(0, n, _PIECE)]
+    return [(a, b, np.array([0, b - a])) for a, b in ends]
+
+
+def _joined(out: list, kinds: tuple):
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, k) for k in kinds)
+
+
 def _segments(data: np.ndarray, off: np.ndarray, length: int):
     """(document, anchor hash, segment hash, first and last window, anchor place), places within the document."""
     out = []
-    big = len(data) > _PIECE * 2
-    pieces = [(a, min(a + _PIECE + length - 1, len(data))) for a in range(0, len(data), _PIECE)] if big else [(0, len(data))]
-    for a, b in pieces:
-        part = data[a:b]
-        bounds = np.array([0, b - a]) if big else off
-        place, lo, hi = _anchors(part, bounds, length)
-        if not len(lo):
-            continue
-        view = eights(part, False)
+    for a, b, bounds in _pieces(len(data), off, length):
+        view = eights(data[a:b], False)
+        hashes = grams_hash(view, GRAM)
+        place, lo, hi = _anchors(hashes, bounds, length, GRAM)
         doc = np.searchsorted(bounds, lo, "right") - 1
         base = bounds[doc] - a
-        out.append((doc, spans_hash(view, place, place + GRAM), spans_hash(view, lo, hi + length), lo - base, hi - base, place - base))
-    if not out:
-        z = np.zeros(0, np.int64)
-        return z, np.zeros(0, U), np.zeros(0, U), z, z, z
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        out.append((doc, hashes[place], spans_hash(view, lo, hi + length), lo - base, hi - base, place - base))
+    return _joined(out, (np.int64, U, U, np.int64, np.int64, np.int64))
+
+
+def _word_segments(data: np.ndarray, off: np.ndarray):
+    """(document, anchor hash, segment hash, first and last byte) of segments of windows of WORDS words; bytes within the document, end exclusive."""
+    start, end, word_doc = words(data, off, PLAIN_WORD)
+    h = spans_hash(eights(data, False), start, end)
+    first = np.searchsorted(word_doc, np.arange(len(off)))
+    out = []
+    for a, b, bounds in _pieces(len(h), first, WORDS):
+        hashes, whole = mix(rolled(h[a:b], FEW_WORDS)), mix(rolled(h[a:b], WORDS))
+        place, lo, hi = _anchors(hashes, bounds, WORDS, FEW_WORDS)
+        doc = word_doc[lo + a]
+        segment = mix(whole[lo] ^ mix(whole[hi] + (hi - lo).astype(U)))
+        out.append((doc, hashes[place], segment, start[lo + a] - off[doc], end[hi + a + WORDS - 1] - off[doc]))
+    return _joined(out, (np.int64, U, U, np.int64, np.int64))
 
 
 PLACE = "struct<anchor:long,segment:long,lo:int,hi:int,place:int>"
+WORD_PLACE = "struct<anchor:long,segment:long,start:long,stop:long>"
+RUNS = "array<struct<start:long,stop:long>>"
 
 
 def marks(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """id, ``row_key``, ``n_bytes``, ``h1, h2`` (hash of the text), ``sha`` and ``segments`` of each row."""
+    """id, ``row_key``, ``n_bytes``, ``h1, h2`` (hash of the text), ``sha``, ``segments`` and ``word_segments`` of each row."""
     field = docs.schema[id_col]
 
     def run(batches):
@@ -116,12 +138,15 @@ def marks(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame
             kinds = (anchor.view(np.int64), segment.view(np.int64), lo.astype(np.int32), hi.astype(np.int32), place.astype(np.int32))
             items = pa.StructArray.from_arrays([pa.array(x) for x in kinds], ["anchor", "segment", "lo", "hi", "place"])
             bounds = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
+            doc, *kinds = _word_segments(data, off)
+            word_items = pa.StructArray.from_arrays([pa.array(x.view(np.int64)) for x in kinds], ["anchor", "segment", "start", "stop"])
+            word_bounds = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
             ids = rows.column(0)
             keys = ids.cast(pa.int64()).to_numpy(zero_copy_only=False)
             keys = np.where(np.isnan(keys.astype(float)), h2, np.nan_to_num(keys.astype(float)).astype(np.int64)) if ids.null_count else keys
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys.astype(np.int64)), pa.array(np.diff(off)), pa.array(h1.view(np.int64)), pa.array(h2), pa.array([d.hex() for d in digests]), pa.ListArray.from_arrays(pa.array(bounds), items)], [id_col, "row_key", "n_bytes", "h1", "h2", "sha", "segments"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(keys.astype(np.int64)), pa.array(np.diff(off)), pa.array(h1.view(np.int64)), pa.array(h2), pa.array([d.hex() for d in digests]), pa.ListArray.from_arrays(pa.array(bounds), items), pa.ListArray.from_arrays(pa.array(word_bounds), word_items)], [id_col, "row_key", "n_bytes", "h1", "h2", "sha", "segments", "word_segments"])
 
-    schema = f"`{id_col}` {field.dataType.simpleString()}, row_key long, n_bytes long, h1 long, h2 long, sha string, segments array<{PLACE}>"
+    schema = f"`{id_col}` {field.dataType.simpleString()}, row_key long, n_bytes long, h1 long, h2 long, sha string, segments array<{PLACE}>, word_segments array<{WORD_PLACE}>"
     return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
@@ -313,8 +338,75 @@ def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.join(rows.hint("merge"), "row_key")
 
 
+def passages(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``row_key`` and ``passages``: the maximal runs (start, stop, in bytes) of words under windows of WORDS words that another row has too.
+
+    ``rows`` are those of ``marks``, ``keyed`` has their ``row_key`` and bytes
+    (``raw``). Words are runs of anything but ASCII white space, and equal as
+    bytes; what stands between them is not compared. Equal windows have equal
+    anchors, so only segments whose anchor another row has are looked at: those
+    that are equal as a whole first, then the others, and two rows' of each kind
+    of equal ones, by their windows. Rows of one id, and equal texts without an
+    id, are one row here.
+    """
+    places = rows.select("row_key", F.explode("word_segments").alias("s")).select("row_key", "s.*")
+    shared = places.groupBy("anchor").count().filter("count > 1").select("anchor")
+    places = written(places.join(shared.hint("shuffle_hash"), "anchor"), "word_places")
+    one = F.struct("row_key", "start", "stop")
+    kinds = written(places.groupBy("anchor", "segment").agg(F.min(one).alias("x"), F.max(one).alias("y")).withColumn("alone", F.col("x.row_key") == F.col("y.row_key")), "word_kinds")
+    places = written(places.join(kinds.hint("shuffle_hash"), ["anchor", "segment"]), "word_places")
+    crowds = kinds.groupBy("anchor").agg(F.count("*").alias("size"), F.max("alone").alias("any")).filter("size > 1 and any").select("anchor")
+    open_ = places.filter(F.col("alone") | (one == F.col("x")) | (one == F.col("y"))).join(crowds.hint("shuffle_hash"), "anchor")
+    cuts = written(open_.groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("cuts")), "word_cuts")
+    at = written(_windows(_only(keyed, cuts).dropDuplicates(["row_key"])), "windows")
+    again = at.groupBy("window").agg(F.min("row_key").alias("first"), F.max("row_key").alias("last")).filter("first < last").select("window")
+    spans = places.filter("not alone").select("row_key", "start", "stop").union(at.join(again.hint("shuffle_hash"), "window").select("row_key", "start", "stop"))
+    runs = spans.groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs"))
+    return written(runs.mapInArrow(_maximal, f"row_key long, passages {RUNS}"), "passages")
+
+
+def _merged(runs: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs of lists of sorted (start, stop): the list each is of, and where it begins and ends."""
+    row = np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()))
+    far = row << 40
+    start, stop = (runs.flatten().field(i).to_numpy() + far for i in (0, 1))
+    stop = np.maximum.accumulate(stop)
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > stop[:-1]
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(stop) - 1)[: new.sum()]
+    return row[new], start[new] - far[new], stop[last] - far[last]
+
+
+def _maximal(batches):
+    for b in batches:
+        row, start, stop = _merged(b.column(1))
+        items = pa.StructArray.from_arrays([pa.array(start), pa.array(stop)], ["start", "stop"])
+        bounds = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bounds), items)], ["row_key", "passages"])
+
+
+def _windows(rows: DataFrame) -> DataFrame:
+    """The windows of WORDS words in each row's ``cuts``."""
+
+    def run(batches):
+        for b in batches:
+            raw = b.column(1).cast(pa.large_binary())
+            whole = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+            row, start, stop = _merged(b.column(2))
+            off = np.concatenate([[0], np.cumsum(stop - start)])
+            shift = start - off[:-1]
+            text = np.frombuffer(raw.buffers()[2], np.uint8)[np.arange(off[-1]) + np.repeat(whole[row] + shift, stop - start)]
+            first, last, part = words(text, off, PLAIN_WORD)
+            window, at = windows(spans_hash(eights(text, False), first, last), part, WORDS)
+            part = part[at]
+            keys = b.column(0).to_numpy()[row[part]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(window.view(np.int64)), pa.array(first[at] + shift[part]), pa.array(last[at + WORDS - 1] + shift[part])], ["row_key", "window", "start", "stop"])
+
+    return rows.select("row_key", "raw", "cuts").mapInArrow(run, "row_key long, window long, start long, stop long")
+
+
 def repeated_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept_text``, ``removed`` per row of ``docs``.
+    """id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept_text``, ``removed``, ``passages`` per row of ``docs``.
 
     Removed is each byte under a string of ``length`` bytes that also starts
     anywhere else, in the same or another document; strings may overlap, never
@@ -323,8 +415,10 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "do
     removed and a part stayed (cuts may split a character; such bytes show as
     U+FFFD there, not in the digest). Null texts are empty; empty texts, and
     those below ``length`` bytes, keep all. Rows may repeat: equal texts of
-    ``length`` bytes or more are removed as a whole. Ids must differ between
-    rows of different text, or be null; other columns are not read.
+    ``length`` bytes or more are removed as a whole. ``passages`` are runs of
+    WORDS words or more that another row has too, also where they are below
+    ``length`` bytes and so not removed. Ids must differ between rows of
+    different text, or be null; other columns are not read.
     """
     rows = written(marks(docs.withColumn(id_col, F.col(id_col).cast("long")), length, id_col, text_col), "marks")
     texts = written(rows.filter(F.col("n_bytes") >= length).groupBy("h1", "h2").agg(F.min("row_key").alias("row_key"), F.count("*").alias("copies")), "texts")
@@ -368,9 +462,9 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "do
     partly = written(runs.join(repeats, "row_key", "left_anti"), "partly")
     cut = _only(keyed, partly)
     removed = written(_removed(cut if once else cut.dropDuplicates(["row_key"])), "removed")
-    known = rows.drop("segments").join(texts.select("h1", "h2", "copies", F.col("row_key").alias("node")), ["h1", "h2"], "left").join(removed.withColumnRenamed("row_key", "node"), "node", "left")
+    known = rows.drop("segments", "word_segments").join(passages(rows, keyed), "row_key", "left").join(texts.select("h1", "h2", "copies", F.col("row_key").alias("node")), ["h1", "h2"], "left").join(removed.withColumnRenamed("row_key", "node"), "node", "left")
     full = F.coalesce(F.col("copies") > 1, F.lit(False))
-    nothing = F.array().cast("array<struct<start:long,stop:long>>")
+    nothing = F.array().cast(RUNS)
     runs_ = F.when(full, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))).otherwise(F.coalesce("removed", nothing))
     return known.select(
         id_col,
@@ -380,6 +474,7 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "do
         F.when(full, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         "kept_text",
         runs_.alias("removed"),
+        F.coalesce("passages", nothing).alias("passages"),
     )
 
 

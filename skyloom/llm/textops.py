@@ -128,6 +128,21 @@ def spans_hash(text: Eights, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def grams_hash(text: Eights, size: int, some: int = 1 << 14) -> np.ndarray:
+    """``spans_hash`` of all strings of ``size`` bytes (a multiple of eight, at most 64), ``some`` at a time, as that many stay in a processor's cache."""
+    a0 = np.full(1, size, U) * U(0xA0761D6478BD642F) + U(0x2545F4914F6CDD1D)
+    out = np.empty(max(len(text.data) - size + 1, 0), U)
+    for at in range(0, len(out), some):
+        to = min(at + some, len(out))
+        a, b = a0, a0 ^ U(0x94D049BB133111EB)
+        for k in range(0, size, 8):
+            word = text.eight[at + k : to + k]
+            a, b = (a ^ word) * U(0xE7037ED1A0B428DB), (b + word) * U(0x8EBC6AF09C88C6E3)
+            a, b = a ^ (a >> U(32)), b ^ (b >> U(29))
+        out[at:to] = mix(a ^ (b << U(23)) ^ (b >> U(41)))
+    return out
+
+
 def same_bytes(text: Eights, start: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the ``size`` bytes from ``start`` and from ``other`` agree, for each."""
     out = np.ones(len(size), bool)
@@ -149,15 +164,19 @@ def fixed_hash(word: str) -> int:
 
 def windows(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of n consecutive words of a document, and where they start."""
-    if len(h) < n:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    g = np.zeros(len(h) - n + 1, U)
-    for j in range(n):
-        g = g * U(0xE7037ED1A0B428DB) + h[j : j + len(g)]
-    at = np.flatnonzero(doc[: len(g)] == doc[n - 1 :])
+    g = rolled(h, n)
+    at = np.flatnonzero(doc[: len(g)] == doc[len(h) - len(g) :])
     return mix(g[at]), at
 
 
+def rolled(h: np.ndarray, n: int) -> np.ndarray:
+    """Numbers (to be mixed) of all n consecutive words, whatever documents they are of."""
+    g = np.zeros(max(len(h) - n + 1, 0), U)
+    for j in range(n if len(g) else 0):
+        g = g * U(0xE7037ED1A0B428DB) + h[j : j + len(g)]
+    return g
+
+
 def shingled(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each document, sorted, in one array, and where each set begins."""
     n = len(off) - 1

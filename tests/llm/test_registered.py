@@ -118,6 +118,13 @@ def test_op6_spans_cut_the_text(out, texts):
         assert hashlib.sha256(left).hexdigest() == r["kept_sha256"]
 
 
+def test_op6_passages_equal_brute_force(out, texts):
+    got = once_each(out("op6_suffix_array_dedup"), texts)
+    ids = sorted(texts)
+    for i, want in zip(ids, test_substrings.brute_passages([texts[i] for i in ids]), strict=True):
+        assert got[i]["n_passages"] == len(want) and got[i]["passages"] == ",".join(f"{a}:{z}" for a, z in want)
+
+
 def test_op7_base_equals_brute_force(out, texts):
     for i, r in once_each(out("op7_quality_rules"), texts).items():
         n, *rest = test_rules.brute(texts[i])

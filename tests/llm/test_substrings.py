@@ -1,6 +1,7 @@
 import hashlib
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -74,3 +75,57 @@ def test_null_ids_and_empty(spark):
     out = {r["n_bytes"]: (r["n_removed"], r["n_spans"]) for r in substrings.repeated_substrings(docs).collect()}
     n = len(long_one.encode())
     assert out == {n: (n, 1), n + 4: (n, 1), 0: (0, 0)}
+
+
+def brute_passages(texts, n=50):
+    found = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    lists = [[(t or "").encode()[a:z] for a, z in spans] for t, spans in zip(texts, found, strict=True)]
+    holders = defaultdict(set)
+    for k, w in enumerate(lists):
+        for i in range(len(w) - n + 1):
+            holders[tuple(w[i : i + n])].add(k)
+    out = []
+    for w, spans in zip(lists, found, strict=True):
+        runs = []
+        for i in range(len(w) - n + 1):
+            if len(holders[tuple(w[i : i + n])]) > 1:
+                a, z = spans[i][0], spans[i + n - 1][1]
+                if runs and a <= runs[-1][1]:
+                    runs[-1][1] = z
+                else:
+                    runs.append([a, z])
+        out.append([tuple(r) for r in runs])
+    return out
+
+
+def test_passages_below_length_equal_brute_force(spark):
+    rng = random.Random(6)
+    short = [" ".join(w[:5] for w in prose(2000 + k, 51 + 5 * k).split()) for k in range(3)]
+    assert all(len(p) < 400 for p in short)
+    data = texts()
+    for i in range(40):
+        data.append(f"{prose(i + 3000, rng.randrange(5, 80))} {short[i % 3]}\n{prose(i + 4000, rng.randrange(5, 80))}")
+    only_here = " ".join(w[:5] for w in prose(2100, 60).split())
+    data += [short[0], short[0], short[1].replace(" ", " \t"), f"{short[1]} x {short[1]} y {short[1]}", f"{only_here} x {only_here}", " ".join(short[0].split()[:50]), " ".join(short[2].split()[1:50])]
+    data += ["and " * 300, "and " * 70 + "or", prose(5000, 49), prose(5000, 49), prose(5001, 50), prose(5001, 50)]
+    for i in range(30):
+        data += [f"{prose(i + 6000, 20)} {f'same{i} ' * n}{prose(i + 7000 + n, 3)}" for n in (51, 52)]
+    docs = documents(spark, data).repartition(5)
+    got = {r["doc_id"]: [tuple(x) for x in r["passages"]] for r in substrings.repeated_substrings(docs).select("doc_id", "passages").collect()}
+    want = brute_passages(data)
+    assert [got[i] for i in range(len(data))] == want
+    at = data.index(short[0])
+    assert want[at] == [(0, len(short[0]))] and not want[data.index(f"{only_here} x {only_here}")]
+
+
+def test_long_texts_are_cut_into_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    data = rng.choice(np.frombuffer(b"abcdefgh   ", np.uint8), 60_000)
+    off = np.array([0, len(data)])
+    made = []
+    for piece in (substrings._PIECE, 5_000):
+        monkeypatch.setattr(substrings, "_PIECE", piece)
+        _, anchor, _, lo, hi, _ = substrings._segments(data, off, 400)
+        _, word_anchor, _, start, stop = substrings._word_segments(data, off)
+        made.append(({(a, w) for a, x, y in zip(anchor, lo, hi, strict=True) for w in range(x, y + 1)}, set(word_anchor), min(start), max(stop)))
+    assert made[0] == made[1]

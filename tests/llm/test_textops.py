@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.llm import neardup, pieces, rules
-from skyloom.llm.textops import PLAIN_WORD, eights, same_bytes, spans_hash, words
+from skyloom.llm.textops import PLAIN_WORD, eights, grams_hash, same_bytes, spans_hash, words
 
 from .samples import documents
 from .test_rules import brute
@@ -48,3 +48,10 @@ def test_operators_tell_arranged_texts_apart(spark):
     row = rules.statistics(documents(spark, [text])).select("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").first()
     assert tuple(row) == brute(text)
     assert docs.filter(F.lit(False)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 31, 32, 33, 1000])
+def test_grams_hash_equals_spans_hash(n):
+    text = eights(np.random.default_rng(n).integers(0, 256, n).astype(np.uint8), False)
+    at = np.arange(max(n - 31, 0))
+    assert (grams_hash(text, 32, some=100) == spans_hash(text, at, at + 32)).all()
