@@ -25,7 +25,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.scratch import written
@@ -354,13 +354,14 @@ def passages(rows: DataFrame, keyed: DataFrame) -> DataFrame:
     places = written(places.join(shared.hint("shuffle_hash"), "anchor"), "word_places")
     one = F.struct("row_key", "start", "stop")
     kinds = written(places.groupBy("anchor", "segment").agg(F.min(one).alias("x"), F.max(one).alias("y")).withColumn("alone", F.col("x.row_key") == F.col("y.row_key")), "word_kinds")
-    places = written(places.join(kinds.hint("shuffle_hash"), ["anchor", "segment"]), "word_places")
+    dealt = places.join(kinds.hint("shuffle_hash"), ["anchor", "segment"])
+    places = written(dealt.select("anchor", "row_key", "start", "stop", "alone", (F.col("alone") | (one == F.col("x")) | (one == F.col("y"))).alias("open")), "word_places")
     crowds = kinds.groupBy("anchor").agg(F.count("*").alias("size"), F.max("alone").alias("any")).filter("size > 1 and any").select("anchor")
-    open_ = places.filter(F.col("alone") | (one == F.col("x")) | (one == F.col("y"))).join(crowds.hint("shuffle_hash"), "anchor")
+    open_ = places.filter("open").join(crowds.hint("shuffle_hash"), "anchor")
     cuts = written(open_.groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("cuts")), "word_cuts")
-    at = written(_windows(_only(keyed, cuts).dropDuplicates(["row_key"])), "windows")
-    again = at.groupBy("window").agg(F.min("row_key").alias("first"), F.max("row_key").alias("last")).filter("first < last").select("window")
-    spans = places.filter("not alone").select("row_key", "start", "stop").union(at.join(again.hint("shuffle_hash"), "window").select("row_key", "start", "stop"))
+    same = Window.partitionBy("window")
+    at = _windows(_only(keyed, cuts).dropDuplicates(["row_key"])).select("*", F.min("row_key").over(same).alias("first"), F.max("row_key").over(same).alias("last"))
+    spans = places.filter("not alone").select("row_key", "start", "stop").union(at.filter("first < last").select("row_key", "start", "stop"))
     runs = spans.groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs"))
     return written(runs.mapInArrow(_maximal, f"row_key long, passages {RUNS}"), "passages")
 
